@@ -58,15 +58,34 @@ def _meet(rows: DataFrame, words: DataFrame, key: str, spread_by) -> DataFrame:
 
 
 def taxonomy_table_aspects(
-    sentences: DataFrame, taxonomy: DataFrame, sentence: str = "sentence", id_cols=("sentence_id",)
+    sentences: DataFrame, taxonomy: DataFrame, sentence: str = "sentence", id_cols=("sentence_id",),
+    inline_keywords: int = 2000,
 ) -> DataFrame:
-    """Aspects by substring for a taxonomy too large to write into an expression.
+    """Aspects by substring from a table of (aspect, keyword, priority).
 
-    `taxonomy` has (aspect, keyword, priority). A keyword inside a sentence is a substring of one
-    of the taxonomy's lengths, so the match is an equi-join on such substrings. They are cut from
-    bytes, which costs the same at every place; a whole keyword can only start at a character.
-    Gives one row per sentence and aspect with its best priority; the least is the first match.
+    One row per sentence and aspect with its best priority; the least is the first match. A table
+    of at most `inline_keywords` rows becomes an expression, a larger one is joined.
     """
+    rows = taxonomy.select("aspect", "keyword", "priority").take(inline_keywords + 1)
+    if len(rows) > inline_keywords:
+        return _taxonomy_by_join(sentences, taxonomy, sentence, id_cols)
+    by_aspect: dict = {}
+    for aspect, keyword, priority in rows:
+        by_aspect.setdefault(aspect, []).append((keyword, priority))
+    s = F.col(sentence)
+    found = []
+    for aspect, words in by_aspect.items():
+        words = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in words])
+        hits = F.transform(F.filter(words, lambda k: F.contains(s, k["w"])), lambda k: k["p"])
+        found.append(F.struct(F.lit(aspect).alias("aspect"), F.array_min(hits).alias("priority")))
+    matched = F.filter(F.array(*found), lambda m: m["priority"].isNotNull())
+    return sentences.select(*id_cols, F.inline(matched))
+
+
+def _taxonomy_by_join(sentences: DataFrame, taxonomy: DataFrame, sentence: str, id_cols) -> DataFrame:
+    """A keyword inside a sentence is a substring of one of the taxonomy's lengths, so the match is
+    an equi-join on such substrings. They are cut from bytes, which costs the same at every place;
+    a whole keyword can only start at a character."""
     lengths = taxonomy.agg(F.collect_set(F.octet_length("keyword"))).scalar()
     rows = sentences.select(*id_cols, F.encode(sentence, "utf-8").alias("_s"))
     rows = rows.withColumn("_n", F.explode(lengths)).where(F.octet_length("_s") >= F.col("_n"))
