@@ -68,7 +68,7 @@ def cue_hits(sentence, cues=COMPLAINT_CUES) -> Column:
     """Distinct cues inside the sentence, stripped and sorted."""
     s = _col(sentence)
     hits = F.filter(F.array(*[F.lit(c) for c in cues]), lambda c: F.contains(s, c))
-    return F.array_sort(F.array_distinct(F.transform(hits, F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(hits, lambda c: F.trim(c))))
 
 
 def nearest_cue(sentence, start, end, cues=COMPLAINT_CUES) -> Column:

@@ -1,4 +1,4 @@
 """All queries, loaded."""
 
-from . import clean, marts, profile, spans  # noqa: F401
+from . import clean, curate, evaluate, marts, profile, spans  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
