@@ -39,22 +39,38 @@ def all_aspects(sentence, taxonomy=ASPECT_KEYWORDS) -> Column:
     return F.filter(F.array(*hits), lambda a: a.isNotNull())
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _first_word(sentence: Column, priority: int, aspect: str, keywords) -> Column:
+    pattern = rf"\b({_any_of(keywords)})\b"
+
+    def hit(s: Column) -> Column:
+        near = F.lit(False)
+        for k in keywords:
+            near = near | F.contains(s, F.lit(k))
+        return near & s.rlike(pattern)
+
+    def span(s: Column) -> Column:
+        return F.struct(
+            F.lit(priority).alias("priority"),
+            F.lit(aspect).alias("aspect"),
+            F.regexp_extract(s, pattern, 1).alias("span"),
+            F.length(F.element_at(F.split(s, pattern, 2), 1)).alias("start"),
+        )
+
+    return F.transform(F.filter(F.array(sentence), hit), span)
+
+
 def word_spans(sentence, taxonomy=ASPECT_KEYWORDS) -> Column:
-    """Per aspect the first whole-word keyword: array of (priority, aspect, span, start)."""
+    """Per aspect the first whole-word keyword: array of (priority, aspect, span, start).
+
+    Plain substring tests come first, so most sentences meet few regular expressions.
+    """
     s = _col(sentence)
-    found = []
-    for i, (aspect, kws) in enumerate(taxonomy.items()):
-        pattern = rf"\b({_any_of(kws)})\b"
-        span = F.regexp_extract(s, pattern, 1)
-        found.append(
-            F.struct(
-                F.lit(i).alias("priority"),
-                F.lit(aspect).alias("aspect"),
-                span.alias("span"),
-                F.when(span != "", F.length(F.element_at(F.split(s, pattern, 2), 1))).alias("start"),
-            )
-        )
-    return F.filter(F.array(*found), lambda m: m["start"].isNotNull())
+    return F.concat(*[_first_word(s, i, a, kws) for i, (a, kws) in enumerate(taxonomy.items())])
 
 
 def count_before(sentence, span, start) -> Column:
@@ -138,12 +154,16 @@ def lexicon_score(text, lexicon: dict, alpha: float = LEXICON_ALPHA) -> Column:
     """Sum of word valences squashed to (-1, 1). For a lexicon held as a small dict."""
     words = F.split(F.lower(_col(text)), r"[^a-z0-9']+")
     valence = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in (kv[0], float(kv[1]))])
-    total = F.aggregate(
-        words, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(valence, w), F.lit(0.0))
+    return F.aggregate(
+        words,
+        F.lit(0.0),
+        lambda acc, w: acc + F.coalesce(F.try_element_at(valence, w), F.lit(0.0)),
+        lambda total: total / F.sqrt(total * total + F.lit(float(alpha))),
     )
-    return total / F.sqrt(total * total + F.lit(float(alpha)))
 
 
 def lexicon_polarity(score, positive=LEXICON_POSITIVE, negative=LEXICON_NEGATIVE) -> Column:
-    c = _col(score)
-    return F.when(c >= positive, "positive").when(c <= negative, "negative").otherwise("neutral")
+    return let(
+        _col(score),
+        lambda c: F.when(c >= positive, "positive").when(c <= negative, "negative").otherwise("neutral"),
+    )

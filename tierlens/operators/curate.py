@@ -11,6 +11,7 @@ from ..constants import (
     PER_ASPECT_CAP, POLARITIES, SEED, TEST_SIZE,
 )
 from ..functions import matching, text
+from ..sources.io import written
 from .checks import require_columns, require_values
 from .skew import anti, keep_first, lookup, rank_by_hash, rank_hash, semi, top_k, with_group_min
 
@@ -269,10 +270,12 @@ def build_split(
 
     Test is the held-out part of the base labels. Train is the other base rows, all mined rows
     that are not negative, and a stratified quota of the mined negatives. `merged` tells base
-    rows from mined ones by `source`. Hash order stands in for a shuffle.
+    rows from mined ones by `source`. Hash order stands in for a shuffle. Both label tables are
+    read several times, so they are written to the work folder first.
     """
-    split = with_held_out(base, key, test_size, seed)
     columns = [key, *LABEL_COLS]
+    split = written(with_held_out(base, key, test_size, seed).select(*columns, "held_out"), "split")
+    merged = written(merged, "merged")
     test = split.where("held_out").select(*columns)
     gold = split.where("not held_out").select(*columns)
     mined = merged.where("source = 'mined'").select(*columns)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ASPECT_KEYWORDS, LEXICON_ALPHA
+from ..constants import ASPECT_KEYWORDS, LEXICON_ALPHA, SPAN_LIST
 from ..functions import matching
 from .skew import bounded_broadcast, lookup
 
@@ -43,12 +43,15 @@ def keyword_aspects(sentences: DataFrame, taxonomy=ASPECT_KEYWORDS) -> DataFrame
 def keyword_predictions(sentences: DataFrame, lexicon: dict, taxonomy=ASPECT_KEYWORDS) -> DataFrame:
     """The native predictor: whole-word keywords as spans, lexicon polarity of the sentence."""
     polarity = matching.lexicon_polarity(matching.lexicon_score("sentence", lexicon))
-    found = matching.word_spans("sentence", taxonomy)
-    rows = sentences.withColumn("_polarity", polarity)
-    pairs = F.transform(
-        found, lambda m: F.struct(m["span"].alias("span"), F.col("_polarity").alias("polarity"))
-    )
-    return rows.withColumn("predictions", pairs).drop("_polarity")
+
+    def pairs(found):
+        named = lambda p: F.transform(
+            found, lambda m: F.struct(m["span"].alias("span"), p.alias("polarity"))
+        )
+        empty = F.array().cast(SPAN_LIST)
+        return F.when(F.size(found) > 0, matching.let(polarity, named)).otherwise(empty)
+
+    return sentences.withColumn("predictions", matching.let(matching.word_spans("sentence", taxonomy), pairs))
 
 
 def _meet(rows: DataFrame, words: DataFrame, key: str, spread_by) -> DataFrame:

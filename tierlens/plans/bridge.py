@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import NA_TOKENS, WHITESPACE, WS
 from ..functions import matching, parsing, text
 from ..operators import curate, cube, reviews
+from ..sources.io import spread, written
 
 NOUNS = {
     "battery": ("widget", "bolt"),
@@ -40,9 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    return spread(table(spark, sf_dir, name), key)
+
+
 def raw_reviews(spark, sf_dir) -> DataFrame:
     """Documents as reviews of parts, every value still a string."""
-    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "part")
+    d, p = texts(spark, sf_dir), table(spark, sf_dir, "part")
     n, size, price = F.col("n_chars"), F.col("p_size"), F.col("p_retailprice")
     pct = n % 104 - 1
     fixed = F.concat_ws(
@@ -221,7 +226,7 @@ def sentences(spark, sf_dir) -> DataFrame:
     """Every sentence of every document, with its place."""
     parts = text.split_sentences(text.clean_text("text"))
     return (
-        table(spark, sf_dir, "documents")
+        texts(spark, sf_dir)
         .select(F.col("source").alias("product_id"), F.col("doc_id").alias("row_ord"), parts.alias("_s"))
         .select("product_id", "row_ord", F.posexplode("_s").alias("pos", "sentence"))
     )
@@ -278,6 +283,11 @@ def gold(spark, sf_dir) -> DataFrame:
     )
 
 
+def gold_table(spark, sf_dir) -> DataFrame:
+    """The same as a written table, for queries that read it more than once."""
+    return written(gold(spark, sf_dir), "gold")
+
+
 def candidates(spark, sf_dir) -> DataFrame:
     """Cue sentences with aspect spans as a hand-reviewed sheet: most rows kept as guessed,
     some with another polarity, some spoiled. Repeats and labelled sentences are still in it."""

@@ -52,13 +52,13 @@ def discount_amount_tier(spark, sf_dir):
 
 @query(f"SELECT doc_id, {b.sql_clean('text')} AS clean_text FROM documents")
 def clean_text(spark, sf_dir):
-    return b.table(spark, sf_dir, "documents").select("doc_id", text.clean_text("text").alias("clean_text"))
+    return b.texts(spark, sf_dir).select("doc_id", text.clean_text("text").alias("clean_text"))
 
 
 @query(f"SELECT page_id, {b.sql_clean(chr(39) + chr(39) + ' || url || ' + chr(39) + ' ' + chr(39) + ' || html')} AS clean_text FROM pages")
 def html_clean(spark, sf_dir):
     joined = F.concat_ws(" ", "url", "html")
-    return b.table(spark, sf_dir, "pages").select("page_id", text.clean_text(joined).alias("clean_text"))
+    return b.texts(spark, sf_dir, "pages", "page_id").select("page_id", text.clean_text(joined).alias("clean_text"))
 
 
 @query(f"""
@@ -66,7 +66,7 @@ SELECT doc_id, len(s)::INTEGER AS sentences, array_to_string(s, chr(10)) AS join
 FROM (SELECT doc_id, {b.sql_sentences(b.sql_clean('text'))} AS s FROM documents)""")
 def split_sentences(spark, sf_dir):
     parts = text.split_sentences(text.clean_text("text"))
-    return b.table(spark, sf_dir, "documents").select("doc_id", parts.alias("_s")).select(
+    return b.texts(spark, sf_dir).select("doc_id", parts.alias("_s")).select(
         "doc_id", F.size("_s").alias("sentences"), F.array_join("_s", "\n").alias("joined")
     )
 

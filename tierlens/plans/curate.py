@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matching
 from ..operators import checks, curate, spans
+from ..sources.io import written
 from . import bridge as b
 from .registry import query
 
@@ -112,12 +113,14 @@ def mine_candidates(spark, sf_dir):
     )
 
 
-def _validated(spark, sf_dir):
-    return curate.validate_candidates(b.candidates(spark, sf_dir), b.gold(spark, sf_dir), "label_id")
+def _validated(spark, sf_dir, gold=None):
+    gold = gold or b.gold_table(spark, sf_dir)
+    candidates = written(b.candidates(spark, sf_dir), "candidates")
+    return curate.validate_candidates(candidates, gold, "label_id")
 
 
-def _merged(spark, sf_dir):
-    return curate.merge_labels(b.gold(spark, sf_dir), _validated(spark, sf_dir), ("label_id",))
+def _merged(spark, sf_dir, gold):
+    return curate.merge_labels(gold, _validated(spark, sf_dir, gold), ("label_id",))
 
 
 @query(b.ctes(*VALIDATED) + """
@@ -136,13 +139,14 @@ def rejected_reasons(spark, sf_dir):
 SELECT polarity, count(*) FILTER (source = 'base') AS before, count(*) AS after,
   count(*) FILTER (source = 'mined') AS added FROM merged GROUP BY polarity""")
 def merge_labels(spark, sf_dir):
-    return curate.merge_report(_merged(spark, sf_dir))
+    return curate.merge_report(_merged(spark, sf_dir, b.gold_table(spark, sf_dir)))
 
 
 @query(b.ctes(*VALIDATED, MERGED) + """
 SELECT label_id, polarity FROM merged WHERE (text, span) NOT IN (SELECT (text, span) FROM gold)""")
 def added_labels(spark, sf_dir):
-    rows = curate.added_rows(_merged(spark, sf_dir), b.gold(spark, sf_dir), ("text", "span"), ("label_id",))
+    gold = b.gold_table(spark, sf_dir)
+    rows = curate.added_rows(_merged(spark, sf_dir, gold), gold, ("text", "span"), ("label_id",))
     return rows.select("label_id", "polarity")
 
 
@@ -167,7 +171,7 @@ def span_context(spark, sf_dir):
 
 @query(b.ctes(*LABELLED, SPLIT) + "SELECT label_id, held_out FROM split")
 def holdout_split(spark, sf_dir):
-    return curate.with_held_out(b.gold(spark, sf_dir), "label_id").select("label_id", "held_out")
+    return curate.with_held_out(b.gold_table(spark, sf_dir), "label_id").select("label_id", "held_out")
 
 
 @query(b.ctes(*LABELLED) + """
@@ -189,7 +193,7 @@ _POOL = """pool AS (SELECT * FROM gold WHERE polarity = 'negative')"""
 @query(b.ctes(*LABELLED, _POOL, _picked("pool", "(SELECT count(*) // 3 FROM pool)", "(SELECT count(*) FROM pool)"))
        + "SELECT label_id, aspect FROM picked")
 def stratified_quota(spark, sf_dir):
-    pool = b.gold(spark, sf_dir).where("polarity = 'negative'").select("label_id", "aspect")
+    pool = b.gold_table(spark, sf_dir).where("polarity = 'negative'").select("label_id", "aspect")
     need = pool.agg(F.floor(F.count("*") / 3).alias("need"), F.count("*").alias("available"))
     return curate.stratified_sample(pool, "aspect", "label_id", need).select("label_id", "aspect")
 
@@ -197,8 +201,9 @@ def stratified_quota(spark, sf_dir):
 @query(b.ctes(*VALIDATED, MERGED, SPLIT, QUOTA) + """
 SELECT train_pos::BIGINT AS train_pos, gold_neg, available, target, need FROM quota""")
 def negative_quota(spark, sf_dir):
-    split = curate.with_held_out(b.gold(spark, sf_dir), "label_id")
-    mined = _merged(spark, sf_dir).where("source = 'mined'")
+    gold = b.gold_table(spark, sf_dir)
+    split = curate.with_held_out(gold, "label_id")
+    mined = _merged(spark, sf_dir, gold).where("source = 'mined'")
     return curate.negative_quota(split.where("not held_out"), mined)
 
 
@@ -217,14 +222,14 @@ train AS (
 SELECT 'train' AS side, label_id, polarity FROM train
 UNION ALL SELECT 'test', label_id, polarity FROM split WHERE held_out""")
 def build_split(spark, sf_dir):
-    base = b.gold(spark, sf_dir)
-    train, test = curate.build_split(base, _merged(spark, sf_dir), "label_id")
+    base = b.gold_table(spark, sf_dir)
+    train, test = curate.build_split(base, _merged(spark, sf_dir, base), "label_id")
     sides = [df.select(F.lit(s).alias("side"), "label_id", "polarity") for s, df in (("train", train), ("test", test))]
     return sides[0].unionByName(sides[1])
 
 
 def _sides(spark, sf_dir):
-    split = curate.with_held_out(b.gold(spark, sf_dir), "label_id")
+    split = curate.with_held_out(b.gold_table(spark, sf_dir), "label_id")
     return split.where("not held_out"), split.where("held_out")
 
 

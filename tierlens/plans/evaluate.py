@@ -149,14 +149,14 @@ def error_totals(spark, sf_dir):
 @query(b.ctes(*LABELLED) + """
 SELECT label_id, (SELECT polarity FROM gold GROUP BY polarity ORDER BY count(*) DESC, polarity LIMIT 1) AS pred FROM gold""")
 def majority_baseline(spark, sf_dir):
-    return evaluate.majority_baseline(b.gold(spark, sf_dir), "polarity").select("label_id", "pred")
+    return evaluate.majority_baseline(b.gold_table(spark, sf_dir), "polarity").select("label_id", "pred")
 
 
 @query(f"""
 SELECT doc_id, compound, {b.sql_polarity('compound')} AS pred
 FROM (SELECT doc_id, {b.sql_compound('text')} AS compound FROM documents)""")
 def lexicon_baseline(spark, sf_dir):
-    docs = b.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = b.texts(spark, sf_dir).select("doc_id", "text")
     return evaluate.lexicon_baseline(docs, b.VALENCE).select("doc_id", "compound", "pred")
 
 
@@ -165,7 +165,7 @@ SELECT doc_id, compound, {b.sql_polarity('compound')} AS polarity
 FROM (SELECT doc_id, {b.sql_compound('text')} AS compound FROM documents)""")
 def lexicon_table_scores(spark, sf_dir):
     lexicon = spark.createDataFrame(list(b.VALENCE.items()), "token string, valence double")
-    return spans.lexicon_table_scores(b.table(spark, sf_dir, "documents").select("doc_id", "text"), lexicon)
+    return spans.lexicon_table_scores(b.texts(spark, sf_dir).select("doc_id", "text"), lexicon)
 
 
 def _per_system(source: str) -> str:
@@ -189,7 +189,7 @@ FROM sets s JOIN (SELECT system, subset, avg(f1) AS macro, sum(f1 * support) / s
   FROM per GROUP BY system, subset) q ON s.system = q.system AND s.subset = q.subset
 GROUP BY s.system, s.subset""")
 def system_comparison(spark, sf_dir):
-    rows = curate.with_held_out(b.gold(spark, sf_dir), "label_id")
+    rows = curate.with_held_out(b.gold_table(spark, sf_dir), "label_id")
     rows = evaluate.majority_baseline(rows, "polarity", "naive")
     rows = evaluate.lexicon_baseline(rows, b.VALENCE, "text", "lexicon")
     systems = {"A naive": "naive", "B lexicon": "lexicon", "C full": "polarity_predicted"}

@@ -216,7 +216,7 @@ SELECT doc_id, CASE WHEN length(s) <= 70 THEN s
 FROM (SELECT *, {_SHORT} AS s FROM documents)""")
 def product_titles(spark, sf_dir):
     path = F.concat(F.lit("a|"), "source", F.lit("||z"))
-    return b.table(spark, sf_dir, "documents").select(
+    return b.texts(spark, sf_dir).select(
         "doc_id", text.shorten("text").alias("heading"), text.category_crumbs(path).alias("crumbs"),
         F.array_join(text.split_titles("text"), "\n").alias("titles"), text.has_text("text").alias("has_text"),
         text.strip_urls("text").alias("content"),

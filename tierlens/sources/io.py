@@ -70,6 +70,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer parts than cores, split by key so that heavy text work uses all cores.
+
+    Larger scans come back as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_parquet(df: DataFrame, path: str, partition_by=()) -> None:
     """Overwrite a table; partition it by low-cardinality filter columns if any."""
     writer = df.write.mode("overwrite")
