@@ -52,6 +52,11 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 
+# Characters that cleaned text keeps, and those that make up a word. Listed one by one:
+# Java looks single characters up in a table but tries ranges in turn, ten times slower.
+KEPT_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789.,!?'"
+WORD_CHARS = "abcdefghijklmnopqrstuvwxyz0123456789'"
+
 # Mining limits, gates, sampling, and display widths.
 MIN_SENTENCE, MAX_SENTENCE = 25, 220
 MAX_CUE_DISTANCE = 60

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     ASPECT_KEYWORDS, COMPLAINT_CUES, LEXICON_ALPHA, LEXICON_NEGATIVE, LEXICON_POSITIVE, SPAN_CONTEXT,
+    WORD_CHARS,
 )
 
 
@@ -26,32 +27,38 @@ def _any_of(words) -> str:
     return "|".join(_quote(w) for w in words)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _contains_any(s: Column, words) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(s, F.lit(w))
+    return found
+
+
 def first_aspect(span, taxonomy=ASPECT_KEYWORDS) -> Column:
     """The first aspect, in taxonomy order, with a keyword inside the span; else null."""
-    text = F.lower(_col(span))
-    return F.coalesce(*[F.when(text.rlike(_any_of(kws)), a) for a, kws in taxonomy.items()])
+    return let(
+        F.lower(_col(span)),
+        lambda s: F.coalesce(*[F.when(_contains_any(s, kws), a) for a, kws in taxonomy.items()]),
+    )
 
 
 def all_aspects(sentence, taxonomy=ASPECT_KEYWORDS) -> Column:
     """Every aspect with a keyword inside the sentence, in taxonomy order."""
     s = _col(sentence)
-    hits = [F.when(s.rlike(_any_of(kws)), a) for a, kws in taxonomy.items()]
+    hits = [F.when(_contains_any(s, kws), a) for a, kws in taxonomy.items()]
     return F.filter(F.array(*hits), lambda a: a.isNotNull())
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _first_word(sentence: Column, priority: int, aspect: str, keywords) -> Column:
     pattern = rf"\b({_any_of(keywords)})\b"
 
     def hit(s: Column) -> Column:
-        near = F.lit(False)
-        for k in keywords:
-            near = near | F.contains(s, F.lit(k))
-        return near & s.rlike(pattern)
+        return _contains_any(s, keywords) & s.rlike(pattern)
 
     def span(s: Column) -> Column:
         return F.struct(
@@ -152,7 +159,7 @@ def span_context(text, span, ordinal, window: int = SPAN_CONTEXT) -> Column:
 
 def lexicon_score(text, lexicon: dict, alpha: float = LEXICON_ALPHA) -> Column:
     """Sum of word valences squashed to (-1, 1). For a lexicon held as a small dict."""
-    words = F.split(F.lower(_col(text)), r"[^a-z0-9']+")
+    words = F.split(F.lower(_col(text)), f"[^{WORD_CHARS}]+")
     valence = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in (kv[0], float(kv[1]))])
     return F.aggregate(
         words,

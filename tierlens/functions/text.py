@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import PICKER_LIMIT, REVIEW_BLOB_LIMIT, TITLE_LIMIT, WHITESPACE, WS
+from ..constants import KEPT_CHARS, PICKER_LIMIT, REVIEW_BLOB_LIMIT, TITLE_LIMIT, WHITESPACE, WS
 
 
 def _col(c) -> Column:
@@ -24,7 +24,7 @@ def clean_text(c) -> Column:
     out = F.lower(F.coalesce(_col(c), F.lit("")))
     out = F.regexp_replace(out, f"http[^{WS}]+|www[^{WS}]+", "")
     out = F.regexp_replace(out, "(?d)<.*?>", "")
-    return F.trim(F.regexp_replace(out, "[^a-z0-9.,!?']+", " "))
+    return F.trim(F.regexp_replace(out, f"[^{KEPT_CHARS}]+", " "))
 
 
 def split_sentences(c) -> Column:

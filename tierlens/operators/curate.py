@@ -53,7 +53,8 @@ def sentence_cues(sentences: DataFrame, cues=COMPLAINT_CUES) -> DataFrame:
 
 def keyword_cue_distance(sentences: DataFrame, cues=COMPLAINT_CUES, taxonomy=ASPECT_KEYWORDS) -> DataFrame:
     """One row per sentence and aspect keyword: span, ordinal, and distance to the nearest cue."""
-    rows = sentences.select("*", F.inline(matching.word_spans("sentence", taxonomy)))
+    rows = sentences.select("*", F.inline_outer(matching.word_spans("sentence", taxonomy)))
+    rows = rows.where("start is not null")
     end = F.col("start") + F.length("span")
     return rows.withColumns(
         {

@@ -61,14 +61,19 @@ def explode_sentences(
     With `index`, `sentence_idx` counts a product's sentences from 0 over all its reviews in source
     order: the sentences of its earlier reviews, plus the place inside this one. Only the first
     part crosses rows, so it is a running total over reviews, not a sort of sentences.
+
+    Here and elsewhere lists are exploded with their outer form and empty ones dropped after it: for
+    the plain form Spark adds a filter on the list's size, which would clean the text a second time.
     """
     kept = F.filter(F.transform(sentences, text.strip), lambda s: F.length(s) > 0)
     rows = pick(df, CARRY_COLS + (order,) * index + (sentences,)).withColumn(sentences, kept)
     if not index:
-        return rows.select("*", F.explode(sentences).alias("sentence")).drop(sentences)
+        out = rows.select("*", F.explode_outer(sentences).alias("sentence"))
+        return out.where("sentence is not null").drop(sentences)
     rows = running_total(rows, ["product_id"], order, F.size(sentences), "_before")
     return (
-        rows.select("*", F.posexplode(sentences).alias("_pos", "sentence"))
+        rows.select("*", F.posexplode_outer(sentences).alias("_pos", "sentence"))
+        .where("sentence is not null")
         .withColumn("sentence_idx", F.col("_before") + F.col("_pos"))
         .drop("_before", "_pos", sentences)
     )

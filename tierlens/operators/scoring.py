@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import LABEL_ORDER, POLARITIES, SPAN_LIST
+from ..constants import LABEL_ORDER, POLARITIES, SPAN_LIST, WORD_CHARS
 from ..functions import matching
 from ..sources.io import path_exists
 
@@ -141,7 +141,7 @@ def train_text_head(
 ) -> PipelineModel:
     """Logistic regression on hashed words, for use where no embeddings are at hand."""
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^a-z0-9']+"),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=f"[^{WORD_CHARS}]+"),
         HashingTF(inputCol="_words", outputCol="_features", numFeatures=features),
         _classifier("_features", balanced, max_iter, reg),
     ]

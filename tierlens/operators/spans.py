@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import ASPECT_KEYWORDS, LEXICON_ALPHA, SPAN_LIST
+from ..constants import ASPECT_KEYWORDS, LEXICON_ALPHA, SPAN_LIST, WORD_CHARS
 from ..functions import matching
 from .skew import bounded_broadcast, lookup
 
@@ -13,7 +13,7 @@ def attach_predictions(
 ) -> DataFrame:
     """Span rows from a list of (span, polarity) on each sentence; untracked spans are dropped."""
     return (
-        sentences.select("*", F.inline(predictions))
+        sentences.select("*", F.inline_outer(predictions))
         .drop(predictions)
         .withColumn("aspect", matching.first_aspect("span", taxonomy))
         .where("aspect is not null")
@@ -35,9 +35,9 @@ def keyword_aspects(sentences: DataFrame, taxonomy=ASPECT_KEYWORDS) -> DataFrame
     """One row per sentence and aspect found in it; sentiment is left open."""
     return sentences.select(
         "*",
-        F.explode(matching.all_aspects("sentence", taxonomy)).alias("aspect"),
+        F.explode_outer(matching.all_aspects("sentence", taxonomy)).alias("aspect"),
         F.lit(None).cast("string").alias("aspect_sentiment"),
-    )
+    ).where("aspect is not null")
 
 
 def keyword_predictions(sentences: DataFrame, lexicon: dict, taxonomy=ASPECT_KEYWORDS) -> DataFrame:
@@ -82,7 +82,7 @@ def taxonomy_table_aspects(
         hits = F.transform(F.filter(words, lambda k: F.contains(s, k["w"])), lambda k: k["p"])
         found.append(F.struct(F.lit(aspect).alias("aspect"), F.array_min(hits).alias("priority")))
     matched = F.filter(F.array(*found), lambda m: m["priority"].isNotNull())
-    return sentences.select(*id_cols, F.inline(matched))
+    return sentences.select(*id_cols, F.inline_outer(matched)).where("aspect is not null")
 
 
 def _taxonomy_by_join(sentences: DataFrame, taxonomy: DataFrame, sentence: str, id_cols) -> DataFrame:
@@ -96,7 +96,7 @@ def _taxonomy_by_join(sentences: DataFrame, taxonomy: DataFrame, sentence: str,
         F.sequence(F.lit(1), F.octet_length("_s") - F.col("_n") + 1),
         lambda i: F.substring("_s", i, F.col("_n")).cast("string"),
     )
-    pieces = rows.select(*id_cols, F.explode(F.array_distinct(cut)).alias("keyword"))
+    pieces = rows.select(*id_cols, F.explode_outer(F.array_distinct(cut)).alias("keyword"))
     by_keyword = taxonomy.groupBy("keyword").agg(
         F.collect_set(F.struct("aspect", "priority")).alias("_aspects")
     )
@@ -117,9 +117,9 @@ def lexicon_table_scores(
     Tokens are counted per row before the join. A measured-small lexicon is broadcast; otherwise
     frequent tokens are spread over many tasks.
     """
-    words = F.split(F.lower(F.col(text)), r"[^a-z0-9']+")
+    words = F.split(F.lower(F.col(text)), f"[^{WORD_CHARS}]+")
     tokens = (
-        df.select(id_col, F.explode(words).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("_n"))
+        df.select(id_col, F.explode_outer(words).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("_n"))
     )
     hits = _meet(tokens, lexicon, "token", [id_col])
     sums = hits.groupBy(id_col).agg(F.sum(F.col("_n") * F.col("valence")).alias("_total"))

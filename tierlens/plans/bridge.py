@@ -228,7 +228,8 @@ def sentences(spark, sf_dir) -> DataFrame:
     return (
         texts(spark, sf_dir)
         .select(F.col("source").alias("product_id"), F.col("doc_id").alias("row_ord"), parts.alias("_s"))
-        .select("product_id", "row_ord", F.posexplode("_s").alias("pos", "sentence"))
+        .select("product_id", "row_ord", F.posexplode_outer("_s").alias("pos", "sentence"))
+        .where("sentence is not null")
     )
 
 
@@ -262,7 +263,7 @@ def span_cube(spark, sf_dir) -> DataFrame:
 
 def word_rows(spark, sf_dir) -> DataFrame:
     rows = sentences(spark, sf_dir)
-    return rows.select("*", F.inline(matching.word_spans("sentence", WORDS)))
+    return rows.select("*", F.inline_outer(matching.word_spans("sentence", WORDS))).where("start is not null")
 
 
 def label_id() -> Column:

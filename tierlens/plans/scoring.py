@@ -68,9 +68,9 @@ _NATIVE = b.ctes(b.SENTENCES, b.WORD_SPANS, _PREDICTED) + "SELECT row_ord, pos,
 def _predict_documents(docs):
     parts = text.split_sentences(text.clean_text("text"))
     rows = docs.select(F.col("doc_id").alias("row_ord"), parts.alias("_s"))
-    rows = rows.select("row_ord", F.posexplode("_s").alias("pos", "sentence"))
+    rows = rows.select("row_ord", F.posexplode_outer("_s").alias("pos", "sentence")).where("sentence is not null")
     predicted = spans.keyword_predictions(rows, b.VALENCE, b.WORDS)
-    return predicted.select("row_ord", "pos", F.inline("predictions"))
+    return predicted.select("row_ord", "pos", F.inline_outer("predictions")).where("span is not null")
 
 
 @query(_NATIVE)

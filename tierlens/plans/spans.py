@@ -82,8 +82,8 @@ def attach_predictions(spark, sf_dir):
 def attach_prediction_table(spark, sf_dir):
     rows = b.sentences(spark, sf_dir)
     predicted = spans.keyword_predictions(rows, b.VALENCE, b.WORDS).select(
-        "row_ord", "pos", F.inline("predictions")
-    )
+        "row_ord", "pos", F.inline_outer("predictions")
+    ).where("span is not null")
     out = spans.attach_prediction_table(rows, predicted, ("row_ord", "pos"), b.WORDS)
     return out.select("row_ord", "pos", "span", "polarity", "aspect")
 
