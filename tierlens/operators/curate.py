@@ -78,14 +78,16 @@ def mine_candidates(
 
     A sentence and span count once, for the first product and aspect that bring them. With `cap`
     the closest candidates per aspect are kept, then those with more cues, then source order.
+    Everything a row can tell by itself is tested before rows meet the `labelled` table.
     """
     order = list(order)
     rows = sentences.where(F.length("sentence").between(*length))
-    if labelled is not None:
-        known = labelled.where("text is not null").select(_normal("text").alias("_text"))
-        rows = anti(rows.withColumn("_text", F.lower("sentence")), known, ["_text"], order).drop("_text")
     rows = keyword_cue_distance(sentence_cues(rows, cues), cues, taxonomy)
     rows = rows.where(F.col("cue_dist") <= max_distance)
+    if labelled is not None:
+        known = labelled.where("text is not null").select(_normal("text").alias("_text"))
+        rows = rows.withColumn("_text", F.lower("sentence"))
+        rows = anti(rows, known, ["_text"], order + ["priority"], measure=True).drop("_text")
     rows = keep_first(rows, ["sentence", "span"], order + ["priority"])
     if cap is not None:
         by = ["cue_dist", F.desc("n_cues"), *order, "priority"]
@@ -110,7 +112,7 @@ def validate_candidates(candidates: DataFrame, base: DataFrame, order: str = "ca
     )
     known = base.select(_normal("text").alias("_text"), _normal("span").alias("_span")).distinct()
     known = known.withColumn("_known", F.lit(True))
-    rows = lookup(rows, known, PAIR, [order], "left")
+    rows = lookup(rows, known, PAIR, [order], "left", measure=True)
     rows = rows.withColumn("_place", matching.aligned_ordinal("text", "span")).withColumn(
         "reason",
         F.when(~F.coalesce(F.col("polarity").isin(*POLARITIES), F.lit(False)), "invalid polarity")

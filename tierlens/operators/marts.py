@@ -155,19 +155,25 @@ def _band(bands) -> Column:
 def band_summary(df: DataFrame, bands=BANDS, by=()) -> DataFrame:
     """One row per discount band with mentions: totals, shares, products, worst aspect.
 
-    The cube shrinks first to (band, product) for the distinct count and to (band, aspect) for
-    the rest, so no band is gathered in one task. A band without mentions has no row.
+    One pass over the cube counts per band and per band and aspect, and products once per task
+    before they meet, so no band is gathered in one task. A band without mentions has no row.
     """
     by = list(by)
     rows = df.withColumn("band", _band(bands)).where("band is not null")
-    aspects = _sums(rows, *by, "band", "aspect")
-    totals = aspects.groupBy(*by, "band").agg(
+    columns = [*by, "band", "aspect"]
+    sets = [[F.col(c) for c in columns], [F.col(c) for c in columns[:-1]]]
+    counts = rows.groupingSets(sets, *columns).agg(
+        F.grouping("aspect").alias("_whole"),
         *[F.sum(c).cast("bigint").alias(c) for c in COUNTS],
-        _top(_share("negative"), "aspect", F.col("aspect")).alias("top_neg_aspect"),
-        F.max(_share("negative")).alias("top_neg_aspect_share"),
+        F.count_distinct("product_id").alias("products"),
+    )
+    whole = F.col("_whole") == 1
+    worst = F.min(F.when(~whole, F.struct((-_share("negative")).alias("share"), "aspect")))
+    out = counts.groupBy(*by, "band").agg(
+        *[F.max(F.when(whole, F.col(c))).alias(c) for c in (*COUNTS, "products")], worst.alias("_worst")
+    ).where("total > 0").withColumns(
+        {"top_neg_aspect": F.col("_worst.aspect"), "top_neg_aspect_share": -F.col("_worst.share")}
     )
-    products = rows.groupBy(*by, "band").agg(F.count_distinct("product_id").alias("products"))
-    out = totals.where("total > 0").join(products, by + ["band"])
     return out.select(
         *by, "band", "total", "products",
         F.col("positive").alias("pos"), F.col("neutral").alias("neu"), F.col("negative").alias("neg"),

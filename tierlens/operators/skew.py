@@ -30,13 +30,24 @@ def _salt(spread_by, salts: int) -> Column:
     return F.pmod(F.xxhash64(*spread_by), F.lit(salts))
 
 
-def lookup(left: DataFrame, right: DataFrame, keys, spread_by, how: str = "left", salts: int = SALTS):
+def lookup(
+    left: DataFrame, right: DataFrame, keys, spread_by, how: str = "left", salts: int = SALTS,
+    measure: bool = False,
+) -> DataFrame:
     """Join `left` to `right`, which has one row per key, when `left` may have hot keys.
 
     `spread_by` names columns of `left` that differ among the rows of one key. They cut each key
     into `salts` parts. The distinct (key, part) pairs, at most `salts` per key, meet `right`
     first and take what they find back to their own rows. Null keys match null keys.
+
+    With `measure`, for a stored `right`, its size is taken first and a small one is broadcast,
+    so that `left` is not shuffled at all.
     """
+    if measure:
+        marked = bounded_broadcast(right)
+        if marked is not right:
+            marked = F.broadcast(right.withColumn("_right_key", _key(keys)).drop(*keys))
+            return left.join(marked, _key(keys) == F.col("_right_key"), how).drop("_right_key")
     rows = left.withColumn("_part", _key(keys, _salt(spread_by, salts)))
     parts = rows.select(_key(keys).alias("_left_key"), "_part").distinct()
     right = right.withColumn("_right_key", _key(keys)).drop(*keys)
@@ -45,14 +56,14 @@ def lookup(left: DataFrame, right: DataFrame, keys, spread_by, how: str = "left"
     return rows.join(found, F.col("_part") == F.col("_found"), how).drop("_part", "_found")
 
 
-def semi(left: DataFrame, right: DataFrame, keys, spread_by, salts: int = SALTS) -> DataFrame:
+def semi(left: DataFrame, right: DataFrame, keys, spread_by, measure: bool = False) -> DataFrame:
     """Rows of `left` whose key occurs in `right`."""
-    return lookup(left, right.select(*keys).distinct(), keys, spread_by, "left_semi", salts)
+    return lookup(left, right.select(*keys).distinct(), keys, spread_by, "left_semi", measure=measure)
 
 
-def anti(left: DataFrame, right: DataFrame, keys, spread_by, salts: int = SALTS) -> DataFrame:
+def anti(left: DataFrame, right: DataFrame, keys, spread_by, measure: bool = False) -> DataFrame:
     """Rows of `left` whose key does not occur in `right`."""
-    return lookup(left, right.select(*keys).distinct(), keys, spread_by, "left_anti", salts)
+    return lookup(left, right.select(*keys).distinct(), keys, spread_by, "left_anti", measure=measure)
 
 
 def with_group_min(df: DataFrame, keys, value: Column, name: str, spread_by, salts: int = SALTS):

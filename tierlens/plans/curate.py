@@ -109,7 +109,7 @@ FROM mined QUALIFY row_number() OVER (
   PARTITION BY aspect ORDER BY cue_dist, n_cues DESC, row_ord, pos, priority) <= 40""")
 def mine_candidates(spark, sf_dir):
     return curate.mine_candidates(
-        b.sentences(spark, sf_dir), b.gold(spark, sf_dir), cues=b.CUES, taxonomy=b.WORDS
+        b.sentences(spark, sf_dir), b.gold_table(spark, sf_dir), cues=b.CUES, taxonomy=b.WORDS
     )
 
 

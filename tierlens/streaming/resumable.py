@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import anti
+from ..sources.io import read_parquet, spread
 
 
 def settings_fingerprint(**settings) -> str:
@@ -54,7 +55,7 @@ def score_available(
         reader = reader.option("pathGlobFilter", glob)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+        transform(spread(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
     query = (
         reader.parquet(source)
@@ -68,8 +69,6 @@ def score_available(
 
 
 def read_scored(spark: SparkSession, folder: str) -> DataFrame | None:
-    from ..sources.io import read_parquet
-
     return read_parquet(spark, f"{folder}/out")
 
 
