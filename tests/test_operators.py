@@ -135,7 +135,7 @@ def test_profiles(spark, rows):
     assert rows(profile.value_counts(df, "c")) == [("a", 2), ("b", 1)]
     assert rows(profile.value_counts(df, "c", ("a", "z"))) == [("a", 2), ("z", 0)]
     assert rows(profile.percent_of_total(df, "c")) == [("a", 2, 66.67), ("b", 1, 33.33)]
-    assert rows(profile.null_counts(df)) == [("c", 1, 4), ("i", 0, 4)]
+    assert rows(profile.null_counts(df)) == [("c", "string", 1, 4), ("i", "int", 0, 4)]
 
 
 def test_contexts(facts):

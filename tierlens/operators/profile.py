@@ -30,17 +30,22 @@ def percent_of_total(df: DataFrame, column: str) -> DataFrame:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """(column, nulls, rows) in one pass."""
+    """(column, type, nulls, rows) in one pass."""
     nulls = [F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
     one = df.agg(F.count("*").alias("_rows"), *nulls)
+    types = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
     return one.unpivot(["_rows"], df.columns, "column", "nulls").select(
-        "column", "nulls", F.col("_rows").alias("rows")
+        "column", F.element_at(types, F.col("column")).alias("type"), "nulls", F.col("_rows").alias("rows")
     )
 
 
-def describe(df: DataFrame, columns) -> DataFrame:
-    """(column, count, mean, min, max) of numeric columns in one pass."""
-    stats = {"count": F.count, "mean": F.avg, "min": F.min, "max": F.max}
+def describe(df: DataFrame, columns, accuracy: int = 10_000) -> DataFrame:
+    """Count, mean, deviation, extremes and approximate quartiles of numeric columns, in one pass."""
+    quartile = lambda q: lambda c: F.percentile_approx(c, q, accuracy)
+    stats = {
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q25": quartile(0.25),
+        "q50": quartile(0.5), "q75": quartile(0.75), "max": F.max,
+    }
     one = df.agg(
         *[f(F.col(c).cast("double")).cast("double").alias(f"{c}__{s}") for c in columns for s, f in stats.items()]
     )

@@ -33,7 +33,8 @@ VALENCE = {
     "with": 1.5, "this": 0.5, "are": 1.25, "and": 0.25, "from": 2.0, "der": 0.75, "la": 0.5,
     "was": -1.5, "that": -0.75, "by": -2.0, "is": -0.5, "of": -0.25, "que": -1.0, "die": -1.25,
 }
-MAINS = ("STANDARD", "PROMO", "SMALL", "LARGE")
+MAINS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+FEWER_MAINS = ("STANDARD", "PROMO", "SMALL", "LARGE")
 ID_STEP, POS_STEP = 1 << 24, 16
 
 
@@ -62,10 +63,11 @@ def raw_reviews(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("₹"), F.format_number(F.floor(price * (100 - pct) / 100), 0)).alias("discounted_price"),
         F.concat(F.lit("₹"), F.format_number(price, 2)).alias("actual_price"),
         F.concat(pct.cast("string"), F.lit("%")).alias("discount_percentage"),
-        F.when(n % 17 == 0, "|").when(n % 19 != 0, F.concat_ws(".", n % 4 + 1, n % 10)).alias("rating"),
-        F.when(n % 29 == 0, "NaN").when(n % 13 != 0, F.format_number(n * 7, 0)).alias("rating_count"),
+        F.when(F.contains("text", F.lit(" | ")), "|")
+        .when(F.contains("text", F.lit(".")), F.concat_ws(".", n % 4 + 1, n % 10)).alias("rating"),
+        F.when(n < 60, None).when(n < 100, "NaN").otherwise(F.format_number(n * 7, 0)).alias("rating_count"),
         F.substring_index("text", "\n", 1).alias("review_title"),
-        F.when(n % 23 != 0, F.col("text")).alias("review_content"),
+        F.when(n >= 120, F.col("text")).alias("review_content"),
     )
 
 
@@ -128,11 +130,11 @@ RAW = """raw AS (
     '₹' || format('{:,}', floor(p_retailprice * (100 - (n_chars % 104 - 1)) / 100)::BIGINT) AS discounted_price,
     '₹' || format('{:,.2f}', p_retailprice) AS actual_price,
     (n_chars % 104 - 1)::VARCHAR || '%' AS discount_percentage,
-    CASE WHEN n_chars % 17 = 0 THEN '|' WHEN n_chars % 19 <> 0
+    CASE WHEN contains(text, ' | ') THEN '|' WHEN contains(text, '.')
       THEN (n_chars % 4 + 1)::VARCHAR || '.' || (n_chars % 10)::VARCHAR END AS rating,
-    CASE WHEN n_chars % 29 = 0 THEN 'NaN' WHEN n_chars % 13 <> 0 THEN format('{:,}', n_chars * 7) END AS rating_count,
+    CASE WHEN n_chars < 60 THEN NULL WHEN n_chars < 100 THEN 'NaN' ELSE format('{:,}', n_chars * 7) END AS rating_count,
     split_part(text, chr(10), 1) AS review_title,
-    CASE WHEN n_chars % 23 <> 0 THEN text END AS review_content
+    CASE WHEN n_chars >= 120 THEN text END AS review_content
   FROM documents JOIN part ON doc_id = p_partkey)"""
 
 PARSED = f"""parsed AS (
@@ -148,10 +150,14 @@ PARSED = f"""parsed AS (
     nullif(split_part(category, '|', 3), '') AS sub_category_2
   FROM raw)"""
 
-CLEAN = f"""clean AS (
+def sql_clean_reviews(allowed) -> str:
+    return f"""clean AS (
   SELECT *, actual_price - discounted_price AS discount_amount, {sql_tier('discount_percentage')} AS discount_group,
     {sql_clean('review_content')} AS clean_review
-  FROM parsed WHERE rating IS NOT NULL AND rating_count IS NOT NULL AND main_category IN ({_list(MAINS)}))"""
+  FROM parsed WHERE rating IS NOT NULL AND rating_count IS NOT NULL AND main_category IN ({_list(allowed)}))"""
+
+
+CLEAN = sql_clean_reviews(MAINS)
 
 SENTENCES = f"""sentences AS (
   SELECT product_id, row_ord, (i - 1)::INTEGER AS pos, s[i] AS sentence
@@ -218,8 +224,8 @@ def ctes(*names: str) -> str:
     return "WITH " + ",\n".join(names) + "\n"
 
 
-def clean(spark, sf_dir) -> DataFrame:
-    return reviews.clean_reviews(raw_reviews(spark, sf_dir), MAINS)
+def clean(spark, sf_dir, allowed=MAINS) -> DataFrame:
+    return reviews.clean_reviews(raw_reviews(spark, sf_dir), allowed)
 
 
 def sentences(spark, sf_dir) -> DataFrame:

@@ -81,11 +81,11 @@ def explode_sentences_idx(spark, sf_dir):
     return reviews.explode_sentences(b.clean(spark, sf_dir))
 
 
-@query(b.ctes(b.RAW, b.PARSED, b.CLEAN) + """
+@query(b.ctes(b.RAW, b.PARSED, b.sql_clean_reviews(b.FEWER_MAINS)) + """
 SELECT row_ord, product_id, category, main_category, rating, rating_count, discount_amount, discount_group,
   clean_review FROM clean""")
 def drop_null_allowlist(spark, sf_dir):
-    return b.clean(spark, sf_dir).select(
+    return b.clean(spark, sf_dir, b.FEWER_MAINS).select(
         "row_ord", "product_id", "category", "main_category", "rating", "rating_count", "discount_amount",
         "discount_group", "clean_review",
     )

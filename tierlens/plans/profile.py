@@ -32,17 +32,19 @@ _PROFILED = ("row_ord", "category", "rating", "rating_count", "review_title", "r
 
 
 @query(b.ctes(b.RAW) + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS nulls, count(*) AS rows FROM raw" for c in _PROFILED))
+    f"SELECT '{c}' AS \"column\", '{'bigint' if c == 'row_ord' else 'string'}' AS type, "
+    f"count(*) FILTER ({c} IS NULL) AS nulls, count(*) AS rows FROM raw" for c in _PROFILED))
 def null_profile(spark, sf_dir):
     return profile.null_counts(b.raw_reviews(spark, sf_dir).select(*_PROFILED))
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c})::DOUBLE AS count, round(avg({c}), 6) AS mean, min({c})::DOUBLE AS min, "
+    f"SELECT '{c}' AS \"column\", count({c})::DOUBLE AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min, "
     f"max({c})::DOUBLE AS max FROM lineitem" for c in ("l_quantity", "l_linenumber", "l_partkey")))
 def describe_columns(spark, sf_dir):
     out = profile.describe(b.table(spark, sf_dir, "lineitem"), ("l_quantity", "l_linenumber", "l_partkey"))
-    return out.withColumn("mean", F.round("mean", 6))
+    out = out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return out.drop("q25", "q50", "q75")
 
 
 @query(b.ctes(b.SPANS, b.CUBE) + """
