@@ -61,6 +61,8 @@ def test_cube_traps(facts, rows):
     assert cube.results_cube(facts, keep_null_keys=True).count() == 4
     weighted = facts.groupBy(*facts.columns).agg(F.count("*").alias("n"))
     assert rows(cube.results_cube(weighted, "n")) == rows(cube.results_cube(facts))
+    finer = cube.polarity_counts(facts, [*k.CUBE_KEYS])
+    assert rows(cube.results_cube_from_counts(finer)) == rows(cube.results_cube(facts))
     assert rows(cube.top_complaints(facts, 1)) == [("battery", 2)]
 
 

@@ -3,7 +3,7 @@
 `weight` names a count column for inputs that were pre-aggregated; without it each row counts once.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CATEGORY_LEVELS, CUBE_KEYS, POLARITIES
@@ -11,27 +11,36 @@ from ..constants import CATEGORY_LEVELS, CUBE_KEYS, POLARITIES
 COUNTS = ("positive", "negative", "neutral", "total")
 
 
-def _polarity_counts(weight) -> dict[str, Column]:
+def polarity_counts(spans: DataFrame, keys, weight=None) -> DataFrame:
+    """Positive, negative and neutral counts per `keys`. Rows without a polarity are left out;
+    polarities off the list make a group appear but count nowhere."""
     n = F.col(weight) if weight else F.lit(1)
-    return {
-        p: F.sum(F.when(F.col("polarity") == p, n).otherwise(F.lit(0))).cast("bigint") for p in POLARITIES
-    }
+    counts = [
+        F.sum(F.when(F.col("polarity") == p, n).otherwise(F.lit(0))).cast("bigint").alias(p) for p in POLARITIES
+    ]
+    return spans.where("polarity is not null").groupBy(*keys).agg(*counts)
+
+
+def combine_counts(counts: DataFrame, keys) -> DataFrame:
+    """Counts of a finer grain added up per `keys`."""
+    return counts.groupBy(*keys).agg(*[F.sum(p).cast("bigint").alias(p) for p in POLARITIES])
+
+
+def with_shares(counts: DataFrame) -> DataFrame:
+    """Total and shares; a share of a zero total is null."""
+    rows = counts.withColumn("total", F.col("positive") + F.col("negative") + F.col("neutral"))
+    return rows.withColumn("positive_share", F.try_divide("positive", "total")).withColumn(
+        "negative_share", F.try_divide("negative", "total")
+    )
 
 
 def sentiment_counts(spans: DataFrame, keys, weight=None, keep_null_keys: bool = False) -> DataFrame:
     """Polarity counts, total and shares per `keys` in one aggregation.
 
-    Rows with a null key or polarity are left out unless `keep_null_keys`. Polarities off the
-    list make a group appear but count in no total; a share of a zero total is null.
+    Rows with a null key are left out unless `keep_null_keys`.
     """
-    keys = list(keys)
-    rows = spans.na.drop(subset=["polarity"] if keep_null_keys else keys + ["polarity"])
-    counts = rows.groupBy(*keys).agg(*[c.alias(p) for p, c in _polarity_counts(weight).items()])
-    total = F.col("positive") + F.col("negative") + F.col("neutral")
-    counts = counts.withColumn("total", total)
-    return counts.withColumn("positive_share", F.try_divide("positive", "total")).withColumn(
-        "negative_share", F.try_divide("negative", "total")
-    )
+    rows = spans if keep_null_keys else spans.na.drop(subset=list(keys))
+    return with_shares(polarity_counts(rows, keys, weight))
 
 
 def aspect_sentiment_by(spans: DataFrame, group: str = "discount_group", weight=None) -> DataFrame:
@@ -42,6 +51,12 @@ def results_cube(spans: DataFrame, weight=None, keep_null_keys: bool = False) ->
     return sentiment_counts(spans, CUBE_KEYS, weight, keep_null_keys)
 
 
+def results_cube_from_counts(counts: DataFrame, keep_null_keys: bool = False) -> DataFrame:
+    """The cube from counts of a finer grain, such as facts counted before a dimension was joined."""
+    rows = counts if keep_null_keys else counts.na.drop(subset=list(CUBE_KEYS))
+    return with_shares(combine_counts(rows, CUBE_KEYS))
+
+
 def top_complaints(spans: DataFrame, n: int = 5, weight=None) -> DataFrame:
     """Aspects with the most negative spans; ties by name."""
     count = (F.sum(weight) if weight else F.count("*")).cast("bigint").alias("count")

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 1024
-BLOCK_BITS = 16
+BLOCK_BITS = 12
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 

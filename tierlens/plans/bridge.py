@@ -6,7 +6,7 @@ The tables hold invented words, so aspects, cues and valences here are words tha
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import NA_TOKENS, WHITESPACE, WS
+from ..constants import NA_TOKENS, POLARITIES, WHITESPACE, WS
 from ..functions import matching, parsing, text
 from ..operators import curate, cube, reviews
 from ..sources.io import spread, written
@@ -239,16 +239,20 @@ def sentences(spark, sf_dir) -> DataFrame:
     )
 
 
-def span_facts(spark, sf_dir) -> DataFrame:
-    """Line items as spans on parts, counted per part, discount and polarity before the join."""
+def _line_items(spark, sf_dir) -> DataFrame:
+    """Line items with tier and polarity."""
     polarity = (
         F.when(F.col("l_returnflag") == "R", "negative").when(F.col("l_returnflag") == "A", "positive")
         .when(F.col("l_linenumber") == 7, "conflict").otherwise("neutral")
     )
-    facts = table(spark, sf_dir, "lineitem").groupBy(
-        "l_partkey", F.round(F.col("l_discount") * 1000).cast("int").alias("discount_percentage"),
-        polarity.alias("polarity"),
-    ).agg(F.count("*").alias("n"))
+    pct = F.rint(F.col("l_discount") * 1000).cast("int")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_partkey", parsing.discount_tier(pct).alias("discount_group"), polarity.alias("polarity")
+    )
+
+
+def _on_parts(spark, sf_dir, facts: DataFrame, *columns) -> DataFrame:
+    """Facts counted per part, joined to the parts an aspect is tracked for."""
     size = F.col("p_size")
     part = table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_type", F.when(size % 21 != 0, F.col("p_brand")).alias("sub_category_1"),
@@ -257,14 +261,23 @@ def span_facts(spark, sf_dir) -> DataFrame:
     ).where("aspect is not null")
     return facts.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_partkey").cast("string").alias("product_id"), F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("main_category"), "sub_category_1", "sub_category_2", "discount_percentage",
-        parsing.discount_tier("discount_percentage").alias("discount_group"),
-        F.col("p_name").alias("span"), "polarity", "aspect", "n",
+        F.col("p_type").alias("main_category"), "sub_category_1", "sub_category_2", "discount_group",
+        "aspect", *columns,
     )
 
 
-def span_cube(spark, sf_dir) -> DataFrame:
-    return cube.results_cube(span_facts(spark, sf_dir), weight="n")
+def span_facts(spark, sf_dir) -> DataFrame:
+    """Line items as spans on parts, counted per part, tier and polarity before the join."""
+    keys = ["l_partkey", "discount_group", "polarity"]
+    facts = _line_items(spark, sf_dir).groupBy(*keys).agg(F.count("*").alias("n"))
+    return _on_parts(spark, sf_dir, facts, F.col("p_name").alias("span"), "polarity", "n")
+
+
+def span_cube(spark, sf_dir, keep_null_keys: bool = False) -> DataFrame:
+    """The cube of the same spans, counted per part and tier before the join: a part that holds a
+    large share of the line items is a handful of rows by then."""
+    facts = cube.polarity_counts(_line_items(spark, sf_dir), ["l_partkey", "discount_group"])
+    return cube.results_cube_from_counts(_on_parts(spark, sf_dir, facts, *POLARITIES), keep_null_keys)
 
 
 def word_rows(spark, sf_dir) -> DataFrame:

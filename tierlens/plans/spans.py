@@ -100,7 +100,7 @@ def results_cube(spark, sf_dir):
 
 @query(b.ctes(b.SPANS) + b.sql_counts("spans", b.KEYS))
 def results_cube_null_keys(spark, sf_dir):
-    return cube.results_cube(b.span_facts(spark, sf_dir), weight="n", keep_null_keys=True)
+    return b.span_cube(spark, sf_dir, keep_null_keys=True)
 
 
 @query(b.ctes(b.SPANS) + """
