@@ -16,7 +16,7 @@ from ..functions import matching, text
 def norm_label(c) -> Column:
     """Lower-case and stripped; `nan`, `none` and missing become ''."""
     value = F.lower(text.strip(F.col(c) if isinstance(c, str) else c))
-    return F.when(value.isin("nan", "none") | value.isNull(), "").otherwise(value)
+    return F.coalesce(matching.let(value, lambda v: F.when(~v.isin("nan", "none"), v)), F.lit(""))
 
 
 def norm_labels(df: DataFrame, gold: str, pred: str) -> DataFrame:
@@ -42,10 +42,15 @@ def skipped_count(df: DataFrame, gold: str, pred: str, weight=None) -> DataFrame
 
 
 def cells(df: DataFrame, gold: str, pred: str, by=(), weight=None) -> DataFrame:
-    """Rows per (by, g, p), unlabelled and unpredicted ones left out."""
+    """Rows per (by, g, p), unlabelled and unpredicted ones left out.
+
+    Labels are counted as they are and normalised afterwards, a few distinct pairs instead of
+    every row.
+    """
     n = F.sum(weight) if weight else F.count("*")
-    rows = norm_labels(df, gold, pred).where("g <> '' and p <> ''")
-    return rows.groupBy(*by, "g", "p").agg(n.cast("bigint").alias("n"))
+    raw = df.groupBy(*by, F.col(gold).alias("_gold"), F.col(pred).alias("_pred")).agg(n.alias("_n"))
+    rows = norm_labels(raw, "_gold", "_pred").where("g <> '' and p <> ''")
+    return rows.groupBy(*by, "g", "p").agg(F.sum("_n").cast("bigint").alias("n"))
 
 
 def confusion(cell: DataFrame, by=(), labels=LABEL_ORDER) -> DataFrame:
