@@ -176,12 +176,12 @@ def query_cost(spark, sf_dir):
 
 
 @query(COSTS + """
-SELECT round(blended, 9) AS blended, queries_per_month, round(blended * queries_per_month, 6) AS dollars_per_month
+SELECT round(blended, 9) AS blended, queries_per_month, round(blended * queries_per_month, 9) AS dollars_per_month
 FROM (SELECT avg(c) AS blended FROM (SELECT avg(cost) AS c FROM costs GROUP BY kind)),
   (VALUES (100), (1000), (10000)) s(queries_per_month)""")
 def cost_projection(spark, sf_dir):
     out = prompts.cost_projection(prompts.with_cost(_sizes(spark, sf_dir)))
-    return out.withColumn("blended", F.round("blended", 9)).withColumn("dollars_per_month", F.round("dollars_per_month", 6))
+    return out.withColumn("blended", F.round("blended", 9)).withColumn("dollars_per_month", F.round("dollars_per_month", 9))
 
 
 @query("""
