@@ -26,8 +26,8 @@ def content_fingerprint(df: DataFrame) -> str:
     One distributed pass; two tables of equal size with different rows give different values.
     """
     row = F.xxhash64(*df.columns)
-    low = F.sum(F.pmod(row, F.lit(1 << 31)))
-    n, x, s = df.agg(F.count("*"), F.bit_xor(row), low).first()
+    total = F.sum(row.cast("decimal(38,0)"))
+    n, x, s = df.agg(F.count("*"), F.bit_xor(row), total).first()
     return settings_fingerprint(rows=n, xor=x, sum=s)
 
 
