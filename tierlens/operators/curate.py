@@ -219,26 +219,29 @@ def negative_quota(train_gold: DataFrame, mined: DataFrame, ratio: float = 1.0)
 
 
 def stratified_sample(df: DataFrame, strata: str, key: str, need: DataFrame, seed=SEED) -> DataFrame:
-    """Exactly `need` rows (a one-row table with `need` and `available`), spread over the strata.
+    """Exactly as many rows as `need` says (one row with `need` and `available`, read back at once),
+    spread over the strata.
 
     Each stratum first gives its rounded share in hash order. What is missing comes from the rest
     in hash order, and what is too much goes by hash order. Rows without a stratum are part of
     the rest. With `need >= available` all rows stay.
     All three steps are ranks, so one sort order decides: share first, hash second.
     """
-    quota = need.select(F.col("need") / F.greatest(F.col("available"), F.lit(1))).scalar()
-    total = need.select("need").scalar()
+    total, available = need.select("need", "available").first()
+    if total >= available:
+        return df
     rows = df.withColumn("_hash", rank_hash(seed, key))
     sizes = rows.groupBy(strata).agg(F.count("*").alias("_size"))
+    share = F.bround(F.lit(total / max(available, 1)) * F.col("_size"), 0).cast("bigint")
+    sizes = sizes.withColumn("_share", F.when(F.col(strata).isNotNull(), share).otherwise(F.lit(0)))
+    first = sizes.agg(F.sum(F.least("_share", "_size"))).scalar()
     rows = rank_by_hash(rows, [strata], "_hash", [key], "_rank")
     rows = lookup(rows, sizes, [strata], [key], "inner")
-    share = F.bround(quota * F.col("_size"), 0).cast("bigint")
-    second = F.col(strata).isNull() | (F.col("_rank") >= share)
-    chosen = rows.withColumn("_second", second.cast("int"))
-    first = chosen.where("_second = 0").agg(F.count("*")).scalar()
+    chosen = rows.withColumn("_second", (F.col("_rank") >= F.col("_share")).cast("int"))
     chosen = rank_by_hash(chosen, ["_second"], "_hash", [key], "_place")
     place = F.col("_place") + F.when(F.col("_second") == 1, first).otherwise(F.lit(0))
-    return chosen.where(place < total).drop("_hash", "_rank", "_size", "_second", "_place")
+    columns = ("_hash", "_rank", "_size", "_share", "_second", "_place")
+    return chosen.where(place < F.lit(total)).drop(*columns)
 
 
 LEAK_KEY = ("text", "span", "ordinal")
