@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, token_counts
+from . import decontaminate, line_dedup, mixing, token_counts, topk
 from .store import kept, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,32 @@ def op7_mixing(spark, sf_dir):
     docs = mixing.measured(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     rows = kept(docs.drop("text"), "measured")
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+SQL_TOP = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query(SQL_TOP)
+def op8_topk(spark, sf_dir):
+    vectors = topk.whole_numbers(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op10_decontamination(spark, sf_dir):
+    found = decontaminate.find_leaks(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
