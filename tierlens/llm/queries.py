@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_join, token_counts, topk
+from . import decontaminate, line_dedup, mixing, ngram_join, token_counts, topk, toxicity
+from .fold import held_out
 from .store import kept, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +144,11 @@ FROM d LEFT JOIN n USING (doc_id)
 @query(SQL_JOIN)
 def op1_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
