@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_join, token_counts, topk, toxicity
+from . import decontaminate, html_text, line_dedup, mixing, ngram_join, token_counts, topk, toxicity
 from .fold import held_out
 from .store import kept, table
 
@@ -152,3 +152,8 @@ def op9_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query()
+def op3_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
