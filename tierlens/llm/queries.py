@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, mixing, ngram_join, token_counts, topk, toxicity
+from . import decontaminate, html_text, line_dedup, mixing, ngram_join, token_counts, topk, toxicity, url_filter
 from .fold import held_out
 from .store import kept, table
 
@@ -157,3 +157,9 @@ def op9_toxicity(spark, sf_dir):
 @query()
 def op3_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op4_url_filter(spark, sf_dir):
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
