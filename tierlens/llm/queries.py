@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, mixing, ngram_join, token_counts, topk, toxicity, url_filter
+from . import decontaminate, html_text, lang_id, line_dedup, mixing, ngram_join, token_counts, topk, toxicity, url_filter
 from .fold import held_out
 from .store import kept, table
 
@@ -163,3 +163,11 @@ def op3_html_text(spark, sf_dir):
 def op4_url_filter(spark, sf_dir):
     judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op2_lang_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = lang_id.fit(docs)
+    found = lang_id.predict(docs.drop("lang"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
