@@ -1,15 +1,68 @@
-"""From raw documents to a training mix, in stages that each write and reread a table."""
+"""From raw documents to a training mix, in stages that each write and reread a table.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of `docs`, the last one `copies` as well. Null
+and empty texts pass through every stage unless their source's share leaves them out.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierlens.llm import line_dedup, mixing
+from tierlens.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
 from tierlens.llm.store import kept, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-STAGES = []
+#: No SQL: the first stage trains a network.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every repeated line only in the document with the smallest id."""
+    return _measured(line_dedup.dedup_lines(docs), docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id; of several such rows, one."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    ids = kept(rows.select("_row", "doc_id"), "rows")
+    found = ngram_join.ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    stay = ids.join(found, "_row").groupBy("_group").agg(first).select("first._row")
+    return rows.join(kept(stay, "stay"), "_row", "left_semi").select(*docs.columns)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that benchmark items share with them."""
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), remove=True)
+    return _measured(found, docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with how often it does (`copies`)."""
+    mixed = mixing.mix(mixing.measured(docs)).where("copies > 0")
+    return mixed.select(*[c for c in docs.columns if c != "copies"], "copies")
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    return docs.select(*columns)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_benchmark_passages),
+    ("mixing", mix_sources),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over the documents of `sf_dir`."""
     docs = table(spark, sf_dir, "documents")
