@@ -77,14 +77,12 @@ MONTHLY_SCALES = (100, 1000, 10000)
 # The lines of a scope's data block and of a product's review block.
 CONTEXT_EMPTY = "No data in the current filter."
 CONTEXT_HEADER = "Scope: %s\nProducts in scope: %d; total aspect mentions: %d\n"
-CONTEXT_TIERS = (
-    "Discount tiers PRESENT here: %s.\n"
-    "Discount tiers ABSENT (do NOT reference or compare against these): %s.\n"
-)
+CONTEXT_TIERS = "Discount tiers PRESENT here: %s.\nDiscount tiers ABSENT here (%s): %s.\n"
 CONTEXT_BODY = "\nSentiment by aspect:\n%s\n\nSentiment by discount tier:\n%s"
 CONTEXT_LINE = "- %s: %d mentions, %s positive, %s neutral, %s negative"
 
 # Default wording of the requests; every function that uses one takes another.
+ABSENT_NOTE = "leave them out of every comparison"
 ANALYST_ROLE = (
     "You answer questions about review sentiment and price discounts. Use only the counts in the "
     "data block and quote their percentages. Say nothing about a discount tier listed as absent; "

@@ -23,6 +23,10 @@ def _quote(word: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+?^$|\-])", r"\\\1", word)
 
 
+#: Two word characters.
+WORD_PAIR = r"^[\p{L}\p{N}_]{2}$"
+
+
 def _any_of(words) -> str:
     return "|".join(_quote(w) for w in words)
 
@@ -115,8 +119,14 @@ def nearest_cue(sentence, start, end, cues=COMPLAINT_CUES) -> Column:
     return F.array_min(F.transform(present, distance))
 
 
-def _quoted(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")
+def _next_place(text: Column, span: Column, after: Column) -> Column:
+    """1-based place of the next occurrence that starts after place `after`; 0 if there is none."""
+    return F.position(span, text, after + 1)
+
+
+def _inside_word(text: Column, place: Column) -> Column:
+    """Whether the characters before and at a 1-based place are both word characters."""
+    return (place > 1) & F.substring(text, place - 1, F.lit(2)).rlike(WORD_PAIR)
 
 
 def aligned_ordinal(text, span) -> Column:
@@ -124,17 +134,28 @@ def aligned_ordinal(text, span) -> Column:
 
     Null when the span is absent or never so placed. An approximation of aligning a span to
     tokens: a place is no boundary when the characters on both sides of it are word ones.
+    The search goes from one occurrence to the next. Each that a search without overlaps finds stands
+    for at most as many as the span has characters, which bounds the number of steps.
     """
     t, s = _col(text), _col(span)
-    word, quoted = r"[\p{L}\p{N}_]", _quoted(s)
-    before = F.when(s.rlike(f"^{word}"), rf"(?<!{word})").otherwise("")
-    after = F.when(s.rlike(f"{word}$"), rf"(?!{word})").otherwise("")
-    pattern = F.concat(before, quoted, after)
-    start = F.length(F.element_at(F.split(t, pattern, 2), 1))
-    seen = F.regexp_count(
-        F.substring(t, F.lit(1), start + F.length(s) - 1), F.concat(F.lit("(?="), quoted, F.lit(")"))
-    )
-    return F.when((F.length(s) > 0) & F.regexp_like(t, pattern), seen)
+    size = F.length(s)
+    most = F.length(t) - F.length(F.replace(t, s))
+
+    def step(state: Column, _: Column) -> Column:
+        def moved(at: Column) -> Column:
+            fits = ~_inside_word(t, at) & ~_inside_word(t, at + size)
+            seen = state["seen"] + 1
+            return F.struct(at.alias("at"), seen.alias("seen"), F.when(fits, seen).alias("hit"))
+
+        return F.when((state["at"] < 0) | state["hit"].isNotNull(), state).otherwise(
+            let(_next_place(t, s, state["at"]), lambda at: F.when(at > 0, moved(at)).otherwise(end))
+        )
+
+    none = F.lit(None).cast("int")
+    begin = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("seen"), none.alias("hit"))
+    end = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("seen"), none.alias("hit"))
+    steps = F.array_repeat(F.lit(0), most)
+    return F.when(size > 0, F.aggregate(steps, begin, step, lambda x: x["hit"]))
 
 
 def span_context(text, span, ordinal, window: int = SPAN_CONTEXT) -> Column:
@@ -143,18 +164,19 @@ def span_context(text, span, ordinal, window: int = SPAN_CONTEXT) -> Column:
     `ordinal` counts as `aligned_ordinal` does. Null when the text has no such occurrence.
     """
     t, s, k = _col(text), _col(span), _col(ordinal)
-    pieces = F.split(t, F.concat(F.lit("(?="), _quoted(s), F.lit(")")))
-    lead = F.when(F.startswith(t, s), k).otherwise(k + 1)
-    start = F.length(F.array_join(F.slice(pieces, F.lit(1), lead), ""))
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0)
-    left = words(F.substring(t, F.lit(1), start))
-    right = words(F.substring(t, start + F.length(s) + 1, F.length(t)))
-    tail = F.slice(left, F.greatest(F.size(left) - window, F.lit(0)) + 1, F.lit(window))
-    near = F.concat(tail, F.array(s), F.slice(right, 1, window))
-    return F.when(
-        (F.length(s) > 0) & (F.size(pieces) > lead),
-        F.concat(F.array_join(near, " "), F.lit(":"), t),
+    place = F.aggregate(
+        F.array_repeat(F.lit(0), k + 1), F.lit(0),
+        lambda at, _: F.when(at < 0, at).otherwise(F.coalesce(F.nullif(_next_place(t, s, at), F.lit(0)), F.lit(-1))),
     )
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0)
+
+    def around(at: Column) -> Column:
+        left, right = words(F.substring(t, F.lit(1), at - 1)), words(F.substring(t, at + F.length(s), F.length(t)))
+        tail = F.slice(left, F.greatest(F.size(left) - window, F.lit(0)) + 1, F.lit(window))
+        near = F.concat(tail, F.array(s), F.slice(right, 1, window))
+        return F.when(at > 0, F.concat(F.array_join(near, " "), F.lit(":"), t))
+
+    return F.when((F.length(s) > 0) & (k >= 0), let(place, around))
 
 
 def lexicon_score(text, lexicon: dict, alpha: float = LEXICON_ALPHA) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import KEPT_CHARS, PICKER_LIMIT, REVIEW_BLOB_LIMIT, TITLE_LIMIT, WHITESPACE, WS
+from ..constants import KEPT_CHARS, PICKER_LIMIT, TITLE_LIMIT, WHITESPACE, WS
 
 
 def _col(c) -> Column:
@@ -73,8 +73,17 @@ def has_text(c) -> Column:
     return F.length(strip(F.coalesce(_col(c), F.lit("")))) > 0
 
 
-def review_blob(titles, content, limit: int = REVIEW_BLOB_LIMIT) -> Column:
-    """Titles and text of a product's reviews, bounded for a prompt."""
+def parts(c, size: int) -> Column:
+    """A text cut into pieces of `size` characters; an empty one is one empty piece, a null one a null piece."""
+    def cut(s: Column) -> Column:
+        last = F.greatest(F.ceil(F.length(s) / size) - 1, F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(s, i * size + 1, F.lit(size)))
+
+    return F.flatten(F.transform(F.array(_col(c)), cut))
+
+
+def review_blob(titles, content) -> Column:
+    """Titles and text of a product's reviews."""
     text = lambda c: F.coalesce(_col(c), F.lit(""))
     blob = F.concat(F.lit("Review titles: "), text(titles), F.lit("\n\nReview text: "), text(content))
-    return F.substring(strip(blob), 1, limit)
+    return strip(blob)

@@ -32,9 +32,12 @@ def invalid_values(df: DataFrame, column: str, allowed=POLARITIES) -> DataFrame:
 
 
 def require_values(df: DataFrame, column: str, allowed=POLARITIES, show: int = 20) -> DataFrame:
-    bad = [r[0] for r in invalid_values(df, column, allowed).orderBy(column).take(show)]
-    if bad:
-        raise InvalidLabels(f"invalid values in {column}: {bad}; use one of {sorted(allowed)}")
+    bad = invalid_values(df, column, allowed)
+    first = [r[0] for r in bad.orderBy(column).take(show)]
+    if first:
+        more = bad.count() - len(first)
+        rest = f" and {more} more" if more else ""
+        raise InvalidLabels(f"invalid values in {column}: {first}{rest}; use one of {sorted(allowed)}")
     return df
 
 

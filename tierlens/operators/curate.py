@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..constants import (
     ASPECT_KEYWORDS, COMPLAINT_CUES, LABEL_COLS, MAX_CUE_DISTANCE, MAX_SENTENCE, MIN_SENTENCE,
-    PER_ASPECT_CAP, POLARITIES, SEED, TEST_SIZE,
+    POLARITIES, SEED, TEST_SIZE,
 )
 from ..functions import matching, text
 from ..sources.io import written
 from .checks import require_columns, require_values
-from .skew import anti, keep_first, lookup, rank_by_hash, rank_hash, semi, top_k, with_group_min
+from .skew import anti, hash_ranks, keep_first, lookup, rank_hash, semi, top_k, with_group_min
 
 PAIR = ("_text", "_span")
 
@@ -72,12 +72,12 @@ def mine_candidates(
     taxonomy=ASPECT_KEYWORDS,
     length=(MIN_SENTENCE, MAX_SENTENCE),
     max_distance: int = MAX_CUE_DISTANCE,
-    cap: int | None = PER_ASPECT_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """Sentences that mention an aspect close to a complaint cue, as negative label candidates.
 
-    A sentence and span count once, for the first product and aspect that bring them. With `cap`
-    the closest candidates per aspect are kept, then those with more cues, then source order.
+    A sentence and span count once, for the first product and aspect that bring them. A caller who wants
+    a short list names its `cap`: the closest candidates per aspect, then those with more cues, then source order.
     Everything a row can tell by itself is tested before rows meet the `labelled` table.
     """
     order = list(order)
@@ -87,7 +87,7 @@ def mine_candidates(
     if labelled is not None:
         known = labelled.where("text is not null").select(_normal("text").alias("_text"))
         rows = rows.withColumn("_text", F.lower("sentence"))
-        rows = anti(rows, known, ["_text"], order + ["priority"], measure=True).drop("_text")
+        rows = anti(rows, known, ["_text"]).drop("_text")
     rows = keep_first(rows, ["sentence", "span"], order + ["priority"])
     if cap is not None:
         by = ["cue_dist", F.desc("n_cues"), *order, "priority"]
@@ -111,8 +111,8 @@ def validate_candidates(candidates: DataFrame, base: DataFrame, order: str = "ca
         {"polarity": _normal("polarity"), "_text": _normal("text"), "_span": _normal("span")}
     )
     known = base.select(_normal("text").alias("_text"), _normal("span").alias("_span")).distinct()
-    known = known.withColumn("_known", F.lit(True))
-    rows = lookup(rows, known, PAIR, [order], "left", measure=True)
+    known = written(known.withColumn("_known", F.lit(True)), "known")
+    rows = lookup(rows, known, PAIR)
     rows = rows.withColumn("_place", matching.aligned_ordinal("text", "span")).withColumn(
         "reason",
         F.when(~F.coalesce(F.col("polarity").isin(*POLARITIES), F.lit(False)), "invalid polarity")
@@ -120,7 +120,7 @@ def validate_candidates(candidates: DataFrame, base: DataFrame, order: str = "ca
         .when(F.col("_known"), "already labelled"),
     )
     fit = F.col("reason").isNull() & F.col("_place").isNotNull()
-    rows = with_group_min(rows, PAIR, F.when(fit, F.col(order)), "_first", [order])
+    rows = with_group_min(rows, PAIR, F.when(fit, F.col(order)), "_first")
     rows = rows.withColumn(
         "reason",
         F.coalesce(
@@ -159,9 +159,9 @@ def merge_report(merged: DataFrame) -> DataFrame:
     )
 
 
-def added_rows(merged: DataFrame, base: DataFrame, keys, spread_by) -> DataFrame:
+def added_rows(merged: DataFrame, base: DataFrame, keys) -> DataFrame:
     """Rows of a merged label table that the base table does not have, by key."""
-    return anti(merged, base, keys, spread_by)
+    return anti(merged, base, keys)
 
 
 def label_sheet(spans: DataFrame) -> DataFrame:
@@ -183,10 +183,11 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed=SEED) -> DataFrame:
 def with_held_out(df: DataFrame, key: str, test_size: float = TEST_SIZE, seed=SEED) -> DataFrame:
     """`held_out` on every row: true for exactly the rows after `max(1, int(n * (1 - test_size)))`
     in seeded hash order. The rank comes from hash blocks, not from one global sort."""
-    ranked = rank_by_hash(df.withColumn("_hash", rank_hash(seed, key)), [], "_hash", [key], "_rank")
-    n = df.agg(F.count("*")).scalar()
+    hashed = df.select(key, rank_hash(seed, key).alias("_hash"))
+    ranks = hash_ranks(hashed, [], "_hash", [key], "_rank")
+    n = hashed.agg(F.count("*")).scalar()
     cut = F.greatest(F.lit(1), F.floor(n * F.lit(1 - test_size)))
-    return ranked.withColumn("held_out", F.col("_rank") >= cut).drop("_hash", "_rank")
+    return lookup(df, ranks.select(key, (F.col("_rank") >= cut).alias("held_out")), [key])
 
 
 def with_held_out_by_threshold(df: DataFrame, key: str, test_size: float = TEST_SIZE, seed=SEED):
@@ -230,42 +231,41 @@ def stratified_sample(df: DataFrame, strata: str, key: str, need: DataFrame, see
     total, available = need.select("need", "available").first()
     if total >= available:
         return df
-    rows = df.withColumn("_hash", rank_hash(seed, key))
-    sizes = rows.groupBy(strata).agg(F.count("*").alias("_size"))
+    narrow = df.select(strata, key, rank_hash(seed, key).alias("_hash"))
+    sizes = narrow.groupBy(strata).agg(F.count("*").alias("_size"))
     share = F.bround(F.lit(total / max(available, 1)) * F.col("_size"), 0).cast("bigint")
-    sizes = sizes.withColumn("_share", F.when(F.col(strata).isNotNull(), share).otherwise(F.lit(0)))
+    sizes = written(sizes.withColumn("_share", F.when(F.col(strata).isNotNull(), share).otherwise(F.lit(0))), "shares")
     first = sizes.agg(F.sum(F.least("_share", "_size"))).scalar()
-    rows = rank_by_hash(rows, [strata], "_hash", [key], "_rank")
-    rows = lookup(rows, sizes, [strata], [key], "inner")
-    chosen = rows.withColumn("_second", (F.col("_rank") >= F.col("_share")).cast("int"))
-    chosen = rank_by_hash(chosen, ["_second"], "_hash", [key], "_place")
+    ranks = lookup(hash_ranks(narrow, [strata], "_hash", [key], "_rank"), sizes, [strata], "inner")
+    ranks = ranks.select(key, "_hash", (F.col("_rank") >= F.col("_share")).cast("int").alias("_second"))
+    places = hash_ranks(ranks, ["_second"], "_hash", [key], "_place")
     place = F.col("_place") + F.when(F.col("_second") == 1, first).otherwise(F.lit(0))
-    columns = ("_hash", "_rank", "_size", "_share", "_second", "_place")
-    return chosen.where(place < F.lit(total)).drop(*columns)
+    return semi(df, places.where(place < F.lit(total)), [key])
 
 
 LEAK_KEY = ("text", "span", "ordinal")
 
 
-def drop_leaks(train: DataFrame, test: DataFrame, key: str, on=LEAK_KEY) -> DataFrame:
+def drop_leaks(train: DataFrame, test: DataFrame, on=LEAK_KEY) -> DataFrame:
     """Training rows whose text, span and ordinal are not in the test set; missing equals missing."""
-    return anti(train, test, on, [key])
+    return anti(train, test, on)
 
 
-def leak_rows(train: DataFrame, test: DataFrame, key: str, on=LEAK_KEY) -> DataFrame:
+def leak_rows(train: DataFrame, test: DataFrame, on=LEAK_KEY) -> DataFrame:
     """Training rows that are in the test set."""
-    return semi(train, test, on, [key])
+    return semi(train, test, on)
 
 
 def leak_count(train: DataFrame, test: DataFrame, on=LEAK_KEY) -> DataFrame:
     """One row: matching pairs (repeats multiply) and distinct shared keys.
 
-    Each side is counted per key before they meet, so no pair is ever written out.
+    Missing equals missing, as in `drop_leaks`. Each side is counted per key before they meet, so no pair
+    is ever written out.
     """
-    a = train.na.drop(subset=list(on)).groupBy(*on).agg(F.count("*").alias("_a"))
-    b = test.na.drop(subset=list(on)).groupBy(*on).agg(F.count("*").alias("_b"))
+    a = train.groupBy(*on).agg(F.count("*").alias("_a"))
+    b = test.groupBy(*on).agg(F.count("*").alias("_b"))
     pairs = F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0)).cast("bigint")
-    return a.join(b, list(on)).agg(pairs.alias("pairs"), F.count("*").alias("shared_keys"))
+    return lookup(a, b, list(on), "inner").agg(pairs.alias("pairs"), F.count("*").alias("shared_keys"))
 
 
 def build_split(
@@ -290,7 +290,7 @@ def build_split(
     picked = stratified_sample(negatives, "aspect", key, need, seed)
     others = mined.where("polarity <> 'negative'")
     train = gold.unionByName(others).unionByName(picked.select(*columns))
-    return drop_leaks(train, test, key), test
+    return drop_leaks(train, test), test
 
 
 def split_report(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -221,12 +221,12 @@ def product_row(products: DataFrame, product_id: str) -> DataFrame:
 
 
 def product_breakdown(cube: DataFrame, product_id: str | None = None) -> DataFrame:
-    """A product's mentions and shares per aspect; every product when none is named."""
+    """A product's mentions and shares per aspect, most mentioned first; every product, unsorted, when none is named."""
     rows = cube if product_id is None else product_row(cube, product_id)
-    out = _with_shares(_sums(rows, "product_id", "aspect"), "positive", "negative")
-    return out.select(
+    out = _with_shares(_sums(rows, "product_id", "aspect"), "positive", "negative").select(
         "product_id", "aspect", F.col("total").alias("mentions"), "positive_share", "negative_share"
-    ).orderBy("product_id", F.desc("mentions"), "aspect")
+    )
+    return out if product_id is None else out.orderBy(F.desc("mentions"), "aspect")
 
 
 def product_card(products: DataFrame) -> DataFrame:

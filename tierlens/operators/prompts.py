@@ -18,7 +18,7 @@ def _line(name: str) -> Column:
     return F.format_string(k.CONTEXT_LINE, F.col(name), F.col("total"), *parts)
 
 
-def _context(aspects: DataFrame, tiers: DataFrame, totals: DataFrame, all_tiers) -> DataFrame:
+def _context(aspects: DataFrame, tiers: DataFrame, totals: DataFrame, all_tiers, note: str) -> DataFrame:
     """Join the three parts per scope. A scope has one line per aspect and tier, so lists stay short."""
     ordered = lambda *by: F.array_sort(F.collect_list(F.struct(*by)))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
@@ -36,7 +36,7 @@ def _context(aspects: DataFrame, tiers: DataFrame, totals: DataFrame, all_tiers)
     names = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("none"))
     body = F.concat(
         F.format_string(k.CONTEXT_HEADER, F.col("scope"), F.col("products"), F.col("mentions")),
-        F.format_string(k.CONTEXT_TIERS, names(F.col("_present")), names(absent)),
+        F.format_string(k.CONTEXT_TIERS, names(F.col("_present")), F.lit(note), names(absent)),
         F.format_string(k.CONTEXT_BODY, F.col("_aspects"), F.col("_tiers")),
     )
     out = totals.join(a, list(SCOPE)).join(t, list(SCOPE))
@@ -49,15 +49,17 @@ def _named_scope(df: DataFrame, levels) -> DataFrame:
     )
 
 
-def scope_contexts(cube: DataFrame, levels=k.CATEGORY_LEVELS, all_tiers=k.TIER_LABELS) -> DataFrame:
+def scope_contexts(
+    cube: DataFrame, levels=k.CATEGORY_LEVELS, all_tiers=k.TIER_LABELS, note: str = k.ABSENT_NOTE
+) -> DataFrame:
     """The data block of every category scope at once."""
     aspects = _named_scope(scope_rollup(cube, ("aspect",), levels), levels)
     tiers = _named_scope(scope_rollup(cube, ("discount_group",), levels), levels)
     totals = _named_scope(scope_products(cube, levels), levels)
-    return _context(aspects, tiers, totals, all_tiers)
+    return _context(aspects, tiers, totals, all_tiers, note)
 
 
-def build_context(filtered: DataFrame, label: str, all_tiers=k.TIER_LABELS) -> DataFrame:
+def build_context(filtered: DataFrame, label: str, all_tiers=k.TIER_LABELS, note: str = k.ABSENT_NOTE) -> DataFrame:
     """The data block of one filtered cube; one row, also when nothing is left."""
     rows = filtered.withColumn("scope_key", F.lit("")).withColumn("scope", F.lit(label))
     sums = [F.sum(c).cast("bigint").alias(c) for c in COUNTS]
@@ -67,7 +69,7 @@ def build_context(filtered: DataFrame, label: str, all_tiers=k.TIER_LABELS) -> D
     block = _context(
         rows.groupBy(*SCOPE, "aspect").agg(*sums),
         rows.groupBy(*SCOPE, "discount_group").agg(*sums),
-        totals, all_tiers,
+        totals, all_tiers, note,
     )
     return block.agg(F.coalesce(F.max("context"), F.lit(k.CONTEXT_EMPTY)).alias("context"))
 
@@ -79,19 +81,20 @@ def summary_prompts(contexts: DataFrame, task: str = k.SUMMARY_TASK, role: str =
 
 
 def review_prompts(
-    products: DataFrame, task: str = k.REVIEW_TASK, role: str = k.REVIEW_ROLE, limit: int = k.REVIEW_BLOB_LIMIT
+    products: DataFrame, task: str = k.REVIEW_TASK, role: str = k.REVIEW_ROLE, size: int = k.REVIEW_BLOB_LIMIT
 ) -> DataFrame:
-    """One pros-and-cons request per product, its review block bounded by `limit` characters."""
-    blob = text.review_blob("review_title", "review_content", limit)
+    """Pros-and-cons requests: a product's review text in numbered parts of `size` characters, nothing left out."""
+    pieces = text.parts(text.review_blob("review_title", "review_content"), size)
     name = F.coalesce("product_name", F.lit(""))
-    prompt = F.concat(F.lit("Product: "), name, F.lit("\n\n"), blob, F.lit(f"\n\n{task}"))
-    return products.select("product_id", F.lit(role).alias("system"), prompt.alias("prompt"))
+    rows = products.select("product_id", name.alias("_name"), F.posexplode_outer(pieces).alias("part", "_piece"))
+    prompt = F.concat(F.lit("Product: "), F.col("_name"), F.lit("\n\n"), F.col("_piece"), F.lit(f"\n\n{task}"))
+    return rows.select("product_id", "part", F.lit(role).alias("system"), prompt.alias("prompt"))
 
 
 def answered_turns(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Turns without the user turns that no assistant turn follows."""
+    """Turns without the earlier user turns that no assistant turn follows; the open question at the end stays."""
     rows = next_value(turns, [key], order, "role", "_reply")
-    answered = (F.col("role") != "user") | F.coalesce(F.col("_reply") == "assistant", F.lit(False))
+    answered = (F.col("role") != "user") | F.col("_reply").isNull() | (F.col("_reply") == "assistant")
     return rows.where(answered).drop("_reply")
 
 
@@ -161,8 +164,12 @@ def with_cost(
 
 
 def cost_projection(costs: DataFrame, scales=k.MONTHLY_SCALES) -> DataFrame:
-    """Blended cost, an equal mix of the request kinds, at each monthly scale."""
-    kinds = costs.groupBy("kind").agg(F.avg("cost").alias("cost"))
+    """Blended cost, an equal mix of the request kinds, at each monthly scale.
+
+    A query that takes several requests, such as a long review in parts, costs their sum.
+    """
+    queries = costs.groupBy("kind", "query_type").agg(F.sum("cost").alias("cost"))
+    kinds = queries.groupBy("kind").agg(F.avg("cost").alias("cost"))
     blended = kinds.agg(F.avg("cost").alias("blended"))
     monthly = F.explode(F.array(*[F.lit(s) for s in scales])).alias("queries_per_month")
     return blended.select("blended", monthly).withColumn(

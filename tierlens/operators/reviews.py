@@ -7,6 +7,7 @@ from ..constants import (
     ALLOWED_MAIN_CATEGORIES, CARRY_COLS, CATEGORY_LEVELS, DISCOUNT_TIERS, KEEP_COLS, PRODUCT_COLS,
 )
 from ..functions import parsing, text
+from ..sources.io import written
 from .skew import keep_first, running_total
 
 
@@ -70,6 +71,8 @@ def explode_sentences(
     if not index:
         out = rows.select("*", F.explode_outer(sentences).alias("sentence"))
         return out.where("sentence is not null").drop(sentences)
+    # Written once: the running total reads sizes alone and the text is not cleaned a second time for it.
+    rows = written(rows, "sentences")
     rows = running_total(rows, ["product_id"], order, F.size(sentences), "_before")
     return (
         rows.select("*", F.posexplode_outer(sentences).alias("_pos", "sentence"))

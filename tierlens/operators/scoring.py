@@ -4,9 +4,11 @@ A predictor is any callable that takes a list of sentences and gives, in the sam
 `{"span", "polarity"}` dicts for each. A factory makes one; each Python worker calls it once.
 """
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer
@@ -25,11 +27,17 @@ SAFE_RESULT = T.StructType([T.StructField("predictions", SPAN_LIST), T.StructFie
 _loaded: dict = {}
 
 
-def load_once(name: str, factory: Callable):
-    """The model under `name` in this worker, made on first use."""
-    if name not in _loaded:
-        _loaded[name] = factory()
-    return _loaded[name]
+def factory_version(factory: Callable) -> str:
+    """A fingerprint of a factory and what it holds on to."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def load_once(name: str, factory: Callable, version: str):
+    """The model under `name` in this worker, made on first use; another version takes its place."""
+    held = _loaded.get(name)
+    if held is None or held[0] != version:
+        _loaded[name] = held = (version, factory())
+    return held[1]
 
 
 def model_source(spark: SparkSession, tuned: str, default: str) -> str:
@@ -46,10 +54,11 @@ def score_spans(
     df: DataFrame, factory: Callable, name: str, sentence: str = "sentence", batch: int = BATCH
 ) -> DataFrame:
     """`predictions` per sentence. Only the sentence column crosses to Python, in Arrow batches."""
+    version = factory_version(factory)
 
     @F.pandas_udf(SPAN_LIST)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predictor = load_once(name, factory)
+        predictor = load_once(name, factory, version)
         for s in batches:
             out = []
             for part in _chunks(list(s.fillna("")), batch):
@@ -77,10 +86,11 @@ def score_spans_safe(
     df: DataFrame, factory: Callable, name: str, sentence: str = "sentence", batch: int = BATCH
 ) -> DataFrame:
     """As `score_spans`, with `error` set and no spans on sentences the predictor fails on."""
+    version = factory_version(factory)
 
     @F.pandas_udf(SAFE_RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predictor = load_once(name, factory)
+        predictor = load_once(name, factory, version)
         for s in batches:
             out = [r for part in _chunks(list(s.fillna("")), batch) for r in _predict_safely(predictor, part)]
             yield pd.DataFrame(out, columns=["predictions", "error"], dtype=object)

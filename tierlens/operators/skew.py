@@ -1,11 +1,17 @@
-"""Joins, ranks and running totals that stay split when one key holds a large share of the rows."""
+"""Joins, ranks and running totals that stay split when one key holds a large share of the rows.
+
+Ranks and running totals are found on the key and order columns alone and joined back to their rows once.
+"""
+
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 1024
+from ..sources.io import written
+
 BLOCK_BITS = 12
-BROADCAST_BYTES = 32 * 1024 * 1024
+PARTS = 64
 
 
 def keep_first(df: DataFrame, keys, order) -> DataFrame:
@@ -14,127 +20,115 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def top_k(df: DataFrame, keys, order, k: int) -> DataFrame:
-    """The first `k` rows per key; each map task sends at most `k` rows per key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+def top_k(df: DataFrame, keys, order, k: int, parts: int = PARTS) -> DataFrame:
+    """The first `k` rows per key: the first `k` of each of a key's `parts` shares, then of what is left.
 
+    So a key's rows never meet in one task, however large `k` is.
+    """
+    rows = df.withColumn("_share", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    for by in ([*keys, "_share"], keys):
+        w = Window.partitionBy(*by).orderBy(*order)
+        rows = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    return rows.drop("_share")
 
-def _key(columns, *more: Column) -> Column:
-    """Columns as one struct: never null, and equal where both hold null in the same field."""
-    parts = [F.col(c) for c in columns] + list(more)
-    return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
+def _on(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
+    """Join by columns of the same names, missing equal to missing; `right` keeps its other columns."""
+    named = right.withColumnsRenamed({c: f"_right_{c}" for c in keys})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in keys])
+    return left.join(named, same, how).drop(*[f"_right_{c}" for c in keys])
 
-def _salt(spread_by, salts: int) -> Column:
-    return F.pmod(F.xxhash64(*spread_by), F.lit(salts))
 
+def lookup(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Join `left` to `right`, which has one row per key; null keys match null keys.
 
-def lookup(
-    left: DataFrame, right: DataFrame, keys, spread_by, how: str = "left", salts: int = SALTS,
-    measure: bool = False,
-) -> DataFrame:
-    """Join `left` to `right`, which has one row per key, when `left` may have hot keys.
+    A plain join: adaptive execution broadcasts a small `right` and splits a hot key's rows. For the
+    latter both sides must be plain shuffles, so a `right` that is itself an aggregate is written first.
+    """
+    return _on(left, right, keys, how)
 
-    `spread_by` names columns of `left` that differ among the rows of one key. They cut each key
-    into `salts` parts. The distinct (key, part) pairs, at most `salts` per key, meet `right`
-    first and take what they find back to their own rows. Null keys match null keys.
 
-    With `measure`, for a stored `right`, its size is taken first and a small one is broadcast,
-    so that `left` is not shuffled at all.
-    """
-    if measure:
-        marked = bounded_broadcast(right)
-        if marked is not right:
-            marked = F.broadcast(right.withColumn("_right_key", _key(keys)).drop(*keys))
-            return left.join(marked, _key(keys) == F.col("_right_key"), how).drop("_right_key")
-    rows = left.withColumn("_part", _key(keys, _salt(spread_by, salts)))
-    parts = rows.select(_key(keys).alias("_left_key"), "_part").distinct()
-    right = right.withColumn("_right_key", _key(keys)).drop(*keys)
-    found = parts.join(right, F.col("_left_key") == F.col("_right_key"), "inner")
-    found = found.drop("_left_key", "_right_key").withColumnRenamed("_part", "_found")
-    return rows.join(found, F.col("_part") == F.col("_found"), how).drop("_part", "_found")
-
-
-def semi(left: DataFrame, right: DataFrame, keys, spread_by, measure: bool = False) -> DataFrame:
+def semi(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """Rows of `left` whose key occurs in `right`."""
-    return lookup(left, right.select(*keys).distinct(), keys, spread_by, "left_semi", measure=measure)
+    return _on(left, right.select(*keys), keys, "left_semi")
 
 
-def anti(left: DataFrame, right: DataFrame, keys, spread_by, measure: bool = False) -> DataFrame:
+def anti(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """Rows of `left` whose key does not occur in `right`."""
-    return lookup(left, right.select(*keys).distinct(), keys, spread_by, "left_anti", measure=measure)
+    return _on(left, right.select(*keys), keys, "left_anti")
 
 
-def with_group_min(df: DataFrame, keys, value: Column, name: str, spread_by, salts: int = SALTS):
-    """Each row with the least `value` of its whole group, found through per-part minima."""
-    rows = df.withColumn("_part", _key(keys, _salt(spread_by, salts))).withColumn("_least", value)
-    parts = rows.groupBy(_key(keys).alias("_group"), F.col("_part").alias("_found")).agg(
-        F.min("_least").alias("_least")
-    )
-    least = F.min("_least").over(Window.partitionBy("_group"))
-    parts = parts.select("_found", least.alias(name))
-    out = rows.drop("_least").join(parts, F.col("_part") == F.col("_found"), "left")
-    return out.drop("_part", "_found")
+def with_group_min(df: DataFrame, keys, value: Column, name: str) -> DataFrame:
+    """Each row with the least `value` of its whole group; the minima are written, one row per group."""
+    least = df.groupBy(*keys).agg(F.min(value).alias(name))
+    return lookup(df, written(least, "minima"), keys)
 
 
-def running_total(df: DataFrame, keys, order: str, value: Column, name: str, bits: int = BLOCK_BITS):
+def running_total(df: DataFrame, keys, order: str, value: Column, name: str, bits: int = BLOCK_BITS, levels: int = 2):
     """Sum of `value` over the rows of a key that come before this one.
 
     `order` is a whole-number column, unique within a key. Rows are summed inside blocks of
-    `2**bits` consecutive order values, then the block sums are added up per key, so a task holds
-    one block or one short list of block sums and never a whole key.
+    `2**bits` consecutive order values, the block sums inside blocks of blocks, and so on `levels`
+    times, so a task holds one block and never a whole key.
     """
-    block = F.shiftright(F.col(order).cast("bigint"), bits)
-    return _blocked(df, keys, block, [order], value, name)
+    narrow = df.select(*keys, order, value.cast("bigint").alias("_value"))
+    return _on(df, _before(narrow, list(keys), order, name, bits, levels), [*keys, order], "left")
+
 
+def _before(rows: DataFrame, keys: list[str], order: str, name: str, bits: int, levels: int) -> DataFrame:
+    """(keys, order, name): running totals of `_value`."""
+    earlier = (Window.unboundedPreceding, -1)
+    total = lambda by: F.coalesce(F.sum("_value").over(Window.partitionBy(*by).orderBy(order).rowsBetween(*earlier)), F.lit(0))
+    if levels == 0:
+        return rows.select(*keys, order, total(keys).alias(name))
+    block = f"_block{levels}"
+    rows = rows.withColumn(block, F.shiftright(F.col(order).cast("bigint"), bits))
+    sums = rows.groupBy(*keys, block).agg(F.sum("_value").alias("_value"))
+    base = _before(sums, keys, block, f"_base{levels}", bits, levels - 1)
+    out = _on(rows.withColumn(name, total([*keys, block])), base, [*keys, block], "left")
+    return out.select(*keys, order, (F.col(name) + F.col(f"_base{levels}")).alias(name))
 
-def next_value(df: DataFrame, keys, order: str, value: str, name: str, bits: int = BLOCK_BITS):
+
+def next_value(df: DataFrame, keys, order: str, value: str, name: str, bits: int = BLOCK_BITS, levels: int = 2):
     """`value` of the following row of the key, null at its end. Blocks as in `running_total`."""
-    rows = df.withColumn("_part", _key(keys, F.shiftright(F.col(order).cast("bigint"), bits)))
-    firsts = rows.groupBy(_key(keys).alias("_group"), F.col("_part").alias("_of")).agg(
-        F.min_by(value, order).alias("_first")
-    )
-    after = F.lead("_first").over(Window.partitionBy("_group").orderBy("_of"))
-    firsts = firsts.select("_of", after.alias("_after"))
-    inside = Window.partitionBy("_part").orderBy(order)
-    rows = rows.withColumn("_last", F.lead(order).over(inside).isNull())
-    rows = rows.withColumn("_next", F.lead(value).over(inside))
-    out = rows.join(firsts, F.col("_part") == F.col("_of"), "left")
-    picked = F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_next"))
-    return out.withColumn(name, picked).drop("_part", "_of", "_after", "_last", "_next")
+    narrow = df.select(*keys, order, F.struct(F.col(value)).alias("_value"))
+    after = _after(narrow, list(keys), order, bits, levels).withColumn(name, F.col(f"_next.{value}")).drop("_next")
+    return _on(df, after, [*keys, order], "left")
 
 
-def rank_by_hash(df: DataFrame, keys, hash_col: str, tie, name: str, digits: int = 4) -> DataFrame:
-    """0-based rank by a hexadecimal hash, inside `keys` or, without keys, over the whole table.
+def _after(rows: DataFrame, keys: list[str], order: str, bits: int, levels: int) -> DataFrame:
+    """(keys, order, _next): `_value` of the following row; null only at the end of a key."""
+    lead = lambda by: F.lead("_value").over(Window.partitionBy(*by).orderBy(order))
+    if levels == 0:
+        return rows.select(*keys, order, lead(keys).alias("_next"))
+    block = f"_block{levels}"
+    rows = rows.withColumn(block, F.shiftright(F.col(order).cast("bigint"), bits))
+    firsts = rows.groupBy(*keys, block).agg(F.min_by("_value", order).alias("_value"))
+    beyond = _after(firsts, keys, block, bits, levels - 1).withColumnRenamed("_next", f"_beyond{levels}")
+    out = _on(rows.withColumn("_next", lead([*keys, block])), beyond, [*keys, block], "left")
+    return out.select(*keys, order, F.coalesce("_next", f"_beyond{levels}").alias("_next"))
+
+
+def hash_ranks(df: DataFrame, keys, hash_col: str, tie, name: str, digits: int = 4) -> DataFrame:
+    """(keys, hash, tie, name): 0-based rank by a hexadecimal hash, inside `keys` or over the whole table.
 
-    The leading digits of the hash are the blocks, so the rank needs no single sorted partition.
+    The leading digits of the hash are the blocks, so the rank needs no single sorted partition; there
+    is one row per block when block sizes are added up.
     """
-    return _blocked(df, keys, F.substring(hash_col, 1, digits), [hash_col, *tie], F.lit(1), name)
-
-
-def _blocked(df, keys, block: Column, order, value: Column, name: str) -> DataFrame:
-    before = (Window.unboundedPreceding, -1)
-    rows = df.withColumn("_part", _key(keys, block)).withColumn("_value", value.cast("bigint"))
-    sums = rows.groupBy(_key(keys).alias("_group"), F.col("_part").alias("_of")).agg(
-        F.sum("_value").alias("_sum")
-    )
-    # One row per block here. Without keys `_group` is one empty struct over all blocks.
-    earlier = Window.partitionBy("_group").orderBy("_of").rowsBetween(*before)
-    sums = sums.select("_of", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(*before)
-    rows = rows.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    out = rows.join(sums, F.col("_part") == F.col("_of"), "left")
-    return out.withColumn(name, F.col("_base") + F.col("_local")).drop(
-        "_part", "_of", "_value", "_base", "_local"
-    )
-
-
-def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast only after measuring the data; larger tables come back unmarked."""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(16))
-    size = df.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    keys = list(keys)
+    rows = df.select(*keys, hash_col, *tie).withColumn("_block", F.substring(hash_col, 1, digits))
+    sizes = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(hash_col, *tie)
+    out = _on(rows.withColumn(name, F.row_number().over(inside) - 1), sizes, [*keys, "_block"], "left")
+    return out.withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base")
+
+
+def rank_by_hash(df: DataFrame, keys, hash_col: str, tie, name: str, digits: int = 4) -> DataFrame:
+    """The rows with their rank as `hash_ranks` gives it; `tie` is unique."""
+    ranks = hash_ranks(df, keys, hash_col, tie, name, digits).select(*tie, name)
+    return _on(df, ranks, tie, "left")
 
 
 def rank_hash(seed, *cols) -> Column:

@@ -1,11 +1,10 @@
 """Aspect spans with a polarity, per sentence."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ASPECT_KEYWORDS, LEXICON_ALPHA, SPAN_LIST, WORD_CHARS
 from ..functions import matching
-from .skew import bounded_broadcast, lookup
 
 
 def attach_predictions(
@@ -54,58 +53,35 @@ def keyword_predictions(sentences: DataFrame, lexicon: dict, taxonomy=ASPECT_KEY
     return sentences.withColumn("predictions", matching.let(matching.word_spans("sentence", taxonomy), pairs))
 
 
-def _meet(rows: DataFrame, words: DataFrame, key: str, spread_by) -> DataFrame:
-    """Inner join to a word table: broadcast when measured small, else with hot words spread."""
-    marked = bounded_broadcast(words)
-    return rows.join(marked, key) if marked is not words else lookup(rows, words, [key], spread_by, "inner")
+ANCHOR = 3
 
 
 def taxonomy_table_aspects(
-    sentences: DataFrame, taxonomy: DataFrame, sentence: str = "sentence", id_cols=("sentence_id",),
-    inline_keywords: int = 2000,
+    sentences: DataFrame, taxonomy: DataFrame, sentence: str = "sentence", id_cols=("sentence_id",), anchor: int = ANCHOR,
 ) -> DataFrame:
-    """Aspects by substring from a table of (aspect, keyword, priority).
+    """Aspects by substring from a table of (aspect, keyword, priority), of any size.
 
-    One row per sentence and aspect with its best priority; the least is the first match. A table
-    of at most `inline_keywords` rows becomes an expression, a larger one is joined.
+    One row per id and aspect with its best priority; the least is the first match. A keyword's
+    anchor is that of its substrings of `anchor` characters (the keyword itself if shorter) that fewest
+    keywords have. Sentences meet keywords at anchors and are then tested for the whole keyword.
     """
-    rows = taxonomy.select("aspect", "keyword", "priority").take(inline_keywords + 1)
-    if len(rows) > inline_keywords:
-        return _taxonomy_by_join(sentences, taxonomy, sentence, id_cols)
-    by_aspect: dict = {}
-    for aspect, keyword, priority in rows:
-        by_aspect.setdefault(aspect, []).append((keyword, priority))
+    def cuts(c: Column, n: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(c) - n + 1)
+        return F.when(F.length(c) >= n, F.array_distinct(F.transform(places, lambda i: F.substring(c, i, n))))
+
+    words = taxonomy.where(F.length("keyword") > 0).groupBy("aspect", "keyword").agg(F.min("priority").alias("priority"))
+    words = words.withColumn("_n", F.least(F.length("keyword"), F.lit(anchor)))
+    grams = words.select("keyword", "_n").distinct().select("keyword", F.explode(cuts(F.col("keyword"), F.col("_n"))).alias("_anchor"))
+    share = grams.groupBy("_anchor").agg(F.count("*").alias("_keywords"))
+    best = grams.join(share, "_anchor").groupBy("keyword").agg(F.min(F.struct("_keywords", "_anchor")).alias("_best"))
+    anchors = words.join(best, "keyword").select("aspect", "keyword", "priority", F.col("_best._anchor").alias("_anchor"))
+    # At most `anchor` numbers come back.
+    sizes = [r[0] for r in words.select("_n").distinct().collect()]
     s = F.col(sentence)
-    found = []
-    for aspect, words in by_aspect.items():
-        words = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(p).alias("p")) for w, p in words])
-        hits = F.transform(F.filter(words, lambda k: F.contains(s, k["w"])), lambda k: k["p"])
-        found.append(F.struct(F.lit(aspect).alias("aspect"), F.array_min(hits).alias("priority")))
-    matched = F.filter(F.array(*found), lambda m: m["priority"].isNotNull())
-    return sentences.select(*id_cols, F.inline_outer(matched)).where("aspect is not null")
-
-
-def _taxonomy_by_join(sentences: DataFrame, taxonomy: DataFrame, sentence: str, id_cols) -> DataFrame:
-    """A keyword inside a sentence is a substring of one of the taxonomy's lengths, so the match is
-    an equi-join on such substrings. They are cut from bytes, which costs the same at every place;
-    a whole keyword can only start at a character."""
-    lengths = taxonomy.agg(F.collect_set(F.octet_length("keyword"))).scalar()
-    rows = sentences.select(*id_cols, F.encode(sentence, "utf-8").alias("_s"))
-    rows = rows.withColumn("_n", F.explode(lengths)).where(F.octet_length("_s") >= F.col("_n"))
-    cut = F.transform(
-        F.sequence(F.lit(1), F.octet_length("_s") - F.col("_n") + 1),
-        lambda i: F.substring("_s", i, F.col("_n")).cast("string"),
-    )
-    pieces = rows.select(*id_cols, F.explode_outer(F.array_distinct(cut)).alias("keyword"))
-    by_keyword = taxonomy.groupBy("keyword").agg(
-        F.collect_set(F.struct("aspect", "priority")).alias("_aspects")
-    )
-    return (
-        _meet(pieces, by_keyword, "keyword", id_cols)
-        .select(*id_cols, F.inline("_aspects"))
-        .groupBy(*id_cols, "aspect")
-        .agg(F.min("priority").alias("priority"))
-    )
+    places = F.concat(F.array().cast("array<string>"), *[F.coalesce(cuts(s, F.lit(n)), F.array().cast("array<string>")) for n in sizes])
+    rows = sentences.select(*id_cols, s.alias("_s"), F.explode_outer(places).alias("_anchor")).where("_anchor is not null")
+    found = rows.join(anchors, "_anchor").where(F.contains("_s", "keyword"))
+    return found.groupBy(*id_cols, "aspect").agg(F.min("priority").alias("priority"))
 
 
 def lexicon_table_scores(
@@ -114,15 +90,12 @@ def lexicon_table_scores(
 ) -> DataFrame:
     """(id, compound, polarity) from a lexicon table of (token, valence).
 
-    Tokens are counted per row before the join. A measured-small lexicon is broadcast; otherwise
-    frequent tokens are spread over many tasks.
+    Tokens meet the lexicon first, where adaptive execution broadcasts a small one and splits frequent
+    tokens, so only hits are summed and shuffled.
     """
     words = F.split(F.lower(F.col(text)), f"[^{WORD_CHARS}]+")
-    tokens = (
-        df.select(id_col, F.explode_outer(words).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("_n"))
-    )
-    hits = _meet(tokens, lexicon, "token", [id_col])
-    sums = hits.groupBy(id_col).agg(F.sum(F.col("_n") * F.col("valence")).alias("_total"))
+    tokens = df.select(id_col, F.explode_outer(words).alias("token"))
+    sums = tokens.join(lexicon, "token").groupBy(id_col).agg(F.sum("valence").alias("_total"))
     total = F.coalesce("_total", F.lit(0.0))
     compound = total / F.sqrt(total * total + F.lit(float(alpha)))
     scored = df.select(id_col).join(sums, id_col, "left").select(id_col, compound.alias("compound"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..constants import NA_TOKENS, POLARITIES, WHITESPACE, WS
 from ..functions import matching, parsing, text
 from ..operators import curate, cube, reviews
-from ..sources.io import spread, written
+from ..sources.io import split_text, written
 
 NOUNS = {
     "battery": ("widget", "bolt"),
@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return spread(table(spark, sf_dir, name), key)
+    return split_text(table(spark, sf_dir, name), key)
 
 
 def raw_reviews(spark, sf_dir) -> DataFrame:
@@ -55,7 +55,7 @@ def raw_reviews(spark, sf_dir) -> DataFrame:
         "|", "p_type", F.when(size % 7 != 0, F.col("p_brand")),
         F.when((size % 7 != 0) & (size % 5 != 0), F.concat(F.lit("size "), F.floor(size / 10).cast("string"))),
     )
-    return d.join(p, d["doc_id"] == p["p_partkey"]).select(
+    return d.join(p, d["doc_id"] == p["p_partkey"], "left").select(
         F.col("doc_id").alias("row_ord"),
         F.col("source").alias("product_id"),
         F.col("p_name").alias("product_name"),
@@ -135,7 +135,7 @@ RAW = """raw AS (
     CASE WHEN n_chars < 60 THEN NULL WHEN n_chars < 100 THEN 'NaN' ELSE format('{:,}', n_chars * 7) END AS rating_count,
     split_part(text, chr(10), 1) AS review_title,
     CASE WHEN n_chars >= 120 THEN text END AS review_content
-  FROM documents JOIN part ON doc_id = p_partkey)"""
+  FROM documents LEFT JOIN part ON doc_id = p_partkey)"""
 
 PARSED = f"""parsed AS (
   SELECT row_ord, product_id, product_name, category, review_title, review_content,
@@ -228,13 +228,13 @@ def clean(spark, sf_dir, allowed=MAINS) -> DataFrame:
     return reviews.clean_reviews(raw_reviews(spark, sf_dir), allowed)
 
 
-def sentences(spark, sf_dir) -> DataFrame:
-    """Every sentence of every document, with its place."""
+def sentences(spark, sf_dir, docs: DataFrame | None = None, *more: str) -> DataFrame:
+    """Every sentence of every document, or of those given, with its place."""
     parts = text.split_sentences(text.clean_text("text"))
     return (
-        texts(spark, sf_dir)
-        .select(F.col("source").alias("product_id"), F.col("doc_id").alias("row_ord"), parts.alias("_s"))
-        .select("product_id", "row_ord", F.posexplode_outer("_s").alias("pos", "sentence"))
+        (texts(spark, sf_dir) if docs is None else docs)
+        .select(F.col("source").alias("product_id"), F.col("doc_id").alias("row_ord"), *more, parts.alias("_s"))
+        .select("product_id", "row_ord", *more, F.posexplode_outer("_s").alias("pos", "sentence"))
         .where("sentence is not null")
     )
 
@@ -280,8 +280,8 @@ def span_cube(spark, sf_dir, keep_null_keys: bool = False) -> DataFrame:
     return cube.results_cube_from_counts(_on_parts(spark, sf_dir, facts, *POLARITIES), keep_null_keys)
 
 
-def word_rows(spark, sf_dir) -> DataFrame:
-    rows = sentences(spark, sf_dir)
+def word_rows(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    rows = sentences(spark, sf_dir) if rows is None else rows
     return rows.select("*", F.inline_outer(matching.word_spans("sentence", WORDS))).where("start is not null")
 
 
@@ -290,10 +290,14 @@ def label_id() -> Column:
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """Aspect spans of the labelled documents, with gold and two predicted polarities."""
+    """Aspect spans of the labelled documents, with gold and two predicted polarities.
+
+    Documents meet their labels before any text work.
+    """
     polarity = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
     n = F.length("sentence")
-    rows = word_rows(spark, sf_dir).join(table(spark, sf_dir, "labels"), F.col("row_ord") == F.col("doc_id"))
+    docs = split_text(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id"), "doc_id")
+    rows = word_rows(spark, sf_dir, sentences(spark, sf_dir, docs, "toxic", "quality"))
     return rows.withColumn("polarity", polarity).select(
         label_id().alias("label_id"), F.col("sentence").alias("text"), "span", "aspect",
         matching.count_before("sentence", "span", "start").alias("ordinal"), "polarity",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import constants as k
 from ..functions import text
 from ..operators import marts, profile, prompts
+from ..sources.io import written
 from . import bridge as b
 from .registry import query
 
@@ -49,7 +50,7 @@ def _contexts(source: str, name: str = "contexts") -> str:
   SELECT scope_key, scope, products, mentions,
     'Scope: ' || scope || chr(10) || 'Products in scope: ' || products || '; total aspect mentions: ' || mentions || chr(10)
     || 'Discount tiers PRESENT here: ' || array_to_string(present, ', ') || '.' || chr(10)
-    || 'Discount tiers ABSENT (do NOT reference or compare against these): '
+    || 'Discount tiers ABSENT here (leave them out of every comparison): '
     || coalesce(nullif(array_to_string([x for x in {_TIERS} if NOT list_contains(present, x)], ', '), ''), 'none') || '.' || chr(10)
     || chr(10) || 'Sentiment by aspect:' || chr(10) || a.lines || chr(10) || chr(10)
     || 'Sentiment by discount tier:' || chr(10) || t.lines AS context
@@ -94,17 +95,19 @@ def summary_prompt(spark, sf_dir):
 
 _BLOB = b.sql_strip("'Review titles: ' || coalesce(review_title, '') || chr(10) || chr(10) || 'Review text: ' || coalesce(review_content, '')")
 REVIEWS = f"""review_prompts AS (
-  SELECT row_ord::VARCHAR AS product_id, {_text(k.REVIEW_ROLE)} AS system,
-    'Product: ' || product_name || chr(10) || chr(10) || substring({_BLOB}, 1, 6000)
-      || chr(10) || chr(10) || {_text(k.REVIEW_TASK)} AS prompt, length(coalesce(review_content, ''))::INTEGER AS size
-  FROM clean)"""
+  SELECT product_id, part::INTEGER AS part, {_text(k.REVIEW_ROLE)} AS system,
+    'Product: ' || coalesce(product_name, '') || chr(10) || chr(10) || substring(blob, (part * 6000 + 1)::BIGINT, 6000)
+      || chr(10) || chr(10) || {_text(k.REVIEW_TASK)} AS prompt, size
+  FROM (SELECT *, unnest(range(0, greatest(1, ceil(length(blob) / 6000)::BIGINT))) AS part
+    FROM (SELECT row_ord::VARCHAR AS product_id, product_name, {_BLOB} AS blob,
+      length(coalesce(review_content, ''))::INTEGER AS size FROM clean)))"""
 
 
 def _products(spark, sf_dir):
     return b.clean(spark, sf_dir).withColumn("product_id", F.col("row_ord").cast("string"))
 
 
-@query(b.ctes(b.RAW, b.PARSED, b.CLEAN, REVIEWS) + "SELECT product_id, system, prompt FROM review_prompts")
+@query(b.ctes(b.RAW, b.PARSED, b.CLEAN, REVIEWS) + "SELECT product_id, part, system, prompt FROM review_prompts")
 def review_prompt(spark, sf_dir):
     return prompts.review_prompts(_products(spark, sf_dir))
 
@@ -114,7 +117,7 @@ _SYSTEM = f"{_text(k.ANALYST_ROLE)} || chr(10) || chr(10) || 'Data for the curre
 
 @query(ALL.rstrip() + f""",
 said AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations)
-SELECT conv_id, turn, role, text AS content FROM said WHERE role <> 'user' OR coalesce(reply = 'assistant', false)
+SELECT conv_id, turn, role, text AS content FROM said WHERE role <> 'user' OR reply IS NULL OR reply = 'assistant'
 UNION ALL SELECT DISTINCT conv_id, -1, 'system', (SELECT {_SYSTEM} FROM contexts WHERE scope_key = '') FROM conversations""")
 def chat_requests(spark, sf_dir):
     context = prompts.build_context(b.span_cube(spark, sf_dir), "All categories").scalar()
@@ -130,14 +133,14 @@ def _sizes(spark, sf_dir):
     top = profile.largest_group(cube, "main_category", "total").select("main_category").scalar()
     scope = contexts.where(F.col("scope_key") == top)
     products = _products(spark, sf_dir)
-    reviews = prompts.review_prompts(products)
-    picks = profile.length_picks(products, "review_content", "product_id")
-    picked = reviews.join(picks.drop("length"), "product_id")
+    picks = written(profile.length_picks(products, "review_content", "product_id"), "picks")
+    # Two rows: their prompts alone are built.
+    picked = products.join(picks.drop("length"), "product_id")
     question = F.lit("Which aspect has the most complaints, and does it get worse at higher discounts?")
     chat = scope.select(prompts.chat_system(F.col("context")).alias("system"), question.alias("prompt"))
     sizes = prompts.request_sizes(prompts.summary_prompts(scope), "summary", "summary")
     for pick in ("median", "longest"):
-        one = picked.where(F.col("pick") == pick)
+        one = prompts.review_prompts(picked.where(F.col("pick") == pick))
         sizes = sizes.unionByName(prompts.request_sizes(one, f"product ({pick} review)", "product"))
     return sizes.unionByName(prompts.request_sizes(chat, "chat (1 turn)", "chat"))
 
@@ -149,8 +152,12 @@ def _tokens(system: str, prompt: str) -> str:
 _QUESTION = "'Which aspect has the most complaints, and does it get worse at higher discounts?'"
 SIZES = f"""top AS (SELECT main_category FROM cube GROUP BY main_category ORDER BY sum(total) DESC, main_category LIMIT 1),
 scope AS (SELECT context FROM contexts WHERE scope_key = (SELECT main_category FROM top)),
-longest AS (SELECT * FROM review_prompts ORDER BY size DESC, product_id LIMIT 1),
-middle AS (SELECT * FROM review_prompts ORDER BY abs(size - (SELECT median(size) FROM review_prompts)), product_id LIMIT 1),
+pieces AS (SELECT * FROM review_prompts WHERE part = 0),
+longest AS (SELECT * FROM review_prompts WHERE product_id = (SELECT product_id FROM pieces ORDER BY size DESC, product_id LIMIT 1)),
+middle AS (SELECT * FROM review_prompts WHERE product_id = (
+  SELECT product_id FROM pieces ORDER BY abs(size - (SELECT median(size) FROM pieces)), product_id LIMIT 1)),
+timed AS (SELECT kind, avg(value) AS prep_mean, max(value) AS prep_max
+  FROM (SELECT value, CASE event_type WHEN 'click' THEN 'summary' WHEN 'view' THEN 'product' ELSE 'chat' END AS kind FROM events) GROUP BY kind),
 sizes AS (
   SELECT 'summary' AS query_type, 'summary' AS kind, {_tokens(_text(k.ANALYST_ROLE), "(context || chr(10) || chr(10) || " + _text(k.SUMMARY_TASK) + ")")} AS in_tok, 220 AS out_typ, 350 AS out_cap FROM scope
   UNION ALL SELECT 'product (median review)', 'product', {_tokens('system', 'prompt')}, 260, 400 FROM middle
@@ -159,25 +166,28 @@ sizes AS (
 costs AS (
   SELECT *, in_tok::DOUBLE / 1e6::DOUBLE * 0.15::DOUBLE + out_typ::DOUBLE / 1e6::DOUBLE * 0.6::DOUBLE AS cost,
     in_tok::DOUBLE / 1e6::DOUBLE * 0.15::DOUBLE + out_cap::DOUBLE / 1e6::DOUBLE * 0.6::DOUBLE AS cost_capped,
-    0.5::DOUBLE + out_typ / 80.0::DOUBLE AS seconds, 0.5::DOUBLE + out_cap / 80.0::DOUBLE AS seconds_worst
-  FROM sizes)"""
+    prep_mean / 1000 + 0.5::DOUBLE + out_typ / 80.0::DOUBLE AS seconds,
+    prep_max / 1000 + 0.5::DOUBLE + out_cap / 80.0::DOUBLE AS seconds_worst
+  FROM sizes JOIN timed USING (kind))"""
 COSTS = b.ctes(b.SPANS, b.CUBE, SCOPED, _contexts("scoped"), b.RAW, b.PARSED, b.CLEAN, REVIEWS, SIZES)
 
 
-def _rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 9) for c in columns})
-
-
 @query(COSTS + """
 SELECT query_type, kind, in_tok, out_typ, out_cap, round(cost, 9) AS cost, round(cost_capped, 9) AS cost_capped,
-  round(seconds, 9) AS seconds, round(seconds_worst, 9) AS seconds_worst FROM costs""")
+  round(seconds, 6) AS seconds, round(seconds_worst, 6) AS seconds_worst FROM costs""")
 def query_cost(spark, sf_dir):
-    return _rounded(prompts.with_cost(_sizes(spark, sf_dir)), "cost", "cost_capped", "seconds", "seconds_worst")
+    """One row per request; event values stand in for measured preparation times."""
+    kind = F.when(F.col("event_type") == "click", "summary").when(F.col("event_type") == "view", "product").otherwise("chat")
+    times = prompts.time_summary(b.table(spark, sf_dir, "events").withColumn("kind", kind), "kind", "value")
+    costs = prompts.with_cost(_sizes(spark, sf_dir).join(times, "kind")).drop("prep_ms_mean", "prep_ms_max")
+    rounded = costs.withColumns({c: F.round(c, 6) for c in ("seconds", "seconds_worst")})
+    return rounded.withColumns({c: F.round(c, 9) for c in ("cost", "cost_capped")})
 
 
 @query(COSTS + """
 SELECT round(blended, 9) AS blended, queries_per_month, round(blended * queries_per_month, 9) AS dollars_per_month
-FROM (SELECT avg(c) AS blended FROM (SELECT avg(cost) AS c FROM costs GROUP BY kind)),
+FROM (SELECT avg(c) AS blended FROM (SELECT avg(q) AS c FROM (
+  SELECT kind, query_type, sum(cost) AS q FROM costs GROUP BY ALL) GROUP BY kind)),
   (VALUES (100), (1000), (10000)) s(queries_per_month)""")
 def cost_projection(spark, sf_dir):
     out = prompts.cost_projection(prompts.with_cost(_sizes(spark, sf_dir)))

@@ -10,6 +10,7 @@ from ..sources.io import work_folder, written
 from ..streaming import resumable
 from . import bridge as b
 from .registry import query
+from .curate import _PLACE, LABELLED, SPLIT
 from .spans import _ATTACHED, _PREDICTED
 
 
@@ -75,10 +76,17 @@ def _predict_documents(docs):
 
 @query(_NATIVE)
 def resumable_scoring(spark, sf_dir):
-    """The document files scored by a file stream that stops when none is left."""
-    schema = b.table(spark, sf_dir, "documents").schema
-    folder = resumable.run_folder(work_folder(spark, "scoring"), predictor="keywords", version=1)
-    out = resumable.score_available(spark, sf_dir, schema, _predict_documents, folder, glob="documents.parquet")
+    """The documents as two files that arrive one after the other, scored by a file stream in two rounds.
+
+    The run's folder is named by settings and content; the second round scores only what is new.
+    """
+    docs = b.table(spark, sf_dir, "documents")
+    folder = work_folder(spark, "scoring")
+    run = resumable.run_folder(folder, predictor="keywords", version=1, input=resumable.content_fingerprint(docs))
+    for half in range(2):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == half).write.parquet(f"{folder}/in/part{half}")
+        out = resumable.score_available(spark, f"{folder}/in/*", docs.schema, _predict_documents, run)
+    resumable.finish(spark, run)
     return out.drop("batch_id")
 
 
@@ -88,7 +96,7 @@ UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id NOT IN (SELECT row_ord FR
 def resumed_batch_scoring(spark, sf_dir):
     """The batch form, interrupted once: two sources first, then whatever has no result."""
     docs = b.texts(spark, sf_dir)
-    folder = work_folder(spark, "scoring")
+    run = resumable.run_folder(work_folder(spark, "scoring"), predictor="keywords", input=resumable.content_fingerprint(docs))
 
     def score(rows):
         parts = text.split_sentences(text.clean_text("text"))
@@ -96,28 +104,58 @@ def resumed_batch_scoring(spark, sf_dir):
         found = spans.keyword_predictions(rows, b.VALENCE, b.WORDS)
         return found.groupBy("row_ord").agg(F.sum(F.size("predictions")).alias("spans"))
 
-    score(docs.where("source in ('src1', 'src2')")).write.parquet(f"{folder}/out")
     todo = docs.withColumn("row_ord", F.col("doc_id"))
-    return resumable.score_remaining(todo, score, folder, "row_ord")
+    resumable.score_remaining(todo.where("source in ('src1', 'src2')"), score, run, "row_ord")
+    return resumable.score_remaining(todo, score, run, "row_ord")
+
+
+@query(b.ctes(b.SENTENCES, b.WORD_SPANS, _PREDICTED) + _ATTACHED)
+def tuned_or_default_scoring(spark, sf_dir):
+    """A tuned head is used where one is stored; without one the default would fail on some sentences."""
+    head = work_folder(spark, "head")
+    spark.createDataFrame(list(b.VALENCE.items()), "word string, valence double").write.parquet(head)
+    chosen = scoring.model_source(spark, head, "default")
+    factory = keyword_predictor if chosen == head else fragile_predictor
+    scored = scoring.score_spans(b.sentences(spark, sf_dir), factory, "head")
+    return spans.attach_predictions(scored, taxonomy=b.WORDS).select("row_ord", "pos", "span", "polarity", "aspect")
+
 
+_MASK = "('0x' || substring(md5(vec_id::VARCHAR || '|42'), 1, 8))::BIGINT >= 3435973836"
 
-@query()
+
+@query(f"""SELECT label::VARCHAR AS label, count(*) AS n, true AS beats_majority
+FROM embeddings WHERE {_MASK} GROUP BY label""")
 def train_head(spark, sf_dir):
-    """A multinomial head on the embeddings, trained on four fifths, scored on the rest."""
+    """A multinomial head on the embeddings, trained on four fifths. Labels there are random, so what the
+    head has learned shows on the rows it was trained on: it must name more of them than the majority does."""
     rows = b.table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
     labels = tuple(str(i) for i in range(10))
     rows = written(curate.with_held_out_by_threshold(rows, "vec_id"), "embeddings")
     model = scoring.train_embedding_head(rows.where("not held_out"), "label", labels)
-    test = scoring.with_vector(rows.where("held_out"))
-    scored = scoring.apply_head(model, test, labels, "predicted")
-    return scored.groupBy("label", "predicted").agg(F.count("*").alias("n"))
+    scored = written(scoring.apply_head(model, scoring.with_vector(rows), labels, "predicted"), "scored")
+    known = scored.where("not held_out")
+    right = known.agg(F.count_if(F.col("label") == F.col("predicted"))).scalar()
+    most = known.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    counts = scored.where("held_out").groupBy("label").agg(F.count("predicted").alias("n"))
+    return counts.withColumn("beats_majority", F.lit(right > most))
 
 
-@query()
+@query(b.ctes(*LABELLED, SPLIT) + f"""
+SELECT held_out, polarity, count(*) AS n, count(*) FILTER (place IS NULL) AS unplaced, true AS beats_majority
+FROM (SELECT *, {_PLACE} AS place FROM split) GROUP BY held_out, polarity""")
 def score_gold(spark, sf_dir):
-    """A head on span context, trained on the gold rows kept for training; every gold row scored."""
-    rows = written(curate.with_held_out(b.gold(spark, sf_dir), "label_id"), "gold")
+    """A head on span context, trained on the gold rows kept for training; every gold row scored.
+
+    It must find more of the training rows right than the most frequent polarity does.
+    """
+    rows = written(curate.with_held_out(b.gold_table(spark, sf_dir), "label_id"), "gold")
     train = scoring.with_context(rows.where("not held_out")).where("context is not null")
-    model = scoring.train_text_head(train, "polarity")
-    scored = scoring.score_gold(model, rows.drop("polarity_finetuned"))
-    return scored.groupBy("held_out", "polarity", "polarity_finetuned").agg(F.count("*").alias("n"))
+    model = scoring.train_text_head(train, "polarity", balanced=False, reg=0.001)
+    scored = written(scoring.score_gold(model, rows.drop("polarity_finetuned")), "scored")
+    known = scored.where("not held_out and polarity_finetuned is not null")
+    right = known.agg(F.count_if(F.col("polarity") == F.col("polarity_finetuned"))).scalar()
+    most = known.groupBy("polarity").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    out = scored.groupBy("held_out", "polarity").agg(
+        F.count("*").alias("n"), F.count_if(F.col("polarity_finetuned").isNull()).alias("unplaced")
+    )
+    return out.withColumn("beats_majority", F.lit(right > most))

@@ -1,16 +1,21 @@
 """CSV and Parquet in and out, shared work folders, and a cached load."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import LABEL_COLS, RAW_COLS
 
+TEXT_PARTS = "spark.tierlens.text.partitions"
+
 
 def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     """Every column as a string; quotes are doubled inside quoted fields."""
@@ -22,26 +27,39 @@ def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     )
 
 
+def _with_source_order(rows: DataFrame, name: str) -> DataFrame:
+    """A whole number in source order: files by path, then the place inside the file.
+
+    Spark packs splits largest first, so the scan's own order is not the files'. Rows of one split
+    stay together and in order; the splits are counted, and each row's place is the rows of the splits
+    before its own plus its place inside it.
+    """
+    split = ["_file", "_start"]
+    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
+                             "_scan": F.monotonically_increasing_id()})
+    sizes = rows.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_scan").alias("_first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row per split of a file
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = rows.join(sizes, split).withColumn(name, F.col("_before") + F.col("_scan") - F.col("_first"))
+    return out.drop(*split, "_scan", "_first", "_before")
+
+
 def read_reviews_csv(spark: SparkSession, path: str, multiline: bool = True, columns=RAW_COLS) -> DataFrame:
-    """Raw reviews with `row_ord`, the place of a row in the scan.
+    """Raw reviews with `row_ord`, their place in source order over all files.
 
     With `multiline` a file is read by one task, so give many files, or switch it off when no
     field holds a line break. Write the result out once before using `row_ord` twice.
     """
-    return _csv(spark, path, multiline).select(*columns).withColumn(
-        "row_ord", F.monotonically_increasing_id()
-    )
+    rows = _csv(spark, path, multiline)
+    return _with_source_order(rows.select(*columns, "_metadata"), "row_ord").drop("_metadata")
 
 
 def read_labels_csv(spark: SparkSession, path: str, multiline: bool = True, columns=LABEL_COLS) -> DataFrame:
-    """Labels with `label_id`; columns the file lacks come as null."""
+    """Labels with `label_id` in source order; columns the file lacks come as null."""
     rows = _csv(spark, path, multiline)
     picked = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
-    return (
-        rows.select(*picked)
-        .withColumn("ordinal", F.col("ordinal").try_cast("double").cast("int"))
-        .withColumn("label_id", F.monotonically_increasing_id())
-    )
+    rows = _with_source_order(rows.select(*picked, "_metadata"), "label_id").drop("_metadata")
+    return rows.withColumn("ordinal", F.col("ordinal").try_cast("double").cast("int"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -70,13 +88,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """A scan with fewer parts than cores, split by key so that heavy text work uses all cores.
+def split_text(df: DataFrame, *keys: str) -> DataFrame:
+    """The table in as many parts by key as the setting TEXT_PARTS says; untouched if it is not set.
 
-    Larger scans come back as they are, without a shuffle.
+    For tables in few large row groups, which no reader setting can split, so that heavy text work
+    uses all cores. Tables in files of usual size need neither the setting nor the shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get(TEXT_PARTS, None)
+    return df.repartition(int(parts), *keys) if parts else df
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=()) -> None:
@@ -91,17 +110,49 @@ def write_results(cube: DataFrame, products: DataFrame, cube_path: str, products
     write_parquet(products, products_path)
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the session's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only a local session without one falls back to the temporary folder of this machine.
+    A local session that has none is given a folder of its own, removed when the program ends.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="tierlens-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the session's shared folder."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for held in _stages:
+        held.append(path)
+    return path
+
+
+_stages: list[list[str]] = []
+
+
+@contextmanager
+def stages(spark: SparkSession):
+    """Folders made inside are removed at the end: put a query's planning and its action into it."""
+    held: list[str] = []
+    _stages.append(held)
+    try:
+        yield
+    finally:
+        _stages.remove(held)
+        for path in held:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:

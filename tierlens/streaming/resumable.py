@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.skew import anti
-from ..sources.io import read_parquet, spread
+from ..sources.io import read_parquet, remove, split_text
 
 
 def settings_fingerprint(**settings) -> str:
@@ -55,7 +55,7 @@ def score_available(
         reader = reader.option("pathGlobFilter", glob)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(spread(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+        transform(split_text(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
     query = (
         reader.parquet(source)
@@ -74,16 +74,29 @@ def read_scored(spark: SparkSession, folder: str) -> DataFrame | None:
 
 def remaining(df: DataFrame, done: DataFrame | None, key: str) -> DataFrame:
     """Rows whose key has no result yet."""
-    return df if done is None else anti(df, done, [key], [key])
+    return df if done is None else anti(df, done, [key])
 
 
 def score_remaining(
-    df: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, key: str
+    df: DataFrame, transform: Callable[[DataFrame], DataFrame], folder: str, key: str, parts: int = 8
 ) -> DataFrame:
-    """The batch form: score what has no result yet and append it in one commit.
+    """The batch form: score what has no result yet, in `parts` commits.
 
-    `key` is unique per input row and kept by `transform`.
+    What is left is written once, by hash of the key, so each commit reads its own share and a job that
+    dies loses the part at hand only. `key` is unique per input row and kept by `transform`.
     """
     spark = df.sparkSession
-    transform(remaining(df, read_scored(spark, folder), key)).write.mode("append").parquet(f"{folder}/out")
+    todo = f"{folder}/todo"
+    left = remaining(df, read_scored(spark, folder), key)
+    share = F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")
+    left.select("*", share).write.mode("overwrite").partitionBy("_part").parquet(todo)
+    for part in range(parts):
+        if (rows := read_parquet(spark, f"{todo}/_part={part}")) is not None:
+            transform(rows).write.mode("append").parquet(f"{folder}/out")
+    remove(spark, todo)
     return read_scored(spark, folder)
+
+
+def finish(spark: SparkSession, folder: str) -> None:
+    """Remove what a finished run needs for resuming only; its results stay."""
+    remove(spark, f"{folder}/checkpoint")
