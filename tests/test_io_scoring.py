@@ -53,10 +53,33 @@ def test_table_cache(spark, tmp_path):
     assert cache.load(path) is not held
 
 
-def test_spread_only_splits_small_scans(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert io.spread(spark.range(10, numPartitions=1), "id").rdd.getNumPartitions() == cores
-    assert io.spread(spark.range(10, numPartitions=cores + 3), "id").rdd.getNumPartitions() == cores + 3
+def test_source_order_over_files(spark, tmp_path):
+    """Files in order by name, though Spark packs the large one first."""
+    text = lambda lines: "text,span,polarity,ordinal\n" + "".join(f"{x},s,p,1\n" for x in lines)
+    names = {"a": range(2), "b": range(100, 150), "c": range(200, 203)}
+    for name, ids in names.items():
+        (tmp_path / f"{name}.csv").write_text(text(ids))
+    got = io.read_labels_csv(spark, str(tmp_path)).orderBy("label_id").collect()
+    assert [r.label_id for r in got] == list(range(55))
+    assert [int(r.text) for r in got] == [x for ids in names.values() for x in ids]
+
+
+def test_text_is_split_by_setting_only(spark):
+    one = spark.range(10, numPartitions=1)
+    assert io.split_text(one, "id") is one
+    spark.conf.set(io.TEXT_PARTS, "3")
+    try:
+        assert io.split_text(one, "id").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(io.TEXT_PARTS)
+
+
+def test_stages_are_removed(spark):
+    with io.stages(spark):
+        df = io.written(spark.range(3))
+        path = df.inputFiles()[0]
+        assert df.count() == 3 and io.path_exists(spark, path)
+    assert not io.path_exists(spark, path)
 
 
 SENTENCES = [(1, "it was with the rewh"), (2, "this is for that"), (3, None), (4, "plain"), (5, "from by")]
@@ -73,6 +96,17 @@ def test_scoring_keeps_alignment_and_isolates_faults(spark):
     assert scoring.score_spans(df.where("false"), keyword_predictor, "k").count() == 0
 
 
+def test_a_new_model_replaces_the_old_one_of_its_name(spark):
+    df = spark.createDataFrame(SENTENCES, "id int, sentence string").coalesce(1)
+
+    def factory(word):
+        return lambda: lambda part: [[{"span": word, "polarity": "neutral"}] for _ in part]
+
+    for word in ("old", "new", "old"):
+        for score in (scoring.score_spans, scoring.score_spans_safe):
+            assert {r.predictions[0].span for r in score(df, factory(word), "one name").collect()} == {word}
+
+
 def test_predictor_is_called_once_per_row(spark):
     plan = scoring.score_spans_safe(spark.createDataFrame(SENTENCES, "id int, sentence string"), keyword_predictor, "k")
     assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
@@ -123,18 +157,26 @@ def test_batch_resume_and_fingerprints(spark, tmp_path):
     score(spark.range(30)).write.parquet(f"{folder}/out")
     got = resumable.score_remaining(spark.range(100), score, folder, "id")
     assert got.count() == 100 == got.select("id").distinct().count()
+    seen = []
+
+    def fails(d):
+        seen.append(d.count())
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        return score(d)
+
+    with pytest.raises(RuntimeError, match="lost"):
+        resumable.score_remaining(spark.range(300), fails, folder, "id", parts=4)
+    assert resumable.read_scored(spark, folder).count() == 100 + sum(seen[:2])  # finished parts are kept
+    assert resumable.score_remaining(spark.range(300), score, folder, "id").select("id").distinct().count() == 300
     a, b = spark.range(100), spark.range(100).withColumn("id", F.col("id") + 1)
     assert resumable.content_fingerprint(a) == resumable.content_fingerprint(a.repartition(7))
     assert resumable.content_fingerprint(a) != resumable.content_fingerprint(b)
     assert resumable.run_folder("r", v=1) != resumable.run_folder("r", v=2)
 
 
-def test_lexicon_table_with_and_without_broadcast(spark, monkeypatch):
+def test_lexicon_table(spark):
     docs = spark.createDataFrame([(1, "good good bad"), (2, "nothing"), (3, "")], "doc_id int, text string")
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "token string, valence double")
-    want = {1: 3 / (9 + 15) ** 0.5, 2: 0.0, 3: 0.0}
-    for small in (True, False):
-        if not small:
-            monkeypatch.setattr(spans, "bounded_broadcast", lambda df: df)
-        got = {r.doc_id: r.compound for r in spans.lexicon_table_scores(docs, lexicon).collect()}
-        assert got == pytest.approx(want)
+    got = {r.doc_id: r.compound for r in spans.lexicon_table_scores(docs, lexicon).collect()}
+    assert got == pytest.approx({1: 3 / (9 + 15) ** 0.5, 2: 0.0, 3: 0.0})

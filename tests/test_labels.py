@@ -1,55 +1,41 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tierlens import constants as k
 from tierlens.operators import curate, evaluate
-from tests.test_functions import py_aligned, py_nearest
+from tests.test_functions import word_places
 
 ORDER = k.LABEL_ORDER
 
 
-@pytest.fixture(scope="module")
-def corpus():
-    rng = random.Random(11)
-    words = ["the battery", "sound", "is", "not", "cheap", "broke", "price", "no", "delivery", "slow", "and fine", "charging"]
-    out = []
-    for i in range(400):
-        out.append((f"p{i % 7}", i // 4, i % 4, " ".join(rng.choice(words) for _ in range(rng.randint(3, 14)))))
-    return out
-
-
-def py_mine(corpus, seen, cap):
-    """Product order, then aspect order, first (sentence, span) wins; best `cap` per aspect."""
-    rows, pairs = [], set()
-    for pid, order, pos, s in corpus:
-        hits = {c.strip() for c in k.COMPLAINT_CUES if c in s}
-        if not 25 <= len(s) <= 220 or s.lower() in seen or not hits:
-            continue
-        for pr, (aspect, kws) in enumerate(k.ASPECT_KEYWORDS.items()):
-            m = re.search(r"\b(" + "|".join(map(re.escape, kws)) + r")\b", s)
-            if not m or (s, m.group(0)) in pairs:
-                continue
-            d = py_nearest(s, m.start(), m.end(), k.COMPLAINT_CUES)
-            if d > 60:
-                continue
-            pairs.add((s, m.group(0)))
-            rows.append((aspect, d, -len(hits), order, pos, pr, s, m.group(0), pid))
-    out = []
-    for aspect in k.ASPECT_KEYWORDS:
-        out += sorted(r for r in rows if r[0] == aspect)[:cap]
-    return {(r[0], r[1], -r[2], r[6], r[7], r[8]) for r in out}
-
-
-@pytest.mark.parametrize("cap", [5, 10_000])
-def test_mining_against_brute_force(spark, corpus, cap):
-    sentences = spark.createDataFrame(corpus, "product_id string, row_ord int, pos int, sentence string").repartition(3)
-    labelled = [corpus[i][3].upper() + " " for i in range(0, 400, 17)]
-    seen = {t.strip().lower() for t in labelled}
-    got = curate.mine_candidates(sentences, spark.createDataFrame([(t,) for t in labelled], "text string"), cap=cap)
-    assert {(r.aspect, r.cue_dist, r.n_cues, r.text, r.span, r.product_id) for r in got.collect()} == py_mine(corpus, seen, cap)
+SENTENCES = [
+    ("p1", 0, 0, "the battery is bad and it died fast"),
+    ("p2", 1, 0, "the battery is bad and it died fast"),  # the same again
+    ("p2", 1, 1, "short bad sound"),
+    ("p2", 1, 2, "the sound is lovely and pleasant to hear"),  # no cue
+    ("p3", 2, 0, "a poor delivery came, so poor"),
+    ("p3", 2, 1, "the price is a total waste for me"),  # labelled already
+    ("p4", 3, 0, "charge it " + "and so on " * 7 + "then broken"),  # the first keyword is 79 away from the cue
+    ("p5", 4, 0, "worst charging cable i ever had"),
+]
+#: Aspect, span, distance, cues, product, worked out by hand.
+MINED = {
+    ("battery", "battery", 4, "bad|died", "p1"), ("performance", "fast", 1, "bad|died", "p1"),
+    ("delivery", "delivery", 1, "poor", "p3"), ("durability", "broken", 0, "broke|broken", "p4"),
+    ("battery", "charging", 1, "worst", "p5"),
+}
+
+
+@pytest.mark.parametrize("cap", [None, 1])
+def test_mining(spark, cap):
+    rows = spark.createDataFrame(SENTENCES, "product_id string, row_ord int, pos int, sentence string").repartition(3)
+    labelled = spark.createDataFrame([("THE price is a total waste for me ",), (None,)], "text string")
+    got = curate.mine_candidates(rows, labelled, cap=cap).collect()
+    want = {r for r in MINED if cap is None or r[1] != "battery"}
+    assert {(r.aspect, r.span, r.cue_dist, r.cue_hits, r.product_id) for r in got} == want and len(got) == len(want)
+    assert all(r.n_cues == len(r.cue_hits.split("|")) and r.polarity == "negative" and r.ordinal == 0 for r in got)
 
 
 def test_validation_against_brute_force(spark):
@@ -62,7 +48,7 @@ def test_validation_against_brute_force(spark):
     known = {(t.lower(), s.lower()) for t, s in base}
     want, seen = {}, set()
     for i, t, s, p, _, _ in cand:
-        key, place = (t.lower(), s.lower()), py_aligned(t, s)
+        key, place = (t.lower(), s.lower()), next(iter(word_places(t, s)), None)
         if p is None or p.strip().lower() not in k.POLARITIES:
             want[i] = "invalid polarity"
         elif s not in t:
@@ -127,7 +113,7 @@ def test_build_split_contract(spark):
     train, test = curate.build_split(base, merged, "label_id", ratio=2.5)
     assert test.count() == 100
     assert curate.leak_count(train, test).first()[0] == 0
-    assert curate.leak_rows(train, test, "label_id").count() == 0
+    assert curate.leak_rows(train, test).count() == 0
     gold = curate.with_held_out(base, "label_id").where("not held_out")
     need = curate.negative_quota(gold, mined, 2.5).first()
     assert need.target == round(need.train_pos / 2.5) and need.need == max(0, need.target - need.gold_neg)
@@ -140,8 +126,8 @@ def test_build_split_contract(spark):
 def test_leaks_count_pairs_and_match_missing(spark):
     a = spark.createDataFrame([(1, "t", "s", 0), (2, "t", "s", 0), (3, "u", None, 0)], "id int, text string, span string, ordinal int")
     b = spark.createDataFrame([("t", "s", 0), ("t", "s", 0), ("u", None, 0)], "text string, span string, ordinal int")
-    assert tuple(curate.leak_count(a, b).first()) == (4, 1)
-    assert curate.drop_leaks(a, b, "id").count() == 0
+    assert tuple(curate.leak_count(a, b).first()) == (5, 2)
+    assert curate.drop_leaks(a, b).count() == 0 and curate.leak_rows(a, b).count() == 3
 
 
 def test_training_labels(spark):

@@ -112,16 +112,21 @@ def test_search_and_picker(spark, rows):
     assert len(picked) == 2 and picked["x" * 90 + " — 3"].endswith("b")
 
 
-def test_taxonomy_table_both_ways(spark, rows):
-    sentences = spark.createDataFrame(
-        [(1, "flagship phone, cheap é price"), (2, "nothing"), (3, ""), (4, "é")], "sentence_id int, sentence string"
-    )
-    data = [(a, w, i) for i, (a, kws) in enumerate(k.ASPECT_KEYWORDS.items()) for w in kws] + [("accent", "é p", 9)]
+def test_taxonomy_table(spark, rows):
+    texts = [(1, "flagship phone, cheap é price"), (2, "nothing"), (3, ""), (4, "é"), (1, "a slow q, twice")]
+    sentences = spark.createDataFrame([*texts, (5, None)], "sentence_id int, sentence string")
+    data = [(a, w, i) for i, (a, kws) in enumerate(k.ASPECT_KEYWORDS.items()) for w in kws]
+    data += [("accent", "é p", 9), ("letter", "q", 7), ("letter", "gs", 8), ("none", "", 0), ("letter", "q", 9)]
+    want = {}
+    for i, s in texts:
+        for aspect, word, priority in data:
+            if word and word in s:
+                want[i, aspect] = min(priority, want.get((i, aspect), 99))
     taxonomy = spark.createDataFrame(data, "aspect string, keyword string, priority int")
-    small = spans.taxonomy_table_aspects(sentences, taxonomy)
-    large = spans.taxonomy_table_aspects(sentences, taxonomy, inline_keywords=3)
-    assert rows(small) == rows(large)
-    assert {r.aspect for r in small.collect()} == {"performance", "quality", "value", "accent"}
+    for anchor in (1, 3, 6):
+        got = spans.taxonomy_table_aspects(sentences, taxonomy, anchor=anchor)
+        assert rows(got) == sorted((*key, p) for key, p in want.items())
+    assert {a for _, a in want} == {"performance", "quality", "value", "accent", "letter"}
 
 
 def test_attach_predictions(spark, rows):
@@ -140,13 +145,30 @@ def test_profiles(spark, rows):
     assert rows(profile.null_counts(df)) == [("c", "string", 1, 4), ("i", "int", 0, 4)]
 
 
+def test_review_prompts_keep_the_whole_text(spark):
+    text_ = "".join(chr(97 + i % 26) for i in range(15_000))
+    products = spark.createDataFrame([("p", None, "t", text_), ("q", "n", None, None)], "product_id string, product_name string, review_title string, review_content string")
+    got = prompts.review_prompts(products, task="T", size=6000).orderBy("product_id", "part").collect()
+    pieces = [r.prompt.removeprefix("Product: \n\n").removesuffix("\n\nT") for r in got if r.product_id == "p"]
+    assert "".join(pieces) == f"Review titles: t\n\nReview text: {text_}" and [len(x) for x in pieces][:2] == [6000, 6000]
+    assert [(r.product_id, r.part) for r in got] == [("p", 0), ("p", 1), ("p", 2), ("q", 0)]
+
+
+def test_quartiles_are_exact(spark):
+    values = [None, 1.0, 2.0, 2.0, 7.0, 100.0, 3.0]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "a double, b int")
+    got = {r["column"]: r for r in profile.describe(df, ["a", "b"]).collect()}
+    assert (got["a"]["count"], got["a"].q25, got["a"].q50, got["a"].q75, got["a"].max) == (6, 2.0, 2.5, 6.0, 100.0)
+    assert (got["b"].q25, got["b"].q50, got["b"].q75) == (1.5, 3.0, 4.5)
+
+
 def test_contexts(facts):
     c = cube.results_cube(facts)
     got = prompts.build_context(c.where("product_id = 'p1'"), "All categories | tiers: none").first()[0]
     assert got == (
         "Scope: All categories | tiers: none\nProducts in scope: 1; total aspect mentions: 3\n"
         "Discount tiers PRESENT here: 0-15%.\n"
-        "Discount tiers ABSENT (do NOT reference or compare against these): 15-30%, 30-50%, 50%+.\n\n"
+        "Discount tiers ABSENT here (leave them out of every comparison): 15-30%, 30-50%, 50%+.\n\n"
         "Sentiment by aspect:\n- sound: 3 mentions, 67% positive, 0% neutral, 33% negative\n\n"
         "Sentiment by discount tier:\n- 0-15%: 3 mentions, 67% positive, 0% neutral, 33% negative"
     )
@@ -162,22 +184,25 @@ def test_chat_requests(spark, rows):
         "conv_id bigint, turn bigint, role string, text string",
     )
     got = prompts.chat_requests(turns, F.lit("S"))
-    assert rows(got) == [(1, -1, "system", "S"), (1, 1, "user", "b"), (1, 2, "assistant", "c"), (2, -1, "system", "S")]
+    first, second = [(1, 1, "user", "b"), (1, 2, "assistant", "c"), (1, 3, "user", "d")], [(2, 0, "user", "e")]
+    assert rows(got) == [(1, -1, "system", "S"), *first, (2, -1, "system", "S"), *second]  # open questions stay
     packed = prompts.pack_messages(got, size=2).orderBy("conv_id", "part").collect()
-    assert [(r.conv_id, r.part, [m.turn for m in r.messages]) for r in packed] == [(1, 0, [-1]), (1, 1, [1, 2]), (2, 0, [-1])]
+    assert [(r.conv_id, r.part, [m.turn for m in r.messages]) for r in packed] == [
+        (1, 0, [-1]), (1, 1, [1, 2]), (1, 2, [3]), (2, 0, [-1, 0])]
 
 
 def test_costs(spark):
     requests = spark.createDataFrame(
-        [("summary", 1000, 220, 350, 3.0, 6.0), ("product", 2000, 260, 400, 1.0, 1.0), ("product", 400, 260, 400, 1.0, 1.0)],
-        "kind string, in_tok int, out_typ int, out_cap int, prep_ms_mean double, prep_ms_max double",
+        [("summary", "s", 1000, 220, 350, 3.0, 6.0), ("product", "long", 2000, 260, 400, 1.0, 1.0),
+         ("product", "long", 100, 260, 400, 1.0, 1.0), ("product", "mid", 400, 260, 400, 1.0, 1.0)],
+        "kind string, query_type string, in_tok int, out_typ int, out_cap int, prep_ms_mean double, prep_ms_max double",
     )
-    got = prompts.with_cost(requests).orderBy("in_tok").collect()
+    part, *got = prompts.with_cost(requests).orderBy("in_tok").collect()
     assert got[1].cost == pytest.approx(1000 / 1e6 * 0.15 + 220 / 1e6 * 0.60)
     assert got[1].seconds == pytest.approx(0.003 + 0.5 + 220 / 80)
     assert got[1].seconds_worst == pytest.approx(0.006 + 0.5 + 350 / 80)
     monthly = prompts.cost_projection(prompts.with_cost(requests)).collect()
-    product = (got[0].cost + got[2].cost) / 2
+    product = (got[0].cost + got[2].cost + part.cost) / 2  # a long review in two parts costs both
     assert monthly[0].blended == pytest.approx((got[1].cost + product) / 2)
     assert [r.queries_per_month for r in monthly] == [100, 1000, 10000]
 
@@ -190,4 +215,7 @@ def test_checks(spark):
         checks.require_data(df, None)
     with pytest.raises(checks.InvalidLabels, match="good"):
         checks.require_values(df, "polarity")
+    many = spark.range(30).selectExpr("cast(id as string) as polarity")
+    with pytest.raises(checks.InvalidLabels, match="and 10 more"):
+        checks.require_values(many, "polarity")
     assert checks.or_none(df.where("false")) is None and checks.or_none(df) is df

@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from tierlens.plans import catalog
 from tools.check import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +24,13 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    msg, _, _, ok = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF)
-    assert ok or ORACLES.get(name) is None, msg
+    msg, _, _, ok = compare(spark, con, name, QUERIES[name], ORACLES[name], SF)
+    assert ok, msg
+
+
+def test_every_query_is_registered():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(entry_module.queries()) and set(catalog.ORACLES) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):
