@@ -91,6 +91,9 @@ def test_held_out_size_and_determinism(spark, rows):
     again = curate.with_held_out(df.repartition(5), "label_id")
     assert rows(split.select("label_id", "held_out")) == rows(again.select("label_id", "held_out"))
     assert curate.with_held_out(df.limit(1), "label_id").where("held_out").count() == 0
+    for n in (0, 7, 499, 1000):
+        capped = curate.train_cap(df, "label_id", n)
+        assert rows(capped) == rows(curate.seeded_sample(df, "label_id", n))
     share = curate.with_held_out_by_threshold(df, "label_id").where("held_out").count()
     assert 60 < share < 140
 

@@ -197,8 +197,9 @@ def with_held_out_by_threshold(df: DataFrame, key: str, test_size: float = TEST_
 
 
 def train_cap(train: DataFrame, key: str, max_samples: int, seed=SEED) -> DataFrame:
-    """At most `max_samples` training rows, seeded."""
-    return seeded_sample(train, key, max_samples, seed)
+    """At most `max_samples` training rows, the first in seeded hash order; ranks come from hash blocks."""
+    hashed = train.select(key, rank_hash(seed, key).alias("_hash"))
+    return semi(train, hash_ranks(hashed, [], "_hash", [key], "_rank").where(F.col("_rank") < max_samples), [key])
 
 
 def negative_quota(train_gold: DataFrame, mined: DataFrame, ratio: float = 1.0) -> DataFrame:
