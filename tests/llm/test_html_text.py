@@ -44,6 +44,13 @@ def test_page_without_article():
     assert h.main_text(page).split("\n") == [f"{LONG} {LONG}", LONG, "So.", LONG]
 
 
+def test_names():
+    page = f"""<div id="siteHeader" class="header"><p>{LONG}</p></div><main><div class="article-header"><h1>Title</h1></div>
+    <p>{LONG}</p><div class="commentlist"><p>{LONG}</p></div><div class="col advertbox"><p>{LONG}</p></div>
+    <div hidden><p>{LONG}</p></div><p>{LONG}</p></main><div class="sidebarLeft"><p>{LONG}</p></div>"""
+    assert h.main_text(page).split("\n") == ["Title", LONG, LONG]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</", "<!--", "<script>never closed", "<a <b <c", "&#;", "<nav>only a menu</nav>"])
 def test_broken_pages(page):
     assert isinstance(h.main_text(page), str)

@@ -43,12 +43,16 @@ CLOSES_P = frozenset(
 #: Elements and names that hold no main text.
 ASIDE_TAGS = frozenset("nav footer aside form menu button select option dialog head fieldset legend".split())
 ASIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo "
+    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments contentinfo "
     "complementary consent cookie cookies copyright disclaimer disqus discussion feedback foot footer form gdpr head "
     "header legal login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup "
     "promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
+#: The same as beginnings of longer names.
+ASIDE_STEMS = ("advert", "adsby", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
+#: Names that are boilerplate of the page, but part of an article when inside one.
+HEADS = frozenset("head header masthead".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article content entry main post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -135,7 +139,10 @@ class Blocks:
                 names.update(WORD.findall((m[1] or m[2] or m[3] or "").lower()))
         bad = name in ASIDE_TAGS or (name == "header" and not main)
         if names and name not in ("html", "body"):
-            bad = bad or bool(names & ASIDE_NAMES)
+            found = names & ASIDE_NAMES
+            if main or names & MAIN_NAMES:
+                found = found - HEADS
+            bad = bad or bool(found) or any(x.startswith(ASIDE_STEMS) for x in names)
         if attrs and HIDDEN.search(attrs):
             bad = True
         good = name in MAIN_TAGS or (not bad and name not in ("html", "body") and bool(names & MAIN_NAMES))
