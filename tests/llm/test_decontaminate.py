@@ -82,9 +82,9 @@ ITEMS = [(7, "one two three four five six seven eight nine ten"), (8, "Short ite
 
 @pytest.mark.parametrize("phrases", [1, 100])
 def test_spans_and_removal(spark, phrases):
-    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string, items string")
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(DOCS)], "doc_id bigint, text string, items string, place int")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    got = d.find_leaks(docs, items, phrases=phrases, remove=True).collect()
+    got = d.find_leaks(docs, items, phrases=phrases, remove=True).orderBy("place").collect()
     assert [r["text"] for r in got] == ["eleven", "Start. end", "here", None, "", "nothing at all"]
     assert [r["items"] for r in got] == [["7"], ["7"], ["8"], [], [], []]
     assert [r["n_hit"] for r in got] == [10, 10, 2, 0, 0, 0]

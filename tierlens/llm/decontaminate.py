@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .store import kept
 
 WIDTH = 10
 SHARD_BYTES = 3 << 20
@@ -222,7 +223,7 @@ def _slices(benchmark: DataFrame, width: int, phrases: int) -> Iterator[Phrases]
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("i IS NOT NULL AND text IS NOT NULL")
     for row in rows.toLocalIterator():
         held += phrases_of([(row["i"], row["text"])], width)
-        while len(held) >= phrases:
+        while len(held) > phrases:
             yield Phrases(held[:phrases], width)
             held = held[phrases:]
     yield Phrases(held, width)
@@ -235,15 +236,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, phrase
     """`docs` with `n_words`, `n_hit`, `items` found (sorted as strings) and `spans` (in UTF-8 bytes of `text`).
 
     With `remove` the spans are cut out of `text`, and what stood around one is joined by a space.
-    A benchmark of more windows than `phrases` is searched slice by slice. Then hits are known after the
-    last slice only, so each pass takes the marks of the one before along.
+    A benchmark of more windows than `phrases` is searched slice by slice, each pass writing its marks for the
+    next one to take along.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    slices = list(_slices(benchmark, width, phrases))
-    for i, part in enumerate(slices):
-        rows = rows.mapInArrow(_search(names, part, i > 0, remove and i == len(slices) - 1), f"{fields}, {RESULT}")
+    slices = _slices(benchmark, width, phrases)
+    part, again = next(slices), False
+    while part is not None:
+        after = next(slices, None)
+        rows = rows.mapInArrow(_search(names, part, again, remove and after is None), f"{fields}, {RESULT}")
+        if after is not None:  # one slice at a time is in memory
+            rows = kept(rows, "searched")
+        part, again = after, True
     return rows
 
 
