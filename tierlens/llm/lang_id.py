@@ -199,8 +199,14 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_language: int = SAMPL
     """
     known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").where(~held_out())
     known = known.where(F.length("text") <= SAMPLE_CHARS)
-    order = Window.partitionBy("lang").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("lang"))), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    # Hashes below a share of about twice the bound are ranked, so no task sees all documents of a language.
+    sizes = kept(known.groupBy("lang").agg(F.count("*").alias("_all")), "languages")
+    digest = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("lang")))
+    share = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / (1 << 32)
+    ids = known.select("doc_id", "lang", digest.alias("_hash")).join(sizes, "lang")
+    ids = ids.where(share * F.col("_all") < 2 * per_language + 20)
+    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
     ids = kept(ids.select("doc_id", "lang").distinct(), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
