@@ -13,11 +13,11 @@ GRAMS = (3, 4, 5)
 
 
 def char_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every character n-gram of all words, and the word that each belongs to."""
+    """Buckets of the character n-grams of all words, word by word, and where each word's begin (and the last end)."""
     marked = [b"<" + w + b">" for w in words]
     flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     sizes = np.fromiter((len(m) for m in marked), np.int64, len(marked))
-    owner = np.repeat(np.arange(len(marked)), sizes)
+    owner = np.repeat(np.arange(len(marked), dtype=np.int32), sizes)
     buckets, owners = [], []
     for n in GRAMS:
         k = len(flat) - n + 1
@@ -29,22 +29,31 @@ def char_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         keep = owner[:k] == owner[n - 1 :]
-        buckets.append((h[keep] >> np.uint64(40)) % np.uint64(BUCKETS))
+        buckets.append(((h[keep] >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32))
         owners.append(owner[:k][keep])
-    if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bucket, who = np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
-    order = np.argsort(who, kind="stable")
-    return bucket[order], who[order]
+    bucket = np.concatenate([np.zeros(0, np.int32), *buckets])
+    who = np.concatenate([np.zeros(0, np.int32), *owners])
+    first = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(words)))))
+    return bucket[np.argsort(who, kind="stable")], first
 
 
-def mean_of(table: np.ndarray, bucket: np.ndarray, who: np.ndarray, n: int) -> np.ndarray:
-    """Mean of the bucket vectors of each of `n` words."""
+def of_words(bucket: np.ndarray, first: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of some words in the form of `char_buckets`."""
+    count = first[picked + 1] - first[picked]
+    new = np.concatenate(([0], np.cumsum(count)))
+    return bucket[np.arange(new[-1]) + np.repeat(first[picked] - new[:-1], count)], new
+
+
+def mean_of(table: np.ndarray, bucket: np.ndarray, first: np.ndarray, together: int = 4096) -> np.ndarray:
+    """Mean of the bucket vectors of each word."""
+    n = len(first) - 1
     out = np.zeros((n, table.shape[1]), np.float32)
-    if len(who):
-        present, at = np.unique(who, return_index=True)
-        count = np.diff(np.append(at, len(who)))
-        out[present] = np.add.reduceat(table[bucket], at, axis=0) / count[:, None]
+    for i in range(0, n, together):
+        at = first[i : i + together + 1]
+        some = np.flatnonzero(np.diff(at))
+        if len(some):
+            sums = np.add.reduceat(table[bucket[at[0] : at[-1]]], at[some] - at[0], axis=0)
+            out[i + some] = sums / np.diff(at)[some, None]
     return out
 
 

@@ -69,13 +69,21 @@ class Block:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every block."""
-        n = len(self.data)
-        values = _TABLE[self.data]
-        values *= _powers(_BASE, n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values, out=total[1:])
-        own = (total[self.end] - total[self.start]) * _powers(_INVERSE, n + 1)[self.start]
-        return mix(own ^ ((self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        out = np.empty(self.count, np.uint64)
+        at = 0
+        while at < self.count:  # some words at a time, so a long text needs no long arrays
+            base = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.start, base + BLOCK_BYTES)))
+            start, end = self.start[at:to] - base, self.end[at:to] - base
+            n = int(end[-1])
+            values = _TABLE[self.data[base : base + n]]
+            values *= _powers(_BASE, n)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(values, out=total[1:])
+            own = (total[end] - total[start]) * _powers(_INVERSE, n + 1)[start]
+            out[at:to] = mix(own ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+            at = to
+        return out
 
     def words(self, picked: np.ndarray) -> list[bytes]:
         raw = self.data.tobytes()

@@ -65,19 +65,13 @@ class Reader:
         first = np.full(len(distinct), -1, np.int64)
         first[self.words[::-1]] = np.arange(block.count)[::-1]
         self.numbers = numbers(vocabulary, distinct)
-        self.bucket, self.who = gru.char_buckets(block.words(first))
+        self.bucket, self.first = gru.char_buckets(block.words(first))
         self.n = len(distinct)
         text, start, self.length = window_starts(block.per_text)
         self.text, self.start = text, start + block.first[text]
 
-    def gates(self, p, hide: np.ndarray | None = None):
-        chars = gru.mean_of(p["char"], self.bucket, self.who, self.n)
-        own = self.numbers if hide is None else np.where(hide, 0, self.numbers)
-        of_words = gru.inputs(p, own, chars)
-        return chars, own, of_words
-
     def logits(self, p) -> np.ndarray:
-        _, _, gates = self.gates(p)
+        gates = gru.inputs(p, self.numbers, gru.mean_of(p["char"], self.bucket, self.first))
         gates = {d: np.vstack([g, np.zeros((1, g.shape[1]), np.float32)]) for d, g in gates.items()}
         words = np.append(self.words, self.n)  # an empty window reads one blank word
         out = np.empty(len(self.start), np.float32)
@@ -138,9 +132,8 @@ def _step(p, reader, at, y, moments, step, rng):
     used, local = np.unique(np.concatenate([reader.words[s : s + n] for s, n in zip(reader.start[at], reader.length[at])]), return_inverse=True)
     length = reader.length[at]
     start = np.cumsum(length) - length
-    mine = np.isin(reader.who, used)
-    bucket, who = reader.bucket[mine], np.searchsorted(used, reader.who[mine])
-    chars = gru.mean_of(p["char"], bucket, who, len(used))
+    bucket, first = gru.of_words(reader.bucket, reader.first, used)
+    chars = gru.mean_of(p["char"], bucket, first)
     own = np.where(hide[used], 0, reader.numbers[used])
     gates = {d: g[local] for d, g in gru.inputs(p, own, chars).items()}
     tape: dict = {}
@@ -155,8 +148,8 @@ def _step(p, reader, at, y, moments, step, rng):
         dx += total @ p[f"in_{d}"].T
     g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
     np.add.at(g["word"], own, dx[:, : gru.WORD_DIM])
-    count = np.maximum(np.bincount(who, minlength=len(used)), 1)
-    np.add.at(g["char"], bucket, (dx[:, gru.WORD_DIM :] / count[:, None])[who])
+    count = np.diff(first)
+    np.add.at(g["char"], bucket, np.repeat(dx[:, gru.WORD_DIM :] / np.maximum(count, 1)[:, None], count, axis=0))
     for k, v in p.items():
         m, s = moments[k]
         m += 0.1 * (g[k] - m)
