@@ -64,6 +64,14 @@ def with_group_min(df: DataFrame, keys, value: Column, name: str) -> DataFrame:
     return lookup(df, written(least, "minima"), keys)
 
 
+def _key(*columns) -> Column:
+    """Columns as one struct: never null, and equal where both hold null in the same field.
+
+    Windows and joins by the same struct share one shuffle.
+    """
+    return F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns])
+
+
 def running_total(df: DataFrame, keys, order: str, value: Column, name: str, bits: int = BLOCK_BITS, levels: int = 2):
     """Sum of `value` over the rows of a key that come before this one.
 
@@ -71,42 +79,52 @@ def running_total(df: DataFrame, keys, order: str, value: Column, name: str, bit
     `2**bits` consecutive order values, the block sums inside blocks of blocks, and so on `levels`
     times, so a task holds one block and never a whole key.
     """
-    narrow = df.select(*keys, order, value.cast("bigint").alias("_value"))
-    return _on(df, _before(narrow, list(keys), order, name, bits, levels), [*keys, order], "left")
+    narrow = df.select(_key(*keys).alias("_of"), F.col(order).alias("_at"), value.cast("bigint").alias("_value"))
+    return _back(df, _before(narrow, bits, levels).withColumnRenamed("_value", name), keys, order)
+
+
+def _back(df: DataFrame, found: DataFrame, keys, order: str) -> DataFrame:
+    """What was found for (`_of`, `_at`) on the rows that it belongs to."""
+    out = df.withColumn("_mine", _key(*keys)).join(found, (F.col("_mine") == F.col("_of")) & (F.col(order) == F.col("_at")), "left")
+    return out.drop("_mine", "_of", "_at")
 
 
-def _before(rows: DataFrame, keys: list[str], order: str, name: str, bits: int, levels: int) -> DataFrame:
-    """(keys, order, name): running totals of `_value`."""
-    earlier = (Window.unboundedPreceding, -1)
-    total = lambda by: F.coalesce(F.sum("_value").over(Window.partitionBy(*by).orderBy(order).rowsBetween(*earlier)), F.lit(0))
+def _before(rows: DataFrame, bits: int, levels: int) -> DataFrame:
+    """(_of, _at, _value) with `_value` summed over earlier rows of `_of`."""
+    earlier = lambda by: Window.partitionBy(by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda by: F.coalesce(F.sum("_value").over(earlier(by)), F.lit(0))
     if levels == 0:
-        return rows.select(*keys, order, total(keys).alias(name))
-    block = f"_block{levels}"
-    rows = rows.withColumn(block, F.shiftright(F.col(order).cast("bigint"), bits))
-    sums = rows.groupBy(*keys, block).agg(F.sum("_value").alias("_value"))
-    base = _before(sums, keys, block, f"_base{levels}", bits, levels - 1)
-    out = _on(rows.withColumn(name, total([*keys, block])), base, [*keys, block], "left")
-    return out.select(*keys, order, (F.col(name) + F.col(f"_base{levels}")).alias(name))
+        return rows.withColumn("_value", total("_of"))
+    block = F.shiftright(F.col("_at").cast("bigint"), bits).alias("at")
+    rows = rows.withColumn("_block", F.struct(F.col("_of").alias("of"), block))
+    sums = rows.groupBy("_block").agg(F.sum("_value").alias("_value"))
+    sums = sums.select(F.col("_block.of").alias("_of"), F.col("_block.at").alias("_at"), "_value")
+    base = _before(sums, bits, levels - 1).select(
+        F.struct(F.col("_of").alias("of"), F.col("_at").alias("at")).alias("_block"), F.col("_value").alias("_base"))
+    out = rows.withColumn("_value", total("_block")).join(base, "_block", "left")
+    return out.select("_of", "_at", (F.col("_value") + F.col("_base")).alias("_value"))
 
 
 def next_value(df: DataFrame, keys, order: str, value: str, name: str, bits: int = BLOCK_BITS, levels: int = 2):
     """`value` of the following row of the key, null at its end. Blocks as in `running_total`."""
-    narrow = df.select(*keys, order, F.struct(F.col(value)).alias("_value"))
-    after = _after(narrow, list(keys), order, bits, levels).withColumn(name, F.col(f"_next.{value}")).drop("_next")
-    return _on(df, after, [*keys, order], "left")
+    narrow = df.select(_key(*keys).alias("_of"), F.col(order).alias("_at"), F.struct(F.col(value)).alias("_value"))
+    after = _after(narrow, bits, levels).select("_of", "_at", F.col(f"_value.{value}").alias(name))
+    return _back(df, after, keys, order)
 
 
-def _after(rows: DataFrame, keys: list[str], order: str, bits: int, levels: int) -> DataFrame:
-    """(keys, order, _next): `_value` of the following row; null only at the end of a key."""
-    lead = lambda by: F.lead("_value").over(Window.partitionBy(*by).orderBy(order))
+def _after(rows: DataFrame, bits: int, levels: int) -> DataFrame:
+    """(_of, _at, _value) with `_value` of the following row; null only at the end of `_of`."""
+    lead = lambda by: F.lead("_value").over(Window.partitionBy(by).orderBy("_at"))
     if levels == 0:
-        return rows.select(*keys, order, lead(keys).alias("_next"))
-    block = f"_block{levels}"
-    rows = rows.withColumn(block, F.shiftright(F.col(order).cast("bigint"), bits))
-    firsts = rows.groupBy(*keys, block).agg(F.min_by("_value", order).alias("_value"))
-    beyond = _after(firsts, keys, block, bits, levels - 1).withColumnRenamed("_next", f"_beyond{levels}")
-    out = _on(rows.withColumn("_next", lead([*keys, block])), beyond, [*keys, block], "left")
-    return out.select(*keys, order, F.coalesce("_next", f"_beyond{levels}").alias("_next"))
+        return rows.withColumn("_value", lead("_of"))
+    block = F.shiftright(F.col("_at").cast("bigint"), bits).alias("at")
+    rows = rows.withColumn("_block", F.struct(F.col("_of").alias("of"), block))
+    firsts = rows.groupBy("_block").agg(F.min_by("_value", "_at").alias("_value"))
+    firsts = firsts.select(F.col("_block.of").alias("_of"), F.col("_block.at").alias("_at"), "_value")
+    beyond = _after(firsts, bits, levels - 1).select(
+        F.struct(F.col("_of").alias("of"), F.col("_at").alias("at")).alias("_block"), F.col("_value").alias("_beyond"))
+    out = rows.withColumn("_value", lead("_block")).join(beyond, "_block", "left")
+    return out.select("_of", "_at", F.coalesce("_value", "_beyond").alias("_value"))
 
 
 def hash_ranks(df: DataFrame, keys, hash_col: str, tie, name: str, digits: int = 4) -> DataFrame:
@@ -116,12 +134,14 @@ def hash_ranks(df: DataFrame, keys, hash_col: str, tie, name: str, digits: int =
     is one row per block when block sizes are added up.
     """
     keys = list(keys)
-    rows = df.select(*keys, hash_col, *tie).withColumn("_block", F.substring(hash_col, 1, digits))
-    sizes = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(hash_col, *tie)
-    out = _on(rows.withColumn(name, F.row_number().over(inside) - 1), sizes, [*keys, "_block"], "left")
+    block = _key(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], F.substring(hash_col, 1, digits).alias("at"))
+    rows = df.select(*keys, hash_col, *tie).withColumn("_block", block)
+    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    of = [F.col(f"_block.k{i}") for i in range(len(keys))]
+    earlier = Window.partitionBy(*of).orderBy("_block.at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_block").orderBy(hash_col, *tie)
+    out = rows.withColumn(name, F.row_number().over(inside) - 1).join(sizes, "_block", "left")
     return out.withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base")
 
 
