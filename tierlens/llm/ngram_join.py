@@ -273,11 +273,14 @@ def _block_links(share: int):
         one = np.flatnonzero(side == i)
         two = one if i == j else np.flatnonzero(side == j)
         pick = lambda lists, at: [lists[x] for x in at]
-        linked = _enough(_overlaps(pick(grams, one), pick(grams, two)), n[one][:, None], n[two][None, :], share)
-        linked &= _overlaps(pick(short, one), pick(short, two)) == 0
-        linked &= _overlaps(pick(long, one), pick(long, two)) == 0
+        met = _overlaps(pick(short, one), pick(short, two)) > 0
+        met |= _overlaps(pick(long, one), pick(long, two)) > 0
         if i == j:
-            np.fill_diagonal(linked, False)
+            np.fill_diagonal(met, True)
+        # Sets all of whose pairs are judged elsewhere need no overlaps here.
+        rows_, columns = ~met.all(axis=1), ~met.all(axis=0)
+        one, two, met = one[rows_], two[columns], met[np.ix_(rows_, columns)]
+        linked = _enough(_overlaps(pick(grams, one), pick(grams, two)), n[one][:, None], n[two][None, :], share) & ~met
         count = np.zeros(len(cls), np.int64)
         count[one] += linked @ size[two]
         if i != j:
