@@ -32,8 +32,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = ngram_join.ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"))
     found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    stay = ids.join(found, "_row").groupBy("_group").agg(first).select("first._row")
-    return rows.join(kept(stay, "stay"), "_row", "left_semi").select(*docs.columns)
+    groups = kept(ids.join(found, "_row"), "groups")
+    stay = kept(groups.groupBy("_group").agg(first).select("_group", F.col("first._row").alias("_stays")), "stay")
+    # Far fewer rows go than stay, so texts meet the former.
+    gone = groups.join(stay, F.col("_row") == F.col("_stays"), "left_anti").select("_row")
+    return rows.join(kept(gone, "gone"), "_row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
