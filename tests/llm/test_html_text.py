@@ -51,6 +51,50 @@ def test_names():
     assert h.main_text(page).split("\n") == ["Title", LONG, LONG]
 
 
+@pytest.mark.parametrize("attrs", [
+    'style="overflow:hidden"', 'class="overflow-hidden"', 'class="lg:hidden"', 'aria-hidden="false"', 'title="a hidden place"',
+    'data-hidden="1"', 'class="no-sidebar"', 'class="has-sidebar"', 'class="comment-open"', 'class="layout-with-sidebar wide"',
+    'style="display:none;display:block"', 'hidden="until-found"',
+])
+@pytest.mark.parametrize("tag", ["div", "main", "article"])
+def test_attributes_that_hide_nothing(attrs, tag):
+    wanted = [LONG, f"{LONG} {LONG}"]
+    text = f"<p>{LONG}</p><div><p>{LONG} {LONG}</p></div>"
+    assert h.main_text(f"<body><{tag} {attrs}>{text}</{tag}></body>").split("\n") == wanted
+    assert h.main_text(f"<body><div {attrs}><section><article class=post>{text}</article></section></div>").split("\n") == wanted
+    assert h.main_text(f"<main><section {attrs}>{text}</section></main>").split("\n") == wanted
+
+
+@pytest.mark.parametrize("attrs", [
+    "hidden", 'HIDDEN=""', "style='Color: red; Display : NONE !important'", 'style="visibility:hidden"', "aria-hidden=true",
+    'class="sidebar"', 'class="wide sidebar-no-border"', "id=comments", "role=navigation",
+])
+def test_attributes_that_hide(attrs):
+    page = f"<main><p>{LONG}</p><div {attrs}><section><p>Away. {LONG}</p></section></div></main>"
+    assert h.main_text(page) == LONG
+
+
+def test_names_around_articles():
+    text, reply = f"<p>{LONG}</p><p>{LONG} {LONG}</p>", f"<article class=comment-body><p>First! {LONG}</p></article>"
+    wanted = [LONG, f"{LONG} {LONG}"]
+    for page in (f"<div class='sidebar-left menu'><article>{text}</article></div>", f"<main class='sidebar search'>{text}</main>",
+                 f"<article class='promo'>{text}</article>", f"<div class=related><main><article class='post promo'>{text}</article></main></div>"):
+        assert h.main_text(page).split("\n") == wanted
+    # Replies are articles too, but not those of the page.
+    for page in (f"<main><article>{text}</article><div id=comments>{reply * 3}</div></main>",
+                 f"<div class=promo><article><p>Buy. {LONG}</p></article></div><article class=post>{text}{reply}</article>"):
+        assert h.main_text(page).split("\n") == wanted
+
+
+@pytest.mark.parametrize("name", ["svg", "math", "object", "noscript", "iframe", "template", "noembed", "noframes", "xmp"])
+def test_missing_end_tag(name):
+    page = f"<article><p>{LONG}</p><div><{name} id=x></div><p>{LONG} {LONG}</p>"
+    assert h.main_text(page).split("\n") == [LONG, f"{LONG} {LONG}"]
+    assert h.main_text(f"{page}<{name}><p>Gone.</p></{name}></article>").split("\n") == [LONG, f"{LONG} {LONG}"]
+    for hard in ("script", "style", "title", "textarea"):
+        assert h.main_text(f"{page}<{hard}>{LONG}").split("\n") == [LONG, f"{LONG} {LONG}"]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "</", "<!--", "<script>never closed", "<a <b <c", "&#;", "<nav>only a menu</nav>"])
 def test_broken_pages(page):
     assert isinstance(h.main_text(page), str)

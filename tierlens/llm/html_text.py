@@ -5,8 +5,14 @@ of calling it content or boilerplate; these are the capacities to the two termin
 and blocks with a common parent are tied by smoothness edges. The minimum cut separates the two kinds, so
 a short paragraph among long ones stays and a long menu entry among menus goes.
 
+Tags and hidden elements (by `hidden`, `aria-hidden=true` or an inline style) are a verdict for all they hold.
+So are names, unless they tell of something else: "no-sidebar" or "comment-open" is a hint about the element's
+own text alone, as is any name of `main` or of what it is in. A name of an article, or of what an article is
+in, is a verdict as long as the page has main text beside it.
+
 Defined results: a null or empty page, and one without content blocks, has an empty text. Broken markup
-(unclosed tags, unknown references, an unfinished tag at the end) is read as far as it goes. Inside a block
+(unclosed tags, unknown references, an unfinished tag at the end) is read as far as it goes; only a script,
+style, title or textarea without its end runs to the end of the page. Inside a block
 every run of white space, line breaks included, is one space. Repeated rows get equal texts. Other columns
 pass through; those named like the results are replaced.
 """
@@ -25,13 +31,23 @@ TAG = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>][^\s>]*)))?""")
 WORD = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: What follows in a name is there or missing somewhere else; a name that ends so is a state.
+ELSEWHERE = re.compile(r"(?:^|[-_])(?:no|has|with|without)[-_]")
+STATE = re.compile(r"[-_](?:open|opened|closed|enabled|disabled|free)$")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object".split())
+#: Of these, those that only their end tag ends; the others are ordinary markup when it is missing.
+UNENDED = frozenset("script style title textarea".split())
+RAW_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<hard>script|style|title|textarea)\b.*?(?:</(?P=hard)\b|\Z)"
+    rf"|<(?P<end>/?)(?P<name>{'|'.join(sorted(RAW - UNENDED))})(?=[\s/>])(?P<attrs>(?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    re.S | re.I,
+)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr img br".split()
@@ -60,11 +76,59 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: The classifier: log odds that a block is content.
 BASE, PARAGRAPH, TITLE, HEADING, QUOTE, ITEM = -0.6, 0.8, 0.9, 0.4, 0.4, -0.2
 PER_WORD, MOST_WORDS = 0.025, 60
-IN_MAIN, OUTSIDE_MAIN, IN_ASIDE, LINKS, RIGHTS = 1.2, -2.5, -6.0, -3.0, -2.0
+IN_MAIN, OUTSIDE_MAIN, IN_ASIDE, HINT, LINKS, RIGHTS = 1.2, -2.5, -6.0, -0.5, -3.0, -2.0
+#: Words of main text that make a page do without articles that are named as boilerplate.
+ENOUGH = 25
 #: Smoothness: between neighbours, more with a common parent, and to the next block of the same parent.
 NEXT, SIBLINGS, PARENT = 0.3, 0.5, 0.4
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of several the first, as in the HTML standard."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        value = m[2] or m[3] or m[4] or ""
+        found.setdefault(m[1].lower(), unescape(value) if "&" in value else value)
+    return found
+
+
+def hidden(given: dict[str, str]) -> bool:
+    """Whether the attributes hide the element; one that opens when searched for is only folded."""
+    if "hidden" in given and given["hidden"].strip().lower() != "until-found":
+        return True
+    if given.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    if "style" not in given:
+        return False
+    style: dict[str, str] = {}
+    for part in CSS_COMMENT.sub("", given["style"].lower()).split(";"):
+        key, _, value = part.partition(":")
+        style[key.strip()] = value.replace("!important", "").strip()
+    return style.get("display") == "none" or style.get("visibility") == "hidden"
+
+
+def name_words(given: dict[str, str]) -> tuple[set[str], set[str]]:
+    """Words of the class, id and role: what the element is, and what its names only tell about."""
+    own: set[str] = set()
+    hints: set[str] = set()
+    for key in ("class", "id", "role"):
+        for token in given.get(key, "").lower().split():
+            if STATE.search(token):
+                hints.update(WORD.findall(token))
+                continue
+            m = ELSEWHERE.search(token)
+            own.update(WORD.findall(token[: m.start()] if m else token))
+            if m:
+                hints.update(WORD.findall(token[m.end() :]))
+    return own, hints
+
+
+def aside_names(words: set[str], heads: bool) -> bool:
+    """Whether a word names boilerplate; headers do if `heads`."""
+    found = words & ASIDE_NAMES
+    return bool(found if heads else found - HEADS) or any(w.startswith(ASIDE_STEMS) for w in words)
+
+
 class Blocks:
     """The text blocks of a page in order, with what the classifier wants to know."""
 
@@ -73,9 +137,14 @@ class Blocks:
         self.odds: list[float] = []
         self.parents: list[int] = []
         self.in_main: list[bool] = []
-        # Open elements: name, number, inside main, inside boilerplate.
-        self.open: list[tuple[str, int, bool, bool]] = []
-        self.made = 0
+        # Open elements: name, number, inside main.
+        self.open: list[tuple[str, int, bool]] = []
+        # By number, 0 for the page: the element around, boilerplate by tag or hidden, by name, hints, and
+        # whether it is or holds an article (1) or the main element (2).
+        self.around, self.bad, self.named, self.hints, self.holds = [0], [False], [False], [False], [0]
+        # By block: element, in a main element, a heading, number of words.
+        self.blocks: list[tuple[int, bool, bool, int]] = []
+        self.ends: dict[int, int] | None = None
         self.text: list[str] = []
         self.linked = 0
         self.links = 0
@@ -100,18 +169,53 @@ class Blocks:
             if m["end"]:
                 self._close(name)
             elif name in RAW:
-                at = self._skip(html, name, at, m["attrs"])
+                at = self._skip(html, name, lt, at, m["attrs"])
             else:
                 self._open(name, m["attrs"])
         self._flush()
-        if any(self.in_main):
-            self.odds = [o if i else o + OUTSIDE_MAIN for o, i in zip(self.odds, self.in_main)]
+        self._settle()
 
-    def _skip(self, html: str, name: str, at: int, attrs: str) -> int:
+    def _settle(self) -> None:
+        """What names mean is known at the end of the page."""
+        for least in (2, 1):
+            aside = list(self.bad)
+            for i in range(1, len(aside)):
+                aside[i] = aside[i] or aside[self.around[i]] or (self.named[i] and self.holds[i] < least)
+            self.in_main = [main and not aside[e] for e, main, _, _ in self.blocks]
+            words = sum(n for (_, _, heading, n), i in zip(self.blocks, self.in_main) if i and not heading)
+            if words >= ENOUGH or not any(n and h == 1 for n, h in zip(self.named, self.holds)):
+                break
+        outside = OUTSIDE_MAIN if any(self.in_main) else 0.0
+        for k, (e, main, _, _) in enumerate(self.blocks):
+            if main:
+                self.odds[k] += IN_MAIN
+            if aside[e]:
+                self.odds[k] += IN_ASIDE
+            elif self.named[e] or self.hints[e]:
+                self.odds[k] += HINT
+            if not self.in_main[k]:
+                self.odds[k] += outside
+
+    def _skip(self, html: str, name: str, lt: int, at: int, attrs: str) -> int:
+        """Where to read on: after the end of the element, or inside it if it has none."""
         if attrs.endswith("/") and name in ("svg", "math"):
             return at
-        end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-        return end.end() if end else len(html)
+        if name in UNENDED:
+            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            return end.end() if end else len(html)
+        if self.ends is None:
+            self.ends = {}
+            starts: dict[str, list[int]] = {}
+            for m in RAW_TAG.finditer(html):
+                if m["name"] is None:
+                    continue
+                same = starts.setdefault(m["name"].lower(), [])
+                if not m["end"]:
+                    if not (m["attrs"].endswith("/") and m["name"].lower() in ("svg", "math")):
+                        same.append(m.start())
+                elif same:
+                    self.ends[same.pop()] = m.end()
+        return self.ends.get(lt, at)
 
     def _add(self, text: str) -> None:
         self.text.append(text)
@@ -132,22 +236,32 @@ class Blocks:
             self._pop(name, (name, "p"))
         if name in VOID or attrs.endswith("/"):
             return
-        _, _, main, aside = self.open[-1] if self.open else ("", 0, False, False)
-        names: set[str] = set()
-        if attrs:
-            for m in NAMED.finditer(attrs):
-                names.update(WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-        bad = name in ASIDE_TAGS or (name == "header" and not main)
-        if names and name not in ("html", "body"):
-            found = names & ASIDE_NAMES
-            if main or names & MAIN_NAMES:
-                found = found - HEADS
-            bad = bad or bool(found) or any(x.startswith(ASIDE_STEMS) for x in names)
-        if attrs and HIDDEN.search(attrs):
-            bad = True
-        good = name in MAIN_TAGS or (not bad and name not in ("html", "body") and bool(names & MAIN_NAMES))
-        self.made += 1
-        self.open.append((name, self.made, main or good, aside or bad))
+        _, above, main = self.open[-1] if self.open else ("", 0, False)
+        given = attributes(attrs) if attrs else {}
+        own, hints = name_words(given)
+        page = name in ("html", "body")
+        bad = name in ASIDE_TAGS or (name == "header" and not main) or (not page and hidden(given))
+        heads = not main and not (own | hints) & MAIN_NAMES
+        named = not page and aside_names(own, heads)
+        good = name in MAIN_TAGS or (not bad and not named and not page and bool((own | hints) & MAIN_NAMES))
+        number = len(self.around)
+        self.around.append(above)
+        self.bad.append(bad)
+        self.named.append(named)
+        self.hints.append(not page and aside_names(hints, heads))
+        self.holds.append(0)
+        self.open.append((name, number, main or good))
+        if name == "main" or given.get("role", "").strip().lower() == "main":
+            self._hold(number, 2)
+        elif name == "article" and not any(x[0] == "article" for x in self.open[:-1]):  # an article's articles are replies
+            self._hold(number, 1)
+            if own & MAIN_NAMES:
+                self.hints[number], self.named[number] = self.hints[number] or self.named[number], False
+
+    def _hold(self, number: int, kind: int) -> None:
+        while number and self.holds[number] < kind:
+            self.holds[number] = kind
+            number = self.around[number]
 
     def _pop(self, name: str, through: tuple[str, ...]) -> None:
         """Close the element if only those of `through` are open inside it."""
@@ -178,7 +292,7 @@ class Blocks:
         self.linked = self.links = 0
 
     def _block(self, words: list[str]) -> None:
-        name, number, main, aside = self.open[-1] if self.open else ("", 0, False, False)
+        name, number, main = self.open[-1] if self.open else ("", 0, False)
         odds = BASE + PER_WORD * min(len(words), MOST_WORDS)
         if name == "p":
             odds += PARAGRAPH
@@ -189,16 +303,12 @@ class Blocks:
         elif name in ("li", "td", "th", "dt", "dd"):
             odds += ITEM
         odds += LINKS * min(1.0, self.linked / len(words))
-        if main:
-            odds += IN_MAIN
-        if aside:
-            odds += IN_ASIDE
         if words[0][0] == "©":
             odds += RIGHTS
         self.texts.append(" ".join(words))
         self.odds.append(odds)
         self.parents.append(self.open[-2][1] if len(self.open) > 1 else 0)
-        self.in_main.append(main and not aside)
+        self.blocks.append((number, main, name in HEADINGS, len(words)))
 
 
 def edges(parents: list[int]) -> list[tuple[int, int, float]]:
