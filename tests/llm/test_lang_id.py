@@ -83,6 +83,24 @@ def test_edge_cases(spark):
     assert li.predict(docs.where("false"), li.fit(docs)).collect() == []
 
 
+def test_long_words_and_texts_teach(spark):
+    """A language without blanks, and one of long texts alone."""
+    en, de = "the house and the garden of that man ", "das Haus und der Garten von diesem Mann "
+    zh = "\u6211\u4eec\u7684\u623f\u5b50\u548c\u82b1\u56ed\u5728\u8fd9\u91cc\uff0c\u4ed6\u5f88\u597d\u3002"
+    rows = [(i, en * 3, "en") for i in range(12)] + [(20 + i, zh * 9, "zh") for i in range(12)]
+    rows += [(40 + i, de * 600, "de") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = li.fit(docs)
+    assert model.languages == ["de", "en", "zh"]
+    new = spark.createDataFrame([(1, en), (2, zh), (3, de)], "doc_id bigint, text string")
+    assert [r["lang_pred"] for r in li.predict(new, model).orderBy("doc_id").collect()] == ["en", "zh", "de"]
+
+
+def test_runs():
+    assert li.runs("Aé，".encode() * 2 + b"x" * 7, 3) == ["aé", "aé", "xxx", "xxx", "x"]
+    assert li.runs("，。".encode(), 3) == []
+
+
 def test_cache_does_not_matter(vocabulary, monkeypatch):
     rng = np.random.default_rng(2)
     model = li.Model(["a", "b"], rng.random((vocabulary.count, 2)) / 100, li.VOCABULARY)

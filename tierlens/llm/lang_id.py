@@ -5,7 +5,8 @@ sum over all ways to cut it into pieces, which a forward algorithm gives; expect
 matching backward pass learns the probabilities. A text's score is the sum of its words' logarithms.
 
 Learning takes a bounded sample: `SAMPLE_DOCS` labelled documents of each language outside the held-out
-fold, of at most `SAMPLE_CHARS` characters each. Prediction reads whole texts.
+fold, of at most `SAMPLE_CHARS` characters each; a language without texts that short is learned from the
+beginnings of its long ones. Prediction reads whole texts.
 
 Defined results: a text that is null or has no letters is `und` with score 0, and so is every text if nothing
 is labelled. Equal probabilities go to the language that sorts first. Repeated rows get equal results.
@@ -184,6 +185,12 @@ def letters(words: list[bytes]) -> list[str]:
     return out
 
 
+def runs(word: bytes, longest: int) -> list[str]:
+    """The runs of letters of a word, lower-case, in pieces of at most `longest`."""
+    text = "".join(c if c.isalpha() else " " for c in word.decode("utf-8", "replace").lower())
+    return [run[i : i + longest] for run in text.split() for i in range(0, len(run), longest)]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -194,28 +201,32 @@ class Model:
 def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_language: int = SAMPLE_DOCS, longest: int = 64) -> Model:
     """A model from a bounded sample of `docs` (`doc_id`, `text`, `lang`) outside the held-out fold.
 
-    One task per language learns from that language's word counts; words of more than `longest` letters
-    teach nothing.
+    One task per language learns from that language's word counts. Words of more than `longest` letters, as
+    whole paragraphs are where no blanks are written, are cut at what is no letter and into pieces that long.
     """
     known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").where(~held_out())
-    known = known.where(F.length("text") <= SAMPLE_CHARS)
+    known = known.select("doc_id", "lang", (F.length("text") <= SAMPLE_CHARS).alias("_short"))
     # Hashes below a share of about twice the bound are ranked, so no task sees all documents of a language.
-    sizes = kept(known.groupBy("lang").agg(F.count("*").alias("_all")), "languages")
+    sizes = known.groupBy("lang").agg(F.count_if("_short").alias("_all"), F.count("*").alias("_any"))
+    long = (F.col("_all") == 0).alias("_long")
+    sizes = kept(sizes.select("lang", F.when(F.col("_all") > 0, F.col("_all")).otherwise(F.col("_any")).alias("_all"), long), "languages")
     digest = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("lang")))
     share = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / (1 << 32)
-    ids = known.select("doc_id", "lang", digest.alias("_hash")).join(sizes, "lang")
+    ids = known.withColumn("_hash", digest).join(sizes, "lang").where("_short or _long")
     ids = ids.where(share * F.col("_all") < 2 * per_language + 20)
     order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
     ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
-    ids = kept(ids.select("doc_id", "lang").distinct(), "sample")
+    ids = kept(ids.select("doc_id", "lang", "_long").distinct(), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch["lang"].to_pylist()
             for at, block in tokens.blocks(tokens.raw(batch["text"]), tokens.LETTER):
-                words = pd.Series(letters(block.words(np.arange(block.count))), dtype=object)
-                rows = pd.DataFrame({"lang": [langs[at + t] for t in block.owner], "word": words})
-                rows = rows[rows["word"].str.len().between(1, longest)] if len(rows) else rows
+                raw = block.words(np.arange(block.count))
+                words = [[x] if len(x) <= longest else runs(w, longest) for x, w in zip(letters(raw), raw)]
+                rows = pd.DataFrame({"lang": [langs[at + t] for t in block.owner], "word": pd.Series(words, dtype=object)})
+                rows = rows.explode("word", ignore_index=True)
+                rows = rows[rows["word"].str.len() > 0] if len(rows) else rows
                 found = rows.groupby(["lang", "word"]).size().reset_index(name="n")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found["lang"], pa.string()), pa.array(found["word"], pa.string()), pa.array(found["n"], pa.int64())],
@@ -228,8 +239,9 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_language: int = SAMPL
         return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "probs": [pickle.dumps(probs.astype(np.float32))]})
 
     # The sample is bounded by its parameters, so its ids may be sent to every task.
-    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id")
-    words = rows.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    rows = rows.where((F.length("text") <= SAMPLE_CHARS) | F.col("_long"))
+    words = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).mapInArrow(count, "lang string, word string, n bigint")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     learned = kept(words.groupBy("lang").applyInPandas(one, "lang string, probs binary"), "model")
     found = sorted((r["lang"], r["probs"]) for r in learned.collect())
