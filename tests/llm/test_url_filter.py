@@ -73,6 +73,23 @@ def test_tree(spark):
     assert any(r["template"].endswith("/**") for r in got) and any("/de/*" in r["template"] for r in got)
 
 
+def test_every_depth(spark):
+    """Rules that differ in the eighth segment, and paths of all depths, against the plain version."""
+    base = "http://a.org/1/b/c/d/e/f"
+    urls = [f"{base}/{x}/{y}{chr(97 + i % 26)}{i}x{'/z' * (i % 3)}" for x in "gh" for y in "ku" for i in range(60)]
+    rules = ((u.BLOCK, "a.org", "/1/b/c/d/e/f/g/k"), (u.ALLOW, "a.org", "/1/b/c/d/e/f/h/k"))
+    frame = spark.createDataFrame([(x,) for x in urls], "url string")
+    got = u.judge(frame, rules, depth=None).where("rule is null").collect()
+    assert len(got) == 120
+    assert all(r["verdict"] == (u.BLOCK if "/g/" in r["path"] else u.ALLOW) for r in got)
+    rng = random.Random(9)
+    urls += [f"http://b.example.org/{rng.choice(['en', 'es'])}/" + "/".join(rng.choice(["x", "y1", "y22"]) for _ in range(rng.randrange(9))) for _ in range(300)]
+    urls += ["http://c.com/fr" + "/s" * 25, "http://c.com/de" + "/s" * 40]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(urls)], "page_id bigint, url string")
+    got = u.judge(frame, depth=None).orderBy("page_id").collect()
+    assert [(r["host"], r["path"], r["rule"], r["template"], round(r["score"], 9), r["verdict"]) for r in got] == brute(urls, depth=99)
+
+
 def test_longest_rule_wins(spark):
     got = check(spark, ["http://www.example.org/en/17", "http://example.org/en/27", "http://q.org/es/1", "http://a.com/de/1", "http://com/fr/", "http://xorg/"], depth=1)
     assert [(r["rule"], r["verdict"]) for r in got][:5] == [

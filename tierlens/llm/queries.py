@@ -161,7 +161,7 @@ def op3_html_text(spark, sf_dir):
 
 @query()
 def op4_url_filter(spark, sf_dir):
-    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), depth=None)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -6,8 +6,8 @@ Branches whose share of blocked urls does not differ from that of their siblings
 template is rejected if its smoothed share of blocked urls is over one half; a host with few labels leans on
 the same template of all hosts, and that on all labelled urls.
 
-Rows are counted by host and path first, so the tree is built over different urls. A path deeper than
-`depth` ends in one wildcard for its rest; nothing is left out.
+Rows are counted by host and path first, so the tree is built over different urls. Where a `depth` is given, a
+deeper path ends in one wildcard for its rest; with None the tree follows every path to its end.
 
 Defined results: a null url, or one without `://`, has an empty host and path. Repeated urls weigh as often as
 they occur and share a verdict. Without labelled urls everything is allowed. Other columns pass through;
@@ -15,6 +15,7 @@ those named like the results are replaced.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,10 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"://([^/?#]*)([^?#]*)"
+#: The depth where none is given.
 DEPTH = 6
+#: So many parts of the result are written as one.
+MERGE = 16
 #: A node is variable if it has over MANY children that occur fewer than FEW times on average.
 MANY, FEW = 20, 5
 #: Pseudo-counts of the smoothing, and how many standard errors make a branch differ from its siblings.
@@ -50,29 +54,47 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, F.coalesce(*[F.when(f, F.lit(v)) for f, (v, _, _) in zip(fits, longest)], none)
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(urls: DataFrame, depth: int | None = DEPTH) -> DataFrame:
     """`urls` (`host`, `path`, `n` and more) with `parent` and `template` of each path."""
     segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     )
-    rows = urls.withColumn("segments", segments).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
-    rows = kept(rows, "urls")
-    levels = min(depth, rows.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for level in range(levels):
-        here = F.size("segments") > level
-        rows = rows.withColumn("shape", F.when(here, F.regexp_replace(F.get("segments", F.lit(level)), "[0-9]+", "*")))
-        children = rows.where(here).groupBy("host", "template", "shape").agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-        variable = kept(nodes.where((F.col("k") > MANY) & (F.col("n") < FEW * F.col("k"))).select(
-            "host", "template", F.lit(True).alias("variable")), "variable")
-        step = F.when(F.col("variable"), F.lit("*")).otherwise(F.col("shape"))
-        rows = rows.join(variable, ["host", "template"], "left")
-        rows = rows.withColumn("parent", F.when(here, F.col("template")).otherwise(F.col("parent")))
-        rows = rows.withColumn("template", F.when(here, F.concat("template", F.lit("/"), step)).otherwise(F.col("template")))
-        rows = kept(rows.drop("shape", "variable"), "urls")
-    deeper = F.size("segments") > depth
-    rows = rows.withColumn("parent", F.when(deeper, F.col("template")).otherwise(F.col("parent")))
-    return rows.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
+    if depth is not None:
+        first = F.concat(F.slice(segments, 1, depth), F.array(F.lit("**")))
+        segments = F.when(F.size(segments) > depth, first).otherwise(segments)
+    shapes = F.transform(segments, lambda x: F.regexp_replace(x, "[0-9]+", "*"))
+    rows = urls.withColumn("shapes", shapes).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
+    rows = kept(rows.withColumn("more", F.size("shapes") > 0), "urls")
+    names, done, level = [*urls.columns, "parent", "template"], [], 0
+    while True:
+        done.append(rows.where("not more").select(names))
+        if len(done) == MERGE:
+            done = [kept(reduce(DataFrame.unionByName, done), "done")]
+        rows = rows.where("more")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        shape = F.get("shapes", F.lit(level))
+        count = (F.sum("n").alias("n"), F.count("*").alias("urls"))
+        children = rows.withColumn("shape", shape).groupBy("host", "template", "shape").agg(*count)
+        nodes = children.groupBy("host", "template").agg(
+            F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("urls").alias("urls")
+        )
+        # Without MANY urls no node from here on is variable: only the others are followed segment by segment.
+        variable = ((F.col("k") > MANY) & (F.col("n") < FEW * F.col("k"))).alias("variable")
+        followed = kept(nodes.where(F.col("urls") > MANY).select("host", "template", variable), "nodes")
+        rows = rows.join(followed, ["host", "template"], "left")
+        alone, left = F.col("variable").isNull(), F.size("shapes") - level
+
+        def rest(length):
+            return F.concat("template", F.lit("/"), F.array_join(F.slice("shapes", F.lit(level + 1), length), "/"))
+
+        step = F.concat("template", F.lit("/"), F.when(F.col("variable"), F.lit("*")).otherwise(shape))
+        parent = F.when(alone & (left > 1), rest(left - 1)).otherwise(F.col("template"))
+        rows = rows.select(
+            *urls.columns, "shapes", parent.alias("parent"), F.when(alone, rest(left)).otherwise(step).alias("template"),
+            (~alone & (left > 1)).alias("more"),
+        )
+        rows, level = kept(rows, "urls"), level + 1
 
 
 def scores(rows: DataFrame) -> DataFrame:
@@ -99,7 +121,7 @@ def scores(rows: DataFrame) -> DataFrame:
     return out.select("host", "template", ((b + WEIGHT * common) / (n + WEIGHT)).alias("score"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", depth: int | None = DEPTH) -> DataFrame:
     """`pages` with `host`, `path`, `rule`, `template`, `score` (of the template) and `verdict`."""
     own = ("host", "path", "rule", "template", "score", "verdict")
     host, path = host_path(F.col(url))
