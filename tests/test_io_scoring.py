@@ -125,6 +125,35 @@ def test_head_trains_saves_and_scores(spark, tmp_path):
     assert got.pop(99) == ("positive", None) and all(a == b for a, b in got.values())
 
 
+def test_counts_name_predictions_of_both_splits(spark):
+    from tierlens.plans import scoring as plans
+
+    for counts in (plans.train_head_counts, plans.score_gold_counts):
+        counts = counts(spark, "/root/testdata/sf0.001")
+        rows = counts.collect()
+        assert counts.columns == ["held_out", "label", "predicted", "n"] and {r.held_out for r in rows} == {False, True}
+        for r in plans.against_majority(counts).collect():
+            mine = [x for x in rows if x.held_out == r.held_out and x.predicted is not None]
+            per = {x.label: sum(y.n for y in mine if y.label == x.label) for x in mine}
+            right = sum(x.n for x in mine if x.label == x.predicted)
+            assert (r.n, r.right, r.majority) == (sum(per.values()), right, max(per.values()))
+            assert r.beats_majority == (right > max(per.values()))
+            print(counts is not None, r)
+
+
+def test_stored_head_is_loaded(spark, monkeypatch):
+    from tierlens.plans import scoring as plans
+
+    sf, loaded = "/root/testdata/sf0.001", plans.load_words
+    monkeypatch.setattr(plans, "load_words", lambda *a: {w: -v for w, v in loaded(*a).items()})
+    turned = {r.polarity for r in plans.tuned_or_default_scoring(spark, sf).where("polarity <> 'neutral'").collect()}
+    counts = lambda df: {r.polarity: r["count"] for r in df.groupBy("polarity").count().collect()}
+    got = counts(plans.tuned_or_default_scoring(spark, sf))
+    monkeypatch.undo()
+    want = counts(plans.tuned_or_default_scoring(spark, sf))
+    assert turned and got.get("positive") == want.get("negative") and got.get("negative") == want.get("positive")
+
+
 def test_stream_resumes_and_picks_up_new_files(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "run")
     calls = []

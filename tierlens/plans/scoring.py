@@ -1,6 +1,7 @@
 """Queries that run predictors inside Spark tasks."""
 
 import re
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -14,12 +15,13 @@ from .curate import _PLACE, LABELLED, SPLIT
 from .spans import _ATTACHED, _PREDICTED
 
 
-def keyword_predictor():
+def keyword_predictor(valence=None):
     """A stand-in for a model: first whole-word keyword per aspect, polarity from word valences."""
+    valence = b.VALENCE if valence is None else valence
     patterns = [re.compile(rf"\b({'|'.join(kws)})\b") for kws in b.WORDS.values()]
 
     def polarity(s: str) -> str:
-        total = sum(b.VALENCE.get(w, 0.0) for w in re.split(r"[^a-z0-9']+", s.lower()))
+        total = sum(valence.get(w, 0.0) for w in re.split(r"[^a-z0-9']+", s.lower()))
         score = total / (total * total + 15.0) ** 0.5
         return "positive" if score >= 0.05 else "negative" if score <= -0.05 else "neutral"
 
@@ -111,51 +113,85 @@ def resumed_batch_scoring(spark, sf_dir):
 
 @query(b.ctes(b.SENTENCES, b.WORD_SPANS, _PREDICTED) + _ATTACHED)
 def tuned_or_default_scoring(spark, sf_dir):
-    """A tuned head is used where one is stored; without one the default would fail on some sentences."""
+    """A tuned head is loaded where one is stored; without one the default would fail on some sentences.
+
+    The head is the stand-in's: its words with their valences.
+    """
     head = work_folder(spark, "head")
     spark.createDataFrame(list(b.VALENCE.items()), "word string, valence double").write.parquet(head)
     chosen = scoring.model_source(spark, head, "default")
-    factory = keyword_predictor if chosen == head else fragile_predictor
+    factory = partial(keyword_predictor, load_words(spark, head)) if chosen == head else fragile_predictor
     scored = scoring.score_spans(b.sentences(spark, sf_dir), factory, "head")
     return spans.attach_predictions(scored, taxonomy=b.WORDS).select("row_ord", "pos", "span", "polarity", "aspect")
 
 
+def load_words(spark, head: str) -> dict[str, float]:
+    """The words of a stored head."""
+    return {r["word"]: r["valence"] for r in spark.read.parquet(head).collect()}
+
+
+def prediction_counts(scored, label: str, predicted: str):
+    """Rows per split, label and prediction."""
+    return scored.groupBy("held_out", F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def against_majority(counts):
+    """Per split: predictions, right ones, those of the most frequent label, and whether the head finds more."""
+    known = counts.where("predicted is not null")
+    per = known.groupBy("held_out", "label").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right")
+    )
+    out = per.groupBy("held_out").agg(F.sum("n").alias("n"), F.sum("right").alias("right"), F.max("n").alias("majority"))
+    return out.withColumn("beats_majority", F.col("right") > F.col("majority"))
+
+
+def _beats(counts):
+    """The comparison on the training rows, as a table of one row."""
+    return against_majority(counts).where("not held_out").select("beats_majority")
+
+
 _MASK = "('0x' || substring(md5(vec_id::VARCHAR || '|42'), 1, 8))::BIGINT >= 3435973836"
 
 
-@query(f"""SELECT label::VARCHAR AS label, count(*) AS n, true AS beats_majority
-FROM embeddings WHERE {_MASK} GROUP BY label""")
-def train_head(spark, sf_dir):
-    """A multinomial head on the embeddings, trained on four fifths. Labels there are random, so what the
-    head has learned shows on the rows it was trained on: it must name more of them than the majority does."""
+def train_head_counts(spark, sf_dir):
+    """Rows per split, label and prediction of a multinomial head on the embeddings, trained on four fifths."""
     rows = b.table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
     labels = tuple(str(i) for i in range(10))
     rows = written(curate.with_held_out_by_threshold(rows, "vec_id"), "embeddings")
     model = scoring.train_embedding_head(rows.where("not held_out"), "label", labels)
-    scored = written(scoring.apply_head(model, scoring.with_vector(rows), labels, "predicted"), "scored")
-    known = scored.where("not held_out")
-    right = known.agg(F.count_if(F.col("label") == F.col("predicted"))).scalar()
-    most = known.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
-    counts = scored.where("held_out").groupBy("label").agg(F.count("predicted").alias("n"))
-    return counts.withColumn("beats_majority", F.lit(right > most))
+    scored = scoring.apply_head(model, scoring.with_vector(rows), labels, "predicted")
+    return written(prediction_counts(scored, "label", "predicted"), "counts")
+
+
+@query(f"""SELECT label::VARCHAR AS label, count(*) AS n, true AS beats_majority
+FROM embeddings WHERE {_MASK} GROUP BY label""")
+def train_head(spark, sf_dir):
+    """What SQL can check of `train_head_counts`. Labels there are random, so what the head has learned shows
+    on the rows it was trained on: it must name more of them than the majority does."""
+    counts = train_head_counts(spark, sf_dir)
+    n = F.sum(F.when(F.col("predicted").isNotNull(), F.col("n")).otherwise(0)).alias("n")
+    return counts.where("held_out").groupBy("label").agg(n).crossJoin(_beats(counts))
+
+
+def score_gold_counts(spark, sf_dir):
+    """Rows per split, polarity and prediction of a head on span context, trained on the gold rows kept for
+    training; every gold row scored, without a prediction where its span cannot be placed."""
+    rows = written(curate.with_held_out(b.gold_table(spark, sf_dir), "label_id"), "gold")
+    train = scoring.with_context(rows.where("not held_out")).where("context is not null")
+    model = scoring.train_text_head(train, "polarity")
+    scored = scoring.score_gold(model, rows.drop("polarity_finetuned"))
+    return written(prediction_counts(scored, "polarity", "polarity_finetuned"), "counts")
 
 
 @query(b.ctes(*LABELLED, SPLIT) + f"""
 SELECT held_out, polarity, count(*) AS n, count(*) FILTER (place IS NULL) AS unplaced, true AS beats_majority
 FROM (SELECT *, {_PLACE} AS place FROM split) GROUP BY held_out, polarity""")
 def score_gold(spark, sf_dir):
-    """A head on span context, trained on the gold rows kept for training; every gold row scored.
+    """What SQL can check of `score_gold_counts`.
 
-    It must find more of the training rows right than the most frequent polarity does.
+    The head must find more of the training rows right than the most frequent polarity does.
     """
-    rows = written(curate.with_held_out(b.gold_table(spark, sf_dir), "label_id"), "gold")
-    train = scoring.with_context(rows.where("not held_out")).where("context is not null")
-    model = scoring.train_text_head(train, "polarity", balanced=False, reg=0.001)
-    scored = written(scoring.score_gold(model, rows.drop("polarity_finetuned")), "scored")
-    known = scored.where("not held_out and polarity_finetuned is not null")
-    right = known.agg(F.count_if(F.col("polarity") == F.col("polarity_finetuned"))).scalar()
-    most = known.groupBy("polarity").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
-    out = scored.groupBy("held_out", "polarity").agg(
-        F.count("*").alias("n"), F.count_if(F.col("polarity_finetuned").isNull()).alias("unplaced")
-    )
-    return out.withColumn("beats_majority", F.lit(right > most))
+    counts = score_gold_counts(spark, sf_dir)
+    unplaced = F.sum(F.when(F.col("predicted").isNull(), F.col("n")).otherwise(0)).alias("unplaced")
+    out = counts.groupBy("held_out", F.col("label").alias("polarity")).agg(F.sum("n").alias("n"), unplaced)
+    return out.crossJoin(_beats(counts))
