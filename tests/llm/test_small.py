@@ -90,6 +90,21 @@ def test_mix_edge_cases(spark):
     assert [(r.target, r.taken) for r in empty] == [(0.0, 0)]
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [3e12, 1.0]), (1, [2e12, -4e12]), (2, [-1e3, 5.0]), (3, [0.0, 1e13]), (4, [1.0, None]), (5, [float("inf"), 0.0])]
+    vectors = topk.whole_numbers(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), scale=1)
+    whole = {r.vec_id: r.v for r in vectors.collect()}
+    assert sorted(whole) == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(vectors, F.col("vec_id") == 0, 2).collect()
+    less = vectors.where("vec_id <> 1")
+    want = sorted((-sum(a * b for a, b in zip(whole[0], whole[i])), i) for i in (2, 3))
+    got = topk.top_k(less, F.col("vec_id") == 0, 2).collect()
+    assert [tuple(r) for r in sorted(got, key=lambda r: r["rank"])] == [(0, n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.whole_numbers(spark.createDataFrame([(1, [1e30])], "vec_id bigint, embedding array<double>")).collect()
+
+
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_top_k(spark, k):
     rng = random.Random(k)

@@ -11,7 +11,7 @@ is at least as high, so lower buckets can't matter.
 Defined results: vectors that are null or hold a null or non-finite component take no part. Vectors are
 compared with those of the same length only. A candidate with the query's own id is not its candidate.
 Of several queries with one id the least vector is used; repeated candidate rows each count. Null ids
-take no part. With fewer than k candidates all are returned; without any the query has no row.
+take no part. A component or a score that does not fit a long is an error. With fewer than k candidates all are returned; without any the query has no row.
 """
 
 from collections.abc import Iterator
@@ -28,17 +28,20 @@ SCALE = 64
 CANDIDATES, QUERIES = 4096, 512
 #: Buckets of a histogram, as a power of two.
 BITS = 6
+TOO_LARGE = "a component or score of these vectors does not fit a long"
 
 
 def whole_numbers(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id", scale: int = SCALE) -> DataFrame:
     """`vec_id`, `v`: vectors as floor(scale * x), without those that take no part."""
     x = F.col(vec)
-    finite = F.forall(x, lambda e: F.coalesce(e.cast("double").between(-1e12, 1e12), F.lit(False)))
+    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
     rows = vectors.where(x.isNotNull() & finite & F.col(key).isNotNull())
-    return rows.select(
-        F.col(key).cast("bigint").alias("vec_id"),
-        F.transform(x, lambda e: F.floor(e.cast("double") * F.lit(scale)).cast("bigint")).alias("v"),
-    )
+
+    def whole(e: Column) -> Column:
+        y = e.cast("double") * F.lit(scale)
+        return F.when(F.abs(y) < 2.0**63, F.floor(y).cast("bigint")).otherwise(F.raise_error(F.lit(TOO_LARGE)).cast("bigint"))
+
+    return rows.select(F.col(key).cast("bigint").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def _pack(name: str, more: tuple[str, ...] = ()):
@@ -62,14 +65,27 @@ def _scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of queries, ids of candidates, and all inner products; a candidate with the query's id scores lowest."""
     q_id, c_id = (np.frombuffer(row[f"{s}_vec_id"], np.int64) for s in "qc")
     q, c = (np.frombuffer(row[f"{s}_v"], np.int64).reshape(row[f"{s}_n"], -1) for s in "qc")
-    most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    most = _largest(q) * _largest(c) * max(1, q.shape[1])
+    same = q_id[:, None] == c_id[None, :]
+    if most >= 1 << 63:  # sums of Python's whole numbers, which have no bound
+        exact = q.astype(object) @ c.astype(object).T
+        exact[same] = 0
+        if any(not LOWEST < s < 1 << 63 for s in exact.flat):
+            raise OverflowError(TOO_LARGE)
+        got = exact.astype(np.int64)
+        got[same] = LOWEST
+        return q_id, c_id, got
     # Whole numbers below 2**24 (2**53) are exact in single (double) precision.
     kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
     got = (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
-    got[q_id[:, None] == c_id[None, :]] = LOWEST
+    got[same] = LOWEST
     return q_id, c_id, got
 
 
+def _largest(v: np.ndarray) -> int:
+    return max(int(v.max(initial=0)), -int(v.min(initial=0)))
+
+
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -131,11 +147,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, candidates: int = C
     rows = kept(vectors.withColumn("dim", F.size("v").cast("bigint")), "vectors")
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("m")).select("vec_id", "m.*")
     n, n_asked, most = rows.select(
-        F.count("*"), F.count_if(is_query), F.max(F.aggregate("v", F.lit(0).cast("bigint"), lambda a, e: a + F.abs(e) * F.abs(e)))
+        F.count("*"), F.count_if(is_query), F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
     ).first()
     c_blocks, q_blocks = -(-n // candidates) or 1, -(-n_asked // queries) or 1
     # A score is at most the larger squared length of the two vectors.
-    top = max(1, int(most or 0)).bit_length()
+    top = min(63, max(1, int((most or 0) * (1 + 1e-9))).bit_length())
 
     all_c, all_q = (F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(x - 1).cast("bigint"))) for x in (c_blocks, q_blocks))
     pack, kind = _pack("c")
