@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lang_id, line_dedup, mixing, ngram_join, token_counts, topk, toxicity, url_filter
+from . import (
+    decontaminate, html_text, lang_id, line_dedup, merkle, mixing, ngram_join, token_counts, topk, toxicity, url_filter,
+)
 from .fold import held_out
 from .store import kept, table
 
@@ -171,3 +173,74 @@ def op2_lang_id(spark, sf_dir):
     model = lang_id.fit(docs)
     found = lang_id.predict(docs.drop("lang"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: crc32 of a list of bytes: `t` is its table of 256 values.
+SQL_CRC_TABLE = """crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def sql_crc(some_bytes: str) -> str:
+    step = "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {some_bytes}), {step}), 4294967295::BIGINT)"
+
+
+def _sql_leaf(n_chars: str) -> str:
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    return f"sha256({' || '.join(field(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+SQL_MERKLE = f"""
+WITH RECURSIVE {SQL_CRC_TABLE},
+leaves AS (
+  SELECT doc_id, lang, {_sql_leaf('n_chars')} AS leaf,
+    CASE WHEN {sql_crc("[unicode(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]")} % 7 = 0
+      THEN {_sql_leaf('(n_chars + 1)')} END AS tampered,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM documents, crc_table),
+nodes(level, lang, pos, n, h) AS (
+  SELECT 0, lang, pos, n, leaf FROM leaves
+  UNION ALL
+  SELECT any_value(level) + 1, lang, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY lang, pos // 2),
+subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM tops WHERE n > 1 GROUP BY pos // 2),
+up(doc_id, lang, level, pos, n, proof, folded) AS (
+  SELECT doc_id, lang, 0, pos, n, '', coalesce(tampered, leaf) FROM leaves
+  UNION ALL
+  SELECT doc_id, u.lang, u.level + 1, u.pos // 2, (u.n + 1) // 2, proof || coalesce(s.h, ''),
+    sha256(CASE WHEN u.pos % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END)
+  FROM up u LEFT JOIN nodes s ON u.lang IS NOT DISTINCT FROM s.lang AND s.level = u.level AND s.pos = xor(u.pos, 1)
+  WHERE u.n > 1),
+over(doc_id, level, pos, n, proof, folded) AS (
+  SELECT doc_id, 0, s.pos, s.n, proof, folded FROM up u JOIN subroots s ON u.lang IS NOT DISTINCT FROM s.lang WHERE u.n = 1
+  UNION ALL
+  SELECT doc_id, o.level + 1, o.pos // 2, (o.n + 1) // 2, proof || coalesce(s.h, ''),
+    sha256(CASE WHEN o.pos % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END)
+  FROM over o LEFT JOIN tops s ON s.level = o.level AND s.pos = xor(o.pos, 1) WHERE o.n > 1)
+SELECT l.doc_id, leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+  folded AS folded_root, folded = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN over o ON o.doc_id = l.doc_id AND o.n = 1
+"""
+
+
+@query(SQL_MERKLE)
+def op13_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    n_chars = F.col("n_chars") + 1
+    spoiled = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(spoiled, merkle.row_hash("doc_id", "source", "lang", n_chars, "text"))
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", ["doc_id"], {"tampered": tampered})
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
