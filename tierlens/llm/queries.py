@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, html_text, lang_id, line_dedup, merkle, mixing, ngram_join, token_counts, topk, toxicity, url_filter,
+    decontaminate, html_text, lang_id, line_dedup, merkle, mixing, ngram_join, spelling, token_counts, topk, toxicity, url_filter,
 )
 from .fold import held_out
 from .store import kept, table
@@ -244,3 +244,46 @@ def op13_merkle(spark, sf_dir):
         "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(), 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+SQL_SPELLING = f"""
+WITH RECURSIVE {SQL_CRC_TABLE},
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, {sql_crc('''flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END
+    for x in string_split(doc_id::VARCHAR || ':' || run, '')])''')} AS h
+  FROM counted, crc_table),
+made AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+              ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (
+  SELECT word, i, left(word, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+holes AS (SELECT word, a || '_' || b AS hole FROM cut),
+shorter AS (SELECT DISTINCT cut.word AS long, words.word AS short FROM cut JOIN words ON words.word = a || b),
+near AS (
+  SELECT x.word, y.word AS other FROM holes x JOIN holes y ON x.hole = y.hole AND x.word <> y.word
+  UNION ALL SELECT long, short FROM shorter UNION ALL SELECT short, long FROM shorter),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-w.n, other)) AS other, max(w.n) AS other_n
+  FROM near JOIN words w ON w.word = other GROUP BY near.word),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form,
+    CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word),
+walk AS (
+  SELECT word, word AS at_word, form AS to_word FROM forms
+  UNION ALL SELECT walk.word, walk.to_word, f.form FROM walk JOIN forms f ON f.word = walk.to_word)
+SELECT forms.word, n, n_near, form, form_n, walk.at_word AS root
+FROM forms JOIN walk ON walk.word = forms.word AND walk.to_word IS NULL
+"""
+
+
+@query(SQL_SPELLING)
+def op12_spelling(spark, sf_dir):
+    words = spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
