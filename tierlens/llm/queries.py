@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, html_text, lang_id, line_dedup, merkle, mixing, ngram_join, spelling, token_counts, topk, toxicity, url_filter,
+    decontaminate, html_text, lang_id, line_dedup, merkle, mixing, ngram_join, pii, spelling, token_counts, topk, toxicity, url_filter,
 )
 from .fold import held_out
 from .store import kept, table
@@ -287,3 +287,9 @@ FROM forms JOIN walk ON walk.word = forms.word AND walk.to_word IS NULL
 def op12_spelling(spark, sf_dir):
     words = spelling.count_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query()
+def op11_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs)).select("doc_id", *pii.RESULTS)
