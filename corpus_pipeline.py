@@ -16,45 +16,59 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows = _packed(docs)
+    model = toxicity.fit(rows, table(spark, sf_dir, "labels"))
+    return _unpacked(toxicity.score(rows, model).where("predicted = 0"), docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every repeated line only in the document with the smallest id."""
-    return _measured(line_dedup.dedup_lines(docs), docs.columns)
+    return _measured(_unpacked(line_dedup.dedup_lines(_packed(docs)), docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of several such rows, one."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    ids = kept(rows.select("_row", "doc_id"), "rows")
-    found = ngram_join.ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"))
-    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    groups = kept(ids.join(found, "_row"), "groups")
-    stay = kept(groups.groupBy("_group").agg(first).select("_group", F.col("first._row").alias("_stays")), "stay")
+    """Of each group of linked documents the one with the smallest id; of several such rows, one.
+
+    Rows are numbered in the job that writes them, so every later job reads the same numbers.
+    """
+    rows = kept(_packed(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.ngram_join(rows.select(F.col("row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("of"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    groups = kept(rows.select("row", "doc_id").join(found, "row"), "groups")
+    stay = kept(groups.groupBy("of").agg(first).select("of", F.col("first.row").alias("stays")), "stay")
     # Far fewer rows go than stay, so texts meet the former.
-    gone = groups.join(stay, F.col("_row") == F.col("_stays"), "left_anti").select("_row")
-    return rows.join(kept(gone, "gone"), "_row", "left_anti").select(*docs.columns)
+    gone = groups.join(stay, F.col("row") == F.col("stays"), "left_anti").select("row")
+    return _unpacked(rows.join(kept(gone, "gone"), "row", "left_anti"), docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that benchmark items share with them."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), remove=True)
-    return _measured(found, docs.columns)
+    found = decontaminate.find_leaks(_packed(docs), table(spark, sf_dir, "benchmark"), remove=True)
+    return _measured(_unpacked(found, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with how often it does (`copies`)."""
-    mixed = mixing.mix(mixing.measured(docs)).where("copies > 0")
-    return mixed.select(*[c for c in docs.columns if c != "copies"], "copies")
+    mixed = mixing.mix(mixing.measured(_packed(docs))).where("copies > 0")
+    return _unpacked(mixed, [c for c in docs.columns if c != "copies"], "copies")
 
 
-def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    if "n_chars" in columns:
+def _packed(docs: DataFrame) -> DataFrame:
+    """`doc_id`, `text`, `source` and all columns but the text in one, whose names then meet no other."""
+    return docs.select("doc_id", "text", "source", F.struct(*[c for c in docs.columns if c != "text"]).alias("_rest"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns of the documents as they were, and `more` behind them."""
+    own = [F.col("text") if c == "text" else F.col(f"_rest.`{c}`") for c in columns]
+    return rows.select(*own, *more)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
-    return docs.select(*columns)
+    return docs
 
 
 STAGES = [
