@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tierlens.llm import toxicity
@@ -176,3 +177,39 @@ def test_empty_documents(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+CLASHING = ("hash", "size", "score", "predicted", "worst_word", "items", "spans", "n_lines", "n_dropped", "row", "of", "copies",
+            "source_size", "_rest", "_row", "_id", "stays", "n_words")
+
+
+def test_columns_named_like_results_pass_through(spark, folder):
+    """Every stage returns the columns it got, whatever their names."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    docs = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    rest = [c for c in CLASHING if c != "copies"]
+    for name, stage in cp.STAGES:
+        docs = cp.kept(docs, "docs")
+        out = stage(spark, docs, folder)
+        assert out.columns == (docs.columns if name != "mixing" else [*(c for c in docs.columns if c != "copies"), "copies"])
+        assert [tuple(v) for v in out.select(*rest).distinct().collect()] == [tuple(CLASHING.index(c) for c in rest)], name
+
+
+def test_row_numbers_hold_when_reads_are_split_otherwise(spark, tmp_path, monkeypatch):
+    """A table of many files, whose reads are packed otherwise in every job, keeps the right documents."""
+    same = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, same + (" end" if i % 2 else "") if i % 5 == 0 else f"text {i} " + " ".join(f"x{i}y{j}" for j in range(20)), "a", "s", 1) for i in range(400)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(12).write.parquet(path)
+    plain, jobs = cp.kept, iter(range(1000))
+
+    def kept(df, name):
+        spark.conf.set("spark.sql.files.minPartitionNum", (4, 64)[next(jobs) % 2])
+        return plain(df, name)
+
+    monkeypatch.setattr(cp, "kept", kept)
+    try:
+        out = cp.drop_near_copies(spark, spark.read.parquet(path), "")
+        assert sorted(r[0] for r in out.select("doc_id").collect()) == sorted([0, *(i for i in range(400) if i % 5)])
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
