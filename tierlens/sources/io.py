@@ -9,57 +9,28 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import LABEL_COLS, RAW_COLS
+from . import csv_ranges
 
 TEXT_PARTS = "spark.tierlens.text.partitions"
 
 
-def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
-    """Every column as a string; quotes are doubled inside quoted fields."""
-    return (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+def read_reviews_csv(spark: SparkSession, path: str, columns=RAW_COLS) -> DataFrame:
+    """Raw reviews with `row_ord`, their place in source order over all files by path.
 
-
-def _with_source_order(rows: DataFrame, name: str) -> DataFrame:
-    """A whole number in source order: files by path, then the place inside the file.
-
-    Spark packs splits largest first, so the scan's own order is not the files'. Rows of one split
-    stay together and in order; the splits are counted, and each row's place is the rows of the splits
-    before its own plus its place inside it.
-    """
-    split = ["_file", "_start"]
-    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"),
-                             "_scan": F.monotonically_increasing_id()})
-    sizes = rows.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_scan").alias("_first"))
-    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row per split of a file
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = rows.join(sizes, split).withColumn(name, F.col("_before") + F.col("_scan") - F.col("_first"))
-    return out.drop(*split, "_scan", "_first", "_before")
-
-
-def read_reviews_csv(spark: SparkSession, path: str, multiline: bool = True, columns=RAW_COLS) -> DataFrame:
-    """Raw reviews with `row_ord`, their place in source order over all files.
-
-    With `multiline` a file is read by one task, so give many files, or switch it off when no
-    field holds a line break. Write the result out once before using `row_ord` twice.
+    A file is read by many tasks, line breaks in fields or not.
     """
-    rows = _csv(spark, path, multiline)
-    return _with_source_order(rows.select(*columns, "_metadata"), "row_ord").drop("_metadata")
+    return csv_ranges.read(spark, path, "row_ord", written).select(*columns, "row_ord")
 
 
-def read_labels_csv(spark: SparkSession, path: str, multiline: bool = True, columns=LABEL_COLS) -> DataFrame:
+def read_labels_csv(spark: SparkSession, path: str, columns=LABEL_COLS) -> DataFrame:
     """Labels with `label_id` in source order; columns the file lacks come as null."""
-    rows = _csv(spark, path, multiline)
+    rows = csv_ranges.read(spark, path, "label_id", written)
     picked = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
-    rows = _with_source_order(rows.select(*picked, "_metadata"), "label_id").drop("_metadata")
-    return rows.withColumn("ordinal", F.col("ordinal").try_cast("double").cast("int"))
+    return rows.select("label_id", *picked).withColumn("ordinal", F.col("ordinal").try_cast("double").cast("int"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
