@@ -123,8 +123,8 @@ def test_taxonomy_table(spark, rows):
             if word and word in s:
                 want[i, aspect] = min(priority, want.get((i, aspect), 99))
     taxonomy = spark.createDataFrame(data, "aspect string, keyword string, priority int")
-    for anchor in (1, 3, 6):
-        got = spans.taxonomy_table_aspects(sentences, taxonomy, anchor=anchor)
+    for chars in (20, 10_000):
+        got = spans.taxonomy_table_aspects(sentences, taxonomy, chars=chars)
         assert rows(got) == sorted((*key, p) for key, p in want.items())
     assert {a for _, a in want} == {"performance", "quality", "value", "accent", "letter"}
 

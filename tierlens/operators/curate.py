@@ -12,6 +12,7 @@ from ..constants import (
 )
 from ..functions import matching, text
 from ..sources.io import written
+from . import automaton
 from .checks import require_columns, require_values
 from .skew import anti, hash_ranks, keep_first, lookup, rank_hash, semi, top_k, with_group_min
 
@@ -64,6 +65,23 @@ def keyword_cue_distance(sentences: DataFrame, cues=COMPLAINT_CUES, taxonomy=ASP
     )
 
 
+def table_cue_distance(sentences: DataFrame, cues: DataFrame, taxonomy=ASPECT_KEYWORDS, chars: int = automaton.KEYWORD_CHARS) -> DataFrame:
+    """The same, and the number of cue places, for a table of cues (`cue`), of any size.
+
+    All places of all cues in a sentence are found in one pass, whatever the number of cues.
+    """
+    rows = sentences.withColumn("_cues", F.array().cast("array<struct<start:int,size:int>>"))
+    for share in automaton.passes(cues.where(F.length("cue") > 0), "cue", chars):
+        rows = automaton.positions(rows, "sentence", share, "cue", "_more")
+        rows = rows.withColumn("_cues", F.array_sort(F.concat("_cues", "_more"))).drop("_more")
+    rows = rows.select("*", F.inline_outer(matching.word_spans("sentence", taxonomy))).where("start is not null")
+    return rows.withColumns({
+        "ordinal": matching.count_before("sentence", "span", "start"),
+        "cue_dist": automaton.nearest(F.col("_cues"), F.col("start"), F.col("start") + F.length("span")),
+        "cue_places": F.size("_cues"),
+    }).drop("_cues")
+
+
 def mine_candidates(
     sentences: DataFrame,
     labelled: DataFrame | None = None,

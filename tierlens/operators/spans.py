@@ -1,10 +1,13 @@
 """Aspect spans with a polarity, per sentence."""
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ASPECT_KEYWORDS, LEXICON_ALPHA, SPAN_LIST, WORD_CHARS
 from ..functions import matching
+from . import automaton
 
 
 def attach_predictions(
@@ -53,35 +56,21 @@ def keyword_predictions(sentences: DataFrame, lexicon: dict, taxonomy=ASPECT_KEY
     return sentences.withColumn("predictions", matching.let(matching.word_spans("sentence", taxonomy), pairs))
 
 
-ANCHOR = 3
-
-
 def taxonomy_table_aspects(
-    sentences: DataFrame, taxonomy: DataFrame, sentence: str = "sentence", id_cols=("sentence_id",), anchor: int = ANCHOR,
+    sentences: DataFrame, taxonomy: DataFrame, sentence: str = "sentence", id_cols=("sentence_id",),
+    chars: int = automaton.KEYWORD_CHARS,
 ) -> DataFrame:
     """Aspects by substring from a table of (aspect, keyword, priority), of any size.
 
-    One row per id and aspect with its best priority; the least is the first match. A keyword's
-    anchor is that of its substrings of `anchor` characters (the keyword itself if shorter) that fewest
-    keywords have. Sentences meet keywords at anchors and are then tested for the whole keyword.
+    One row per id and aspect with its best priority; the least is the first match. Each sentence is read once
+    by an automaton of all keywords, or once for every `chars` characters of keywords.
     """
-    def cuts(c: Column, n: Column) -> Column:
-        places = F.sequence(F.lit(1), F.length(c) - n + 1)
-        return F.when(F.length(c) >= n, F.array_distinct(F.transform(places, lambda i: F.substring(c, i, n))))
-
     words = taxonomy.where(F.length("keyword") > 0).groupBy("aspect", "keyword").agg(F.min("priority").alias("priority"))
-    words = words.withColumn("_n", F.least(F.length("keyword"), F.lit(anchor)))
-    grams = words.select("keyword", "_n").distinct().select("keyword", F.explode(cuts(F.col("keyword"), F.col("_n"))).alias("_anchor"))
-    share = grams.groupBy("_anchor").agg(F.count("*").alias("_keywords"))
-    best = grams.join(share, "_anchor").groupBy("keyword").agg(F.min(F.struct("_keywords", "_anchor")).alias("_best"))
-    anchors = words.join(best, "keyword").select("aspect", "keyword", "priority", F.col("_best._anchor").alias("_anchor"))
-    # At most `anchor` numbers come back.
-    sizes = [r[0] for r in words.select("_n").distinct().collect()]
-    s = F.col(sentence)
-    places = F.concat(F.array().cast("array<string>"), *[F.coalesce(cuts(s, F.lit(n)), F.array().cast("array<string>")) for n in sizes])
-    rows = sentences.select(*id_cols, s.alias("_s"), F.explode_outer(places).alias("_anchor")).where("_anchor is not null")
-    found = rows.join(anchors, "_anchor").where(F.contains("_s", "keyword"))
-    return found.groupBy(*id_cols, "aspect").agg(F.min("priority").alias("priority"))
+    columns = dict(words.select("aspect", "priority").dtypes)
+    found = [automaton.matches(sentences, sentence, id_cols, share, "keyword", columns) for share in automaton.passes(words, "keyword", chars)]
+    if not found:
+        return sentences.select(*id_cols).limit(0).join(words.select("aspect", "priority").limit(0))
+    return reduce(DataFrame.unionByName, found).groupBy(*id_cols, "aspect").agg(F.min("priority").alias("priority"))
 
 
 def lexicon_table_scores(

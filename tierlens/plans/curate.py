@@ -121,6 +121,19 @@ def nearest_cue(spark, sf_dir):
     return rows.select("row_ord", "pos", "aspect", "span", "start", "ordinal", "cue_dist")
 
 
+_PLACES = "list_sum([len([i for i in range(0, length(sentence) - length(c) + 1) if substring(sentence, i::INTEGER + 1, length(c)) = c]) for c in {}])"
+
+
+@query(b.ctes(b.SENTENCES, b.WORD_SPANS) + f"""
+SELECT row_ord, pos, aspect, span, start, {b.ORDINAL} AS ordinal, {_DIST} AS cue_dist,
+  {_PLACES.format(_CUES)}::INTEGER AS cue_places FROM word_spans""")
+def nearest_cue_table(spark, sf_dir):
+    """The same from a table of cues."""
+    cues = spark.createDataFrame([(c,) for c in b.CUES], "cue string")
+    rows = curate.table_cue_distance(b.sentences(spark, sf_dir), cues, b.WORDS)
+    return rows.select("row_ord", "pos", "aspect", "span", "start", "ordinal", "cue_dist", "cue_places")
+
+
 _MINED = """mined AS (
   SELECT * FROM near WHERE length(sentence) BETWEEN 25 AND 220 AND cue_dist <= 60
     AND lower(sentence) NOT IN (SELECT lower(text) FROM gold)
