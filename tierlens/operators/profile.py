@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def value_counts(df: DataFrame, column: str, classes=None, weight=None) -> DataFrame:
     """Rows per value, most frequent first; with `classes` exactly those, zero-filled."""
@@ -40,20 +42,18 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of numeric columns.
-
-    Values are counted before the quartiles, so these work on distinct values.
-    """
+    """Count, mean, deviation, extremes and exact quartiles of numeric columns."""
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     one = numbers.agg(*[f(c).cast("double").alias(f"{c}__{s}") for c in columns for s, f in stats.items()])
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{s}").alias(s) for s in stats]) for c in columns]
-    values = numbers.unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
     at = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    quartiles = values.groupBy("column").agg(*[F.percentile("value", F.lit(q), F.col("n")).alias(k) for k, q in at.items()])
-    return one.select(F.inline(F.array(*rows))).join(quartiles, "column", "left").select(
-        "column", "count", "mean", "std", "min", *at, "max"
-    )
+    found = exact_quantiles(df, columns, list(at.values()))
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}__{s}").alias(s) for s in stats],
+                 *[F.lit(found[c, q]).cast("double").alias(k) for k, q in at.items()])
+        for c in columns
+    ]
+    return one.select(F.inline(F.array(*rows))).select("column", "count", "mean", "std", "min", *at, "max")
 
 
 def largest_group(df: DataFrame, by: str, value: str) -> DataFrame:

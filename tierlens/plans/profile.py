@@ -38,13 +38,30 @@ def null_profile(spark, sf_dir):
     return profile.null_counts(b.raw_reviews(spark, sf_dir).select(*_PROFILED))
 
 
-@query(" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c})::DOUBLE AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min, "
-    f"quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS q50, quantile_cont({c}::DOUBLE, 0.75) AS q75, "
-    f"max({c})::DOUBLE AS max FROM lineitem" for c in ("l_quantity", "l_linenumber", "l_partkey")))
+def _describe(table: str, columns, digits: int) -> str:
+    at = ", ".join(f"round(quantile_cont({{c}}::DOUBLE, {q}), {digits}) AS {n}" for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c})::DOUBLE AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+        f"min({c})::DOUBLE AS min, {at.format(c=c)}, max({c})::DOUBLE AS max FROM {table}" for c in columns)
+
+
+def _described(df, columns, digits: int):
+    out = profile.describe(df, columns)
+    return out.withColumns({c: F.round(c, 6 if c in ("mean", "std") else digits) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
+_ITEMS, _ORDERS = ("l_quantity", "l_linenumber", "l_partkey"), ("o_orderkey", "o_totalprice", "o_custkey")
+
+
+@query(_describe("lineitem", _ITEMS, 9))
 def describe_columns(spark, sf_dir):
-    out = profile.describe(b.table(spark, sf_dir, "lineitem"), ("l_quantity", "l_linenumber", "l_partkey"))
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return _described(b.table(spark, sf_dir, "lineitem"), _ITEMS, 9)
+
+
+@query(_describe("orders", _ORDERS, 6))
+def describe_distinct(spark, sf_dir):
+    """Columns whose values are all, or nearly all, distinct."""
+    return _described(b.table(spark, sf_dir, "orders"), _ORDERS, 6)
 
 
 @query(b.ctes(b.SPANS, b.CUBE) + """
