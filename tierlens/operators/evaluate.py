@@ -11,6 +11,7 @@ from ..constants import (
     ACCURACY_TARGET, LABEL_ORDER, LEXICON_ALPHA, NEGATIVE_RECALL_TARGET,
 )
 from ..functions import matching, text
+from ..functions.lexicon import Rules, lexicon_rules_score
 
 
 def norm_label(c) -> Column:
@@ -214,6 +215,14 @@ def majority_baseline(df: DataFrame, gold: str, name: str = "pred", weight=None)
     return df.withColumn(name, majority_label(df, gold, weight))
 
 
+def rules_baseline(
+    df: DataFrame, lexicon: dict, rules: Rules = Rules(), column: str = "text", name: str = "pred", alpha: float = LEXICON_ALPHA
+) -> DataFrame:
+    """Every row predicted from its word values and the rules on the words around them."""
+    score = lexicon_rules_score(column, lexicon, rules, alpha)
+    return df.withColumn("rules_score", score).withColumn(name, matching.lexicon_polarity("rules_score"))
+
+
 def lexicon_baseline(
     df: DataFrame, lexicon: dict, column: str = "text", name: str = "pred", alpha: float = LEXICON_ALPHA
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NA_TOKENS, POLARITIES, WHITESPACE, WS
 from ..functions import matching, parsing, text
+from ..functions.lexicon import Rules
 from ..operators import curate, cube, reviews
 from ..sources.io import split_text, written
 
@@ -33,6 +34,8 @@ VALENCE = {
     "with": 1.5, "this": 0.5, "are": 1.25, "and": 0.25, "from": 2.0, "der": 0.75, "la": 0.5,
     "was": -1.5, "that": -0.75, "by": -2.0, "is": -0.5, "of": -0.25, "que": -1.0, "die": -1.25,
 }
+#: Rule words that occur in the tables; all amounts are sums of powers of two, so sums are the same in any order.
+RULES = Rules(negations=("of", "que", "die"), degrees=(("the", 0.25), ("la", -0.25), ("und", 0.5), ("le", -0.5)), contrast=("and", "et"))
 MAINS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 FEWER_MAINS = ("STANDARD", "PROMO", "SMALL", "LARGE")
 ID_STEP, POS_STEP = 1 << 24, 16
@@ -119,6 +122,34 @@ def sql_compound(x: str) -> str:
     return f"({total} / sqrt({total} * {total} + 15.0::DOUBLE))"
 
 
+def sql_rules(source: str, key: str, column: str, rules: Rules = RULES) -> str:
+    """CTEs down to `ruled` (key, rules_score): word values with the rules, by windows over the tokens of a text."""
+    values = ", ".join(f"'{w}': {v}::DOUBLE" for w, v in VALENCE.items())
+    degrees = ", ".join(f"'{w}': {v}::DOUBLE" for w, v in rules.degrees)
+    near = f"OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN {rules.reach} PRECEDING AND 1 PRECEDING)"
+    return f"""tokens AS (
+  SELECT {key}, i, w[i] AS raw, lower(regexp_replace(w[i], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS word, plain
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (
+    SELECT {key}, [x for x in regexp_split_to_array({column}, '[ \t\n\x0B\f\r]+') if len(x) > 0] AS w,
+      NOT regexp_matches({column}, '[a-z]') AS plain FROM {source}))),
+valued AS (
+  SELECT *, MAP {{{values}}}[word] AS v, word IN ({_list(rules.contrast)}) AS contrast,
+    last_value(MAP {{{degrees}}}[word] IGNORE NULLS) {near} AS degree,
+    coalesce(bool_or(word IN ({_list(rules.negations)})) {near}, false) AS negated,
+    NOT plain AND regexp_matches(raw, '^[^a-z]*[A-Z][^a-z]*[A-Z][^a-z]*$') AS loud
+  FROM tokens),
+rated AS (
+  SELECT {key}, i, contrast, (v + CASE WHEN loud THEN sign(v) * {rules.capitals}::DOUBLE ELSE 0 END + coalesce(sign(v) * degree, 0))
+    * CASE WHEN negated THEN {rules.negated}::DOUBLE ELSE 1 END AS r FROM valued),
+weighed AS (
+  SELECT {key}, sum(r * CASE WHEN last IS NULL THEN 1 WHEN i <= last THEN {rules.before}::DOUBLE ELSE {rules.after}::DOUBLE END) AS s
+  FROM (SELECT *, max(CASE WHEN contrast THEN i END) OVER (PARTITION BY {key}) AS last FROM rated) GROUP BY {key}),
+summed AS (
+  SELECT o.{key}, coalesce(s, 0) + sign(coalesce(s, 0)) * least(length({column}) - length(replace({column}, '!', '')), {rules.marks}) * {rules.mark}::DOUBLE AS s
+  FROM {source} o LEFT JOIN weighed ON weighed.{key} = o.{key}),
+ruled AS (SELECT {key}, s / sqrt(s * s + 15.0::DOUBLE) AS rules_score FROM summed)"""
+
+
 def sql_polarity(c: str) -> str:
     return f"CASE WHEN {c} >= 0.05 THEN 'positive' WHEN {c} <= -0.05 THEN 'negative' ELSE 'neutral' END"
 

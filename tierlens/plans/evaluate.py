@@ -168,6 +168,13 @@ def lexicon_table_scores(spark, sf_dir):
     return spans.lexicon_table_scores(b.texts(spark, sf_dir).select("doc_id", "text"), lexicon)
 
 
+@query("WITH " + b.sql_rules("documents", "doc_id", "text") + f"""
+SELECT doc_id, rules_score, {b.sql_polarity('rules_score')} AS pred FROM ruled""")
+def lexicon_rules(spark, sf_dir):
+    docs = b.texts(spark, sf_dir).select("doc_id", "text")
+    return evaluate.rules_baseline(docs, b.VALENCE, b.RULES).select("doc_id", "rules_score", "pred")
+
+
 def _per_system(source: str) -> str:
     return _class_rows(source, "system, subset")
 
@@ -197,6 +204,28 @@ def system_comparison(spark, sf_dir):
     return _rounded(out, "accuracy", "macro_f1", "weighted_f1")
 
 
+_RULED = b.sql_rules("split", "label_id", "text")
+_ABLATED = _COMPARED.replace("  UNION ALL SELECT 'C full'", f"""  UNION ALL SELECT 'B lexicon with rules', held_out, polarity, {b.sql_polarity('rules_score')}
+    FROM split JOIN ruled ON ruled.label_id = split.label_id
+  UNION ALL SELECT 'C full'""")
+
+
+@query(b.ctes(*LABELLED, c.SPLIT, _RULED, _ABLATED) + """
+SELECT s.system, s.subset, count(*) AS n, round(count(*) FILTER (g = p) / count(*), 9) AS accuracy,
+  round(any_value(macro), 9) AS macro_f1, round(any_value(weighted), 9) AS weighted_f1
+FROM sets s JOIN (SELECT system, subset, avg(f1) AS macro, sum(f1 * support) / sum(support) AS weighted
+  FROM per GROUP BY system, subset) q ON s.system = q.system AND s.subset = q.subset
+GROUP BY s.system, s.subset""")
+def system_ablation(spark, sf_dir):
+    """The comparison with a further system: the lexicon with its rules."""
+    rows = curate.with_held_out(b.gold_table(spark, sf_dir), "label_id")
+    rows = evaluate.majority_baseline(rows, "polarity", "naive")
+    rows = evaluate.lexicon_baseline(rows, b.VALENCE, "text", "lexicon")
+    rows = evaluate.rules_baseline(rows, b.VALENCE, b.RULES, "text", "rules")
+    systems = {"A naive": "naive", "B lexicon": "lexicon", "B lexicon with rules": "rules", "C full": "polarity_predicted"}
+    return _rounded(evaluate.system_comparison(rows, "polarity", systems), "accuracy", "macro_f1", "weighted_f1")
+
+
 _COMMON = f"""common AS (
   SELECT *, {_NORM.format('polarity')} AS g, {_NORM.format('polarity_predicted')} AS b, {_NORM.format('polarity_finetuned')} AS f
   FROM gold)"""
