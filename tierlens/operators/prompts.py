@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as k
 from ..functions import display, text
+from ..sources.io import written
+from . import tokens
 from .cube import scope_products, scope_rollup
 from .marts import COUNTS
 from .skew import next_value
@@ -128,21 +130,31 @@ def pack_messages(requests: DataFrame, key: str = "conv_id", size: int = 256) ->
 # Cost
 
 
-def token_count(c) -> Column:
-    """Tokens of a text, taken as one per four characters."""
+def token_estimate(c) -> Column:
+    """Tokens of a text without a vocabulary, taken as one per four characters."""
     return F.ceil(F.length(c) / 4).cast("int")
 
 
-def request_sizes(prompts: DataFrame, query_type: str, kind: str) -> DataFrame:
-    """Size rows of prompts; output sizes come from the request kind."""
+def typed(prompts: DataFrame, query_type: str, kind: str) -> DataFrame:
+    """Prompts with what they are for; output sizes come from the request kind."""
     typical, cap = k.OUT_TOKENS[kind]
     return prompts.select(
-        F.lit(query_type).alias("query_type"), F.lit(kind).alias("kind"),
-        (token_count("system") + token_count("prompt")).alias("in_tok"),
+        F.lit(query_type).alias("query_type"), F.lit(kind).alias("kind"), "system", "prompt",
         F.lit(typical).alias("out_typ"), F.lit(cap).alias("out_cap"),
     )
 
 
+def request_sizes(requests: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
+    """Typed prompts with `in_tok`, their true tokens for a vocabulary of ranks, or an estimate without one."""
+    keep = ["query_type", "kind", "in_tok", "out_typ", "out_cap"]
+    if ranks is None:
+        return requests.withColumn("in_tok", token_estimate("system") + token_estimate("prompt")).select(*keep)
+    rows = written(requests.withColumn("_row", F.monotonically_increasing_id()), "requests")
+    texts = rows.select("_row", F.explode(F.array("system", "prompt")).alias("text"))
+    counts = tokens.count_tokens(texts, "text", ["_row"], ranks, "in_tok")
+    return rows.join(counts.withColumn("in_tok", F.col("in_tok").cast("int")), "_row").select(*keep)
+
+
 def with_cost(
     requests: DataFrame, price_in: float = k.PRICE_IN, price_out: float = k.PRICE_OUT,
     first_token: float = k.FIRST_TOKEN_SECONDS, rate: float = k.TOKENS_PER_SECOND,

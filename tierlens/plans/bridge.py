@@ -36,6 +36,8 @@ VALENCE = {
 }
 #: Rule words that occur in the tables; all amounts are sums of powers of two, so sums are the same in any order.
 RULES = Rules(negations=("of", "que", "die"), degrees=(("the", 0.25), ("la", -0.25), ("und", 0.5), ("le", -0.5)), contrast=("and", "et"))
+#: A public vocabulary of byte pairs.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAINS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 FEWER_MAINS = ("STANDARD", "PROMO", "SMALL", "LARGE")
 ID_STEP, POS_STEP = 1 << 24, 16
@@ -128,9 +130,9 @@ def sql_rules(source: str, key: str, column: str, rules: Rules = RULES) -> str:
     degrees = ", ".join(f"'{w}': {v}::DOUBLE" for w, v in rules.degrees)
     near = f"OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN {rules.reach} PRECEDING AND 1 PRECEDING)"
     return f"""tokens AS (
-  SELECT {key}, i, w[i] AS raw, lower(regexp_replace(w[i], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')) AS word, plain
+  SELECT {key}, i, w[i] AS raw, lower(regexp_replace(w[i], '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS word, plain
   FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (
-    SELECT {key}, [x for x in regexp_split_to_array({column}, '[ \t\n\x0B\f\r]+') if len(x) > 0] AS w,
+    SELECT {key}, [x for x in regexp_split_to_array({column}, '[ \\t\\n\\x0B\\f\\r]+') if len(x) > 0] AS w,
       NOT regexp_matches({column}, '[a-z]') AS plain FROM {source}))),
 valued AS (
   SELECT *, MAP {{{values}}}[word] AS v, word IN ({_list(rules.contrast)}) AS contrast,
@@ -150,6 +152,30 @@ summed AS (
 ruled AS (SELECT {key}, s / sqrt(s * s + 15.0::DOUBLE) AS rules_score FROM summed)"""
 
 
+def sql_tokens(source: str, key: str, column: str) -> str:
+    """CTEs down to `counted` (key, n), for WITH RECURSIVE: pieces by a pattern, merged by rank, bytes in hexadecimal.
+
+    The pattern has no look-ahead here, so the last blank of a run before a word is cut off first.
+    """
+    mark = f"regexp_replace(coalesce({column}, ''), '([{WS}]+)([{WS}][^{WS}])', '\\1' || chr(1) || '\\2', 'g')"
+    pattern = f"''s|''t|''re|''ve|''m|''ll|''d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{WS}\\p{{L}}\\p{{N}}]+|[{WS}]+"
+    return f"""ranks AS (
+  SELECT hex(from_base64(split_part(line, ' ', 1))) AS token, split_part(line, ' ', 2)::INTEGER AS rank
+  FROM read_csv('{VOCABULARY}', columns = {{'line': 'VARCHAR'}}, header = false, delim = chr(9), quote = '', escape = '')),
+piece_rows AS (
+  SELECT {key}, unnest(flatten([regexp_extract_all(x, '{pattern}') for x in string_split({mark}, chr(1))])) AS piece FROM {source}),
+merging AS (
+  SELECT piece, [substr(h, i, 2) for i in range(1, len(h), 2)] AS t FROM (SELECT piece, hex(encode(piece)) AS h FROM (SELECT DISTINCT piece FROM piece_rows))
+  UNION ALL
+  SELECT piece, t[:p - 1] || [t[p] || t[p + 1]] || t[p + 2:] FROM (
+    SELECT piece, t, arg_min(p, (rank, p)) AS p FROM (SELECT piece, t, unnest(range(1, len(t))) AS p FROM merging) JOIN ranks ON token = t[p] || t[p + 1]
+    GROUP BY piece, t)),
+lengths AS (SELECT piece, min(len(t)) AS n FROM merging GROUP BY piece),
+counted AS (
+  SELECT o.{key}, coalesce(sum(lengths.n), 0)::BIGINT AS n
+  FROM (SELECT DISTINCT {key} FROM {source}) o LEFT JOIN piece_rows ON piece_rows.{key} = o.{key} LEFT JOIN lengths ON lengths.piece = piece_rows.piece GROUP BY o.{key})"""
+
+
 def sql_polarity(c: str) -> str:
     return f"CASE WHEN {c} >= 0.05 THEN 'positive' WHEN {c} <= -0.05 THEN 'negative' ELSE 'neutral' END"
 

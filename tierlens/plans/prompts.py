@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as k
 from ..functions import text
-from ..operators import marts, profile, prompts
+from ..operators import marts, profile, prompts, tokens
 from ..sources.io import written
 from . import bridge as b
 from .registry import query
@@ -138,15 +138,12 @@ def _sizes(spark, sf_dir):
     picked = products.join(picks.drop("length"), "product_id")
     question = F.lit("Which aspect has the most complaints, and does it get worse at higher discounts?")
     chat = scope.select(prompts.chat_system(F.col("context")).alias("system"), question.alias("prompt"))
-    sizes = prompts.request_sizes(prompts.summary_prompts(scope), "summary", "summary")
+    requests = prompts.typed(prompts.summary_prompts(scope), "summary", "summary")
     for pick in ("median", "longest"):
         one = prompts.review_prompts(picked.where(F.col("pick") == pick))
-        sizes = sizes.unionByName(prompts.request_sizes(one, f"product ({pick} review)", "product"))
-    return sizes.unionByName(prompts.request_sizes(chat, "chat (1 turn)", "chat"))
-
-
-def _tokens(system: str, prompt: str) -> str:
-    return f"(ceil(length({system}) / 4) + ceil(length({prompt}) / 4))::INTEGER"
+        requests = requests.unionByName(prompts.typed(one, f"product ({pick} review)", "product"))
+    requests = requests.unionByName(prompts.typed(chat, "chat (1 turn)", "chat"))
+    return prompts.request_sizes(requests, tokens.read_ranks(b.VOCABULARY))
 
 
 _QUESTION = "'Which aspect has the most complaints, and does it get worse at higher discounts?'"
@@ -158,18 +155,28 @@ middle AS (SELECT * FROM review_prompts WHERE product_id = (
   SELECT product_id FROM pieces ORDER BY abs(size - (SELECT median(size) FROM pieces)), product_id LIMIT 1)),
 timed AS (SELECT kind, avg(value) AS prep_mean, max(value) AS prep_max
   FROM (SELECT value, CASE event_type WHEN 'click' THEN 'summary' WHEN 'view' THEN 'product' ELSE 'chat' END AS kind FROM events) GROUP BY kind),
-sizes AS (
-  SELECT 'summary' AS query_type, 'summary' AS kind, {_tokens(_text(k.ANALYST_ROLE), "(context || chr(10) || chr(10) || " + _text(k.SUMMARY_TASK) + ")")} AS in_tok, 220 AS out_typ, 350 AS out_cap FROM scope
-  UNION ALL SELECT 'product (median review)', 'product', {_tokens('system', 'prompt')}, 260, 400 FROM middle
-  UNION ALL SELECT 'product (longest review)', 'product', {_tokens('system', 'prompt')}, 260, 400 FROM longest
-  UNION ALL SELECT 'chat (1 turn)', 'chat', {_tokens('(' + _SYSTEM + ')', _QUESTION)}, 200, 500 FROM scope),
+requests AS (
+  SELECT row_number() OVER () AS request, * FROM (
+  SELECT 'summary' AS query_type, 'summary' AS kind, {_text(k.ANALYST_ROLE)} AS system, context || chr(10) || chr(10) || {_text(k.SUMMARY_TASK)} AS prompt, 220 AS out_typ, 350 AS out_cap FROM scope
+  UNION ALL SELECT 'product (median review)', 'product', system, prompt, 260, 400 FROM middle
+  UNION ALL SELECT 'product (longest review)', 'product', system, prompt, 260, 400 FROM longest
+  UNION ALL SELECT 'chat (1 turn)', 'chat', {_SYSTEM}, {_QUESTION}, 200, 500 FROM scope)),
+said AS (SELECT request, unnest([system, prompt]) AS text FROM requests),
+{b.sql_tokens('said', 'request', 'text')},
+sizes AS (SELECT query_type, kind, n::INTEGER AS in_tok, out_typ, out_cap FROM requests JOIN counted USING (request)),
 costs AS (
   SELECT *, in_tok::DOUBLE / 1e6::DOUBLE * 0.15::DOUBLE + out_typ::DOUBLE / 1e6::DOUBLE * 0.6::DOUBLE AS cost,
     in_tok::DOUBLE / 1e6::DOUBLE * 0.15::DOUBLE + out_cap::DOUBLE / 1e6::DOUBLE * 0.6::DOUBLE AS cost_capped,
     prep_mean / 1000 + 0.5::DOUBLE + out_typ / 80.0::DOUBLE AS seconds,
     prep_max / 1000 + 0.5::DOUBLE + out_cap / 80.0::DOUBLE AS seconds_worst
   FROM sizes JOIN timed USING (kind))"""
-COSTS = b.ctes(b.SPANS, b.CUBE, SCOPED, _contexts("scoped"), b.RAW, b.PARSED, b.CLEAN, REVIEWS, SIZES)
+COSTS = b.ctes(b.SPANS, b.CUBE, SCOPED, _contexts("scoped"), b.RAW, b.PARSED, b.CLEAN, REVIEWS, SIZES).replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("WITH RECURSIVE " + b.sql_tokens("documents", "doc_id", "text") + " SELECT doc_id, n AS tokens FROM counted")
+def document_tokens(spark, sf_dir):
+    """True tokens of every document."""
+    return tokens.count_tokens(b.texts(spark, sf_dir), "text", ["doc_id"], tokens.read_ranks(b.VOCABULARY))
 
 
 @query(COSTS + """
