@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..constants import ASPECT_KEYWORDS, CUBE_KEYS
+from ..constants import ASPECT_KEYWORDS, CARRY_COLS, CUBE_KEYS
 from ..functions import matching
 from ..operators import cube, reviews, spans
+from ..sources import io
+from ..streaming import maintained
 from . import bridge as b
 from .registry import query
 
@@ -150,3 +152,28 @@ _NOT_NULL = " AND ".join(f"{k} IS NOT NULL" for k in CUBE_KEYS)
 def review_cube(spark, sf_dir):
     """Raw review strings to the cube, end to end."""
     return cube.results_cube(review_spans(spark, sf_dir))
+
+
+def _counted_reviews(rows):
+    """Reviews to spans that keep the review's number."""
+    cleaned = reviews.pick(reviews.clean_reviews(rows, b.MAINS), (*CARRY_COLS, "row_ord", "review_sentences"))
+    sentences = cleaned.select("*", F.explode_outer("review_sentences").alias("sentence")).where("sentence is not null")
+    return spans.attach_predictions(spans.keyword_predictions(sentences, b.VALENCE, b.WORDS), taxonomy=b.WORDS)
+
+
+@query(b.ctes(b.RAW, b.PARSED, b.CLEAN, _REVIEW_SENTENCES, b.WORD_SPANS, _REVIEW_SPANS)
+       + b.sql_counts(f"review_spans WHERE {_NOT_NULL}", b.KEYS))
+def maintained_cube(spark, sf_dir):
+    """The cube after four batches of a stream: a third of the reviews with the wrong text or none, all others, the
+    first third as it should be, and the second batch once more. It equals the cube of all reviews built at once."""
+    source, folder = io.work_folder(spark, "incoming"), io.work_folder(spark, "maintained")
+    raw = io.written(b.raw_reviews(spark, sf_dir), "raw")
+    early = F.col("row_ord") % 3 == 0
+    even = F.col("row_ord") % 2 == 0
+    wrong = F.when(even, F.concat("review_content", F.lit(" This rod is not from the ring.")))
+    later, out = raw.where(~early), None
+    for i, batch in enumerate([raw.where(early).withColumn("review_content", wrong), later, raw.where(early), later]):
+        sent = batch.withColumn("sent", F.lit(i))
+        sent.write.mode("append").parquet(source)
+        out = maintained.maintain(spark, source, sent.schema, _counted_reviews, folder, "row_ord", "sent", files_per_batch=1 << 20)
+    return out
