@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ..constants import BANDS, CATEGORY_LEVELS, TIER_LABELS, TITLE_LIMIT
 from ..functions import display, parsing, text
+from ..sources.io import written
+from .skew import lookup
 
 COUNTS = ("positive", "negative", "neutral", "total")
 
@@ -144,7 +146,8 @@ def top_aspects(df: DataFrame, by=()) -> DataFrame:
 # Low against high discount
 
 
-def _band(bands) -> Column:
+def band(bands) -> Column:
+    """The discount band of a tier, null outside all."""
     out = None
     for name, tiers in bands.items():
         hit = F.col("discount_group").isin(*tiers)
@@ -152,20 +155,21 @@ def _band(bands) -> Column:
     return out
 
 
-def band_summary(df: DataFrame, bands=BANDS, by=()) -> DataFrame:
+def band_summary(df: DataFrame, bands=BANDS, by=(), products: DataFrame | None = None) -> DataFrame:
     """One row per discount band with mentions: totals, shares, products, worst aspect.
 
     One pass over the cube counts per band and per band and aspect, and products once per task
     before they meet, so no band is gathered in one task. A band without mentions has no row.
+    With `products` (by, band, products) these are taken from there, and `df` needs no products.
     """
     by = list(by)
-    rows = df.withColumn("band", _band(bands)).where("band is not null")
+    rows = df.withColumn("band", band(bands)).where("band is not null")
     columns = [*by, "band", "aspect"]
     sets = [[F.col(c) for c in columns], [F.col(c) for c in columns[:-1]]]
     counts = rows.groupingSets(sets, *columns).agg(
         F.grouping("aspect").alias("_whole"),
         *[F.sum(c).cast("bigint").alias(c) for c in COUNTS],
-        F.count_distinct("product_id").alias("products"),
+        (F.count_distinct("product_id") if products is None else F.lit(0)).alias("products"),
     )
     whole = F.col("_whole") == 1
     worst = F.min(F.when(~whole, F.struct((-_share("negative")).alias("share"), "aspect")))
@@ -174,8 +178,10 @@ def band_summary(df: DataFrame, bands=BANDS, by=()) -> DataFrame:
     ).where("total > 0").withColumns(
         {"top_neg_aspect": F.col("_worst.aspect"), "top_neg_aspect_share": -F.col("_worst.share")}
     )
+    if products is not None:
+        out = lookup(out.drop("products"), written(products, "products"), [*by, "band"])
     return out.select(
-        *by, "band", "total", "products",
+        *by, "band", "total", F.coalesce("products", F.lit(0)).alias("products"),
         F.col("positive").alias("pos"), F.col("neutral").alias("neu"), F.col("negative").alias("neg"),
         (F.col("positive") / F.col("total")).alias("pos_share"),
         (F.col("neutral") / F.col("total")).alias("neu_share"),

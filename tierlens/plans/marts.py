@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..constants import BANDS
 from ..functions import text
-from ..operators import marts
+from ..operators import bitmaps, marts
+from ..sources.io import written
 from . import bridge as b
 from .registry import query
 
@@ -117,6 +118,27 @@ def band_summary_by_category(spark, sf_dir):
     return marts.band_summary(b.span_cube(spark, sf_dir), by=("main_category",))
 
 
+def _stored_marts(spark, sf_dir) -> bitmaps.Marts:
+    """Counts and bitmaps written beside the cube, as a dashboard would read them."""
+    cube = written(b.span_cube(spark, sf_dir), "cube")
+    made = bitmaps.build(cube, bitmaps.product_numbers(cube))
+    return bitmaps.Marts(written(made.counts, "counts"), written(made.products, "products"))
+
+
+@query(b.ctes(b.SPANS, b.CUBE, _BANDED, _summary("main_category, ")) + "SELECT * FROM summary")
+def band_summary_bitmaps(spark, sf_dir):
+    return bitmaps.band_summary(_stored_marts(spark, sf_dir), by=("main_category",))
+
+
+@query(b.ctes(b.SPANS, b.CUBE) + """
+SELECT main_category, sub_category_1, sub_category_2,
+  (3 - bit_count(GROUPING(main_category, sub_category_1, sub_category_2)::INTEGER))::INTEGER AS scope_level,
+  count(DISTINCT product_id) AS products, sum(total)::BIGINT AS mentions
+FROM cube GROUP BY ROLLUP (main_category, sub_category_1, sub_category_2)""")
+def scope_products_bitmaps(spark, sf_dir):
+    return bitmaps.scope_products(_stored_marts(spark, sf_dir))
+
+
 def _gap(by: str) -> str:
     on = " AND l.main_category = h.main_category" if by else ""
     return f"""
