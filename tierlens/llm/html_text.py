@@ -8,7 +8,7 @@ a short paragraph among long ones stays and a long menu entry among menus goes.
 Tags and hidden elements (by `hidden`, `aria-hidden=true` or an inline style) are a verdict for all they hold.
 So are names, unless they tell of something else: "no-sidebar" or "comment-open" is a hint about the element's
 own text alone, as is any name of `main` or of what it is in. A name of an article, or of what an article is
-in, is a verdict as long as the page has main text beside it.
+in, counts in proportion to the main text beside it.
 
 Defined results: a null or empty page, and one without content blocks, has an empty text. Broken markup
 (unclosed tags, unknown references, an unfinished tag at the end) is read as far as it goes; only a script,
@@ -40,7 +40,7 @@ CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg object annotation annotation-xml".split())
 #: Of these, those that only their end tag ends; the others are ordinary markup when it is missing.
 UNENDED = frozenset("script style title textarea".split())
 RAW_TAG = re.compile(
@@ -50,7 +50,8 @@ RAW_TAG = re.compile(
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr img br".split()
+    "strong sub sup time tt u var wbr img br math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded "
+    "mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -67,18 +68,21 @@ ASIDE_NAMES = frozenset(
 )
 #: The same as beginnings of longer names.
 ASIDE_STEMS = ("advert", "adsby", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor", "subscri")
+#: Of these, what an article may be about or have a part called; inside one they are a hint.
+TOPICS = frozenset("copyright disclaimer discussion feedback legal recommended related".split())
 #: Names that are boilerplate of the page, but part of an article when inside one.
 HEADS = frozenset("head header masthead".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article content entry main post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-#: The classifier: log odds that a block is content.
-BASE, PARAGRAPH, TITLE, HEADING, QUOTE, ITEM = -0.6, 0.8, 0.9, 0.4, 0.4, -0.2
+#: The classifier: log odds that a block is content. A page without a main element is all that its reader gets.
+BASE, PARAGRAPH, TITLE, HEADING, QUOTE, ITEM, NO_MAIN = -0.6, 0.8, 0.9, 0.4, 0.4, -0.2, 1.0
 PER_WORD, MOST_WORDS = 0.025, 60
-IN_MAIN, OUTSIDE_MAIN, IN_ASIDE, HINT, LINKS, RIGHTS = 1.2, -2.5, -6.0, -0.5, -3.0, -2.0
-#: Words of main text that make a page do without articles that are named as boilerplate.
-ENOUGH = 25
+IN_MAIN, OUTSIDE_MAIN, IN_ASIDE, HINT, LINKS, LINKS_IN_MAIN, RIGHTS = 1.2, -2.5, -6.0, -0.5, -3.0, -0.3, -2.0
+#: Words of main text beside an article that is named as boilerplate at which the name counts in full; with fewer
+#: it counts in proportion.
+BESIDE = 40
 #: Smoothness: between neighbours, more with a common parent, and to the next block of the same parent.
 NEXT, SIBLINGS, PARENT = 0.3, 0.5, 0.4
 
@@ -140,10 +144,11 @@ class Blocks:
         # Open elements: name, number, inside main.
         self.open: list[tuple[str, int, bool]] = []
         # By number, 0 for the page: the element around, boilerplate by tag or hidden, by name, hints, and
-        # whether it is or holds an article (1) or the main element (2).
-        self.around, self.bad, self.named, self.hints, self.holds = [0], [False], [False], [False], [0]
-        # By block: element, in a main element, a heading, number of words.
-        self.blocks: list[tuple[int, bool, bool, int]] = []
+        # whether it is or holds an article (1) or the main element (2), and whether it
+        # is or lies in a part of the article named after a topic of its own.
+        self.around, self.bad, self.named, self.hints, self.holds, self.topics = [0], [False], [False], [False], [0], [False]
+        # By block: element, in a main element, a heading, number of words and of linked ones.
+        self.blocks: list[tuple[int, bool, bool, int, int]] = []
         self.ends: dict[int, int] | None = None
         self.text: list[str] = []
         self.linked = 0
@@ -177,24 +182,23 @@ class Blocks:
 
     def _settle(self) -> None:
         """What names mean is known at the end of the page."""
-        for least in (2, 1):
-            aside = list(self.bad)
-            for i in range(1, len(aside)):
-                aside[i] = aside[i] or aside[self.around[i]] or (self.named[i] and self.holds[i] < least)
-            self.in_main = [main and not aside[e] for e, main, _, _ in self.blocks]
-            words = sum(n for (_, _, heading, n), i in zip(self.blocks, self.in_main) if i and not heading)
-            if words >= ENOUGH or not any(n and h == 1 for n, h in zip(self.named, self.holds)):
-                break
-        outside = OUTSIDE_MAIN if any(self.in_main) else 0.0
-        for k, (e, main, _, _) in enumerate(self.blocks):
-            if main:
-                self.odds[k] += IN_MAIN
-            if aside[e]:
-                self.odds[k] += IN_ASIDE
-            elif self.named[e] or self.hints[e]:
-                self.odds[k] += HINT
-            if not self.in_main[k]:
-                self.odds[k] += outside
+        n = len(self.bad)
+        aside, doubtful = list(self.bad), [False] * n  # doubtful: named, and is or holds an article
+        for i in range(1, n):
+            aside[i] = aside[i] or aside[self.around[i]] or (self.named[i] and not self.holds[i])
+            doubtful[i] = doubtful[self.around[i]] or (self.named[i] and self.holds[i] == 1)
+        main = [in_main and not aside[e] for e, in_main, _, _, _ in self.blocks]
+        beside = sum(words for (e, _, heading, words, _), i in zip(self.blocks, main) if i and not heading and not doubtful[e])
+        doubt = min(1.0, beside / BESIDE)
+        any_main = any(main)
+        for k, (e, in_main, _, words, linked) in enumerate(self.blocks):
+            of_main = main[k] * (1.0 - doubt * doubtful[e])
+            hint = not aside[e] and (self.named[e] or self.hints[e] or self.topics[e])
+            odds = IN_MAIN * in_main + IN_ASIDE * max(float(aside[e]), doubt * doubtful[e]) + HINT * hint
+            odds += (1.0 - of_main) * OUTSIDE_MAIN if any_main else NO_MAIN
+            links = LINKS if hint else LINKS + of_main * (LINKS_IN_MAIN - LINKS)
+            self.odds[k] += odds + links * min(1.0, linked / words)
+        self.in_main = main
 
     def _skip(self, html: str, name: str, lt: int, at: int, attrs: str) -> int:
         """Where to read on: after the end of the element, or inside it if it has none."""
@@ -242,13 +246,15 @@ class Blocks:
         page = name in ("html", "body")
         bad = name in ASIDE_TAGS or (name == "header" and not main) or (not page and hidden(given))
         heads = not main and not (own | hints) & MAIN_NAMES
-        named = not page and aside_names(own, heads)
+        topics = own & TOPICS if main else set()
+        named = not page and aside_names(own - topics, heads)
         good = name in MAIN_TAGS or (not bad and not named and not page and bool((own | hints) & MAIN_NAMES))
         number = len(self.around)
         self.around.append(above)
         self.bad.append(bad)
         self.named.append(named)
-        self.hints.append(not page and aside_names(hints, heads))
+        self.hints.append(not page and (aside_names(hints, heads) or bool(topics)))
+        self.topics.append(bool(topics) or self.topics[above])
         self.holds.append(0)
         self.open.append((name, number, main or good))
         if name == "main" or given.get("role", "").strip().lower() == "main":
@@ -298,17 +304,16 @@ class Blocks:
             odds += PARAGRAPH
         elif name in HEADINGS:
             odds += TITLE if name == "h1" else HEADING
-        elif name in ("blockquote", "pre"):
+        elif name in ("blockquote", "pre", "xmp"):
             odds += QUOTE
         elif name in ("li", "td", "th", "dt", "dd"):
             odds += ITEM
-        odds += LINKS * min(1.0, self.linked / len(words))
         if words[0][0] == "©":
             odds += RIGHTS
         self.texts.append(" ".join(words))
         self.odds.append(odds)
         self.parents.append(self.open[-2][1] if len(self.open) > 1 else 0)
-        self.blocks.append((number, main, name in HEADINGS, len(words)))
+        self.blocks.append((number, main, name in HEADINGS, len(words), self.linked))
 
 
 def edges(parents: list[int]) -> list[tuple[int, int, float]]:
@@ -357,35 +362,61 @@ def min_cut(odds: list[float], ties: list[tuple[int, int, float]]) -> list[bool]
 
 
 def _source_side(nodes: list[int], odds: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Nodes that the source still reaches after a maximum flow of shortest augmenting paths."""
-    supply = {i: odds[i] for i in nodes if odds[i] > 0}
-    drain = {i: -odds[i] for i in nodes if odds[i] < 0}
-    room = {i: dict(near[i]) for i in nodes}
+    """Nodes that the source still reaches after a maximum flow.
+
+    Flow goes along all shortest paths at once: each phase numbers the nodes by their distance from the sources
+    and fills the paths to the nearest drains, so the phases are no more than the lengths of paths.
+    """
     tiny = 1e-9
+    supply = {i: odds[i] for i in nodes if odds[i] > tiny}
+    drain = {i: -odds[i] for i in nodes if odds[i] < -tiny}
+    room = {i: dict(near[i]) for i in nodes}
     while True:
-        came: dict[int, int | None] = {i: None for i, s in supply.items() if s > tiny}
-        queue, end = deque(came), None
-        while queue:
-            i = queue.popleft()
-            if drain.get(i, 0) > tiny:
-                end = i
+        level = {i: 0 for i, s in supply.items() if s > tiny}
+        ring, depth, found = list(level), 0, False
+        while ring and not found:
+            found = any(drain.get(i, 0.0) > tiny for i in ring)
+            if found:
                 break
-            for j, w in room[i].items():
-                if w > tiny and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end is None:
-            return set(came)
-        path = [end]
-        while came[path[-1]] is not None:
-            path.append(came[path[-1]])
-        root = path[-1]
-        flow = min(supply[root], drain[end], *(room[a][b] for b, a in zip(path, path[1:])))
-        supply[root] -= flow
-        drain[end] -= flow
-        for b, a in zip(path, path[1:]):
-            room[a][b] -= flow
-            room[b][a] = room[b].get(a, 0.0) + flow
+            depth += 1
+            after = []
+            for i in ring:
+                for j, w in room[i].items():
+                    if w > tiny and j not in level:
+                        level[j] = depth
+                        after.append(j)
+            ring = after
+        if not found:
+            return set(level)
+        left = {}  # per node, the neighbours not tried yet in this phase
+        for root in [i for i, s in supply.items() if s > tiny]:
+            path = [root]
+            while path and supply[root] > tiny:
+                i = path[-1]
+                if level[i] == depth and drain.get(i, 0.0) > tiny:
+                    flow = min(supply[root], drain[i], *(room[a][b] for a, b in zip(path, path[1:])))
+                    supply[root] -= flow
+                    drain[i] -= flow
+                    cut = len(path)
+                    for k in range(len(path) - 1, 0, -1):
+                        a, b = path[k - 1], path[k]
+                        room[a][b] -= flow
+                        room[b][a] = room[b].get(a, 0.0) + flow
+                        if room[a][b] <= tiny:
+                            cut = k
+                    del path[cut:]
+                    continue
+                on = left.get(i)
+                if on is None:
+                    on = left[i] = [j for j in room[i] if level.get(j) == level[i] + 1] if level[i] < depth else []
+                while on and room[i][on[-1]] <= tiny:
+                    on.pop()
+                if on:
+                    path.append(on[-1])
+                else:
+                    path.pop()
+                    if path:
+                        left[path[-1]].pop()
 
 
 def main_text(html: str | None) -> str:
