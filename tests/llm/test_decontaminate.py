@@ -85,9 +85,9 @@ def test_spans_and_removal(spark, phrases):
     docs = spark.createDataFrame([(*r, i) for i, r in enumerate(DOCS)], "doc_id bigint, text string, items string, place int")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     got = d.find_leaks(docs, items, phrases=phrases, remove=True).orderBy("place").collect()
-    assert [r["text"] for r in got] == ["eleven", "Start. end", "here", None, "", "nothing at all"]
+    assert [r["text"] for r in got] == ["eleven", "Start. end", "here", None, "", ""]
     assert [r["items"] for r in got] == [["7"], ["7"], ["8"], [], [], []]
-    assert [r["n_hit"] for r in got] == [10, 10, 2, 0, 0, 0]
+    assert [r["n_hit"] for r in got] == [10, 10, 2, 0, 0, 3]  # the last by an item without an id
     assert [tuple(s) for s in got[1]["spans"]] == [(7, 56)]
 
 
@@ -107,3 +107,45 @@ def test_query(spark):
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in QUERIES["op10_decontamination"](spark, sf).collect()}
     assert got == brute(docs, items)
     assert any(n for _, n, _, _ in got.values())
+
+
+@pytest.mark.parametrize("size", [1, 40, 300, 10_000])
+def test_a_long_text_in_pieces(size):
+    rng = random.Random(size)
+    vocab = ["a", "B", "c1", "é", "x" * 70]
+    text = lambda n: "".join(rng.choice(vocab) + rng.choice([" ", ", ", "\n"]) for _ in range(n))
+    items = [(str(i), text(rng.choice([1, 3, 9, 10, 14]))) for i in range(5)]
+    part = d.Phrases(d.phrases_of(items))
+    for n in (0, 1, 8, 9, 10, 40, 400):
+        t = text(n) + items[2][1] + text(n)
+        block = tokens.Block([t.encode()], tokens.ALNUM)
+        hit, seen = d.hits(block, part)
+        want = (block.count, int(hit.sum()), seen[0], d.spans(block, hit, 0))
+        assert d.long_text(t.encode(), part, size=size) == want
+        half = [{"start": s, "end": e} for s, e in want[3][:1]]
+        assert d.long_text(t.encode(), d.Phrases([]), half, size)[3] == want[3][:1]
+
+
+def test_texts_longer_than_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(d, "SHARD_BYTES", 100)
+    rng = random.Random(2)
+    words_ = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(words_) for _ in range(n))
+    items = [(i, text(12)) for i in range(6)] + [(None, text(11))]
+    docs = [(i, text(rng.randrange(0, 90)) + " " + items[i % 7][1] + " " + text(20)) for i in range(20)]
+    search = d._search(["doc_id", "text"], d.Phrases(d.phrases_of([(None if i is None else str(i), t) for i, t in items])), False, False)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "text"])
+    want = brute(docs, [(i if i is not None else "none", t) for i, t in items])
+    for r in next(search(iter([batch]))).to_pylist():
+        assert (r["n_words"], r["n_hit"]) == want[r["doc_id"]][:2]
+        assert (r["items"] == [] or r["doc_id"] % 7 < 6) and (str(r["doc_id"] % 7) in r["items"]) == (r["doc_id"] % 7 < 6)
+
+
+def test_windows_are_made_in_tasks_and_in_shares(spark):
+    items = spark.createDataFrame([(1, "a b c d"), (2, "b c d"), (3, "B, c d!"), (None, "z"), (4, None), (5, "")], "item_id bigint, text string")
+    got = sorted((r["phrase"], r["item"] or "") for r in d.windows(items, 3).collect())
+    assert got == [("a b c", "1"), ("b c d", "1"), ("b c d", "2"), ("b c d", "3"), ("z", "")]
+    parts = list(d._slices(items, 3, 1))
+    assert sum(len(p.lengths) for p in parts) == 3 and len(parts) == 3

@@ -10,10 +10,12 @@ of an item, or all its words if fewer.
 
 Defined results: null and empty texts have no words, hits or items, and a null text stays null. Items
 without words never occur. Items with equal ids are one item. Repeated documents are each judged alike.
-Null item ids are left out. Columns of documents that bear a result's name are replaced.
+The windows of an item without an id count as hits, but there is no id to list. A text longer than a shard is read in
+pieces that overlap by all but one word of a window. Columns of documents that bear a result's name are replaced.
 """
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,10 @@ from .store import kept
 WIDTH = 10
 SHARD_BYTES = 3 << 20
 SAMPLE = 8
-#: Distinct windows searched in one pass; a larger benchmark takes several passes.
+#: Distinct windows searched in one pass, about; a larger benchmark takes several passes.
 PHRASES = 200_000
+#: Where a long text may be cut: at bytes of no word.
+GAP = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -140,26 +144,24 @@ class FMIndex:
         return out
 
 
-def phrases_of(items: list[tuple[str, str]], width: int = WIDTH) -> list[tuple[tuple[bytes, ...], str]]:
+def phrases_of(items: list[tuple[str | None, str]], width: int = WIDTH) -> Iterator[tuple[tuple[bytes, ...], str | None]]:
     """(window, item) for every window of every item."""
-    out = []
-    block = tokens.Block([(t or "").encode() for _, t in items], tokens.ALNUM) if items else None
-    if block is None:
-        return out
-    words = block.words(np.arange(block.count))
-    for (item, _), a, b in zip(items, block.first.tolist(), block.last.tolist()):
-        if a < b:
-            out += [(tuple(words[i : min(i + width, b)]), item) for i in range(a, max(a, b - width) + 1)]
-    return out
+    for item, text in items:
+        block = tokens.Block([(text or "").encode()], tokens.ALNUM)
+        words, n = block.words(np.arange(block.count)), block.count
+        for i in range(max(0, n - width) + 1 if n else 0):
+            yield tuple(words[i : i + width]), item
 
 
 class Phrases:
     """Windows of a slice of the benchmark as numbers, and the items of each."""
 
-    def __init__(self, pairs: list[tuple[tuple[bytes, ...], str]], width: int = WIDTH):
+    def __init__(self, pairs, width: int = WIDTH):
         held: dict[tuple[bytes, ...], set[str]] = {}
         for window, item in pairs:
-            held.setdefault(window, set()).add(item)
+            of = held.setdefault(window, set())
+            if item is not None:
+                of.add(item)
         words = sorted({w for window in held for w in window})
         number = {w: i + 1 for i, w in enumerate(words)}
         hashes = tokens.word_hash([w.decode() for w in words])
@@ -217,16 +219,36 @@ def spans(block: tokens.Block, hit: np.ndarray, text: int) -> list[tuple[int, in
     return [(int(block.start[a + s] - base), int(block.end[a + e - 1] - base)) for s, e in zip(edge[0::2], edge[1::2])]
 
 
+def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """`phrase` (its words, joined by spaces) and `item` of every window of every item; made in tasks."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[bytes, str | None]] = []
+            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for window, item in phrases_of([pair], width):
+                    held.append((b" ".join(window), item))
+                    if len(held) >= 10_000:
+                        yield _windows(held)
+                        held = []
+            yield _windows(held)
+
+    rows = benchmark.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL")
+    return rows.mapInArrow(make, "phrase string, item string").distinct()
+
+
+def _windows(held) -> pa.RecordBatch:
+    phrase = pa.array([w for w, _ in held], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([phrase, pa.array([i for _, i in held], pa.string())], names=["phrase", "item"])
+
+
 def _slices(benchmark: DataFrame, width: int, phrases: int) -> Iterator[Phrases]:
-    """Windows of the benchmark, at most about `phrases` at a time, as they come from its rows."""
-    held: list = []
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("i IS NOT NULL AND text IS NOT NULL")
-    for row in rows.toLocalIterator():
-        held += phrases_of([(row["i"], row["text"])], width)
-        while len(held) > phrases:
-            yield Phrases(held[:phrases], width)
-            held = held[phrases:]
-    yield Phrases(held, width)
+    """Windows of the benchmark in shares by hash of about `phrases` distinct ones; one share at a time comes here."""
+    found = kept(windows(benchmark, width), "windows")
+    shares = max(1, -(-found.select("phrase").distinct().count() // phrases))
+    for i in range(shares):
+        share = found.where(F.pmod(F.xxhash64("phrase"), F.lit(shares)) == i)
+        yield Phrases(((tuple(r["phrase"].encode().split(b" ")), r["item"]) for r in share.toLocalIterator()), width)
 
 
 RESULT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: int, end: int>>"
@@ -260,7 +282,7 @@ def _search(names: list[str], phrases: Phrases, again: bool, remove: bool):
             earlier = batch["spans"].to_pylist() if again else None
             older = batch["items"].to_pylist() if again else None
             n_words, n_hit, found, cut = [], [], [], []
-            for at, block in tokens.blocks(parts, tokens.ALNUM, SHARD_BYTES):
+            for at, block in tokens.blocks([p if len(p) <= SHARD_BYTES else b"" for p in parts], tokens.ALNUM, SHARD_BYTES):
                 hit, items = hits(block, phrases)
                 if again:
                     _mark(block, hit, earlier[at : at + block.texts])
@@ -270,6 +292,9 @@ def _search(names: list[str], phrases: Phrases, again: bool, remove: bool):
                 n_hit += (got := total[block.last] - total[block.first]).tolist()
                 found += [sorted(x) for x in items]
                 cut += [spans(block, hit, t) if got[t] else [] for t in range(block.texts)]
+            for i in (i for i, p in enumerate(parts) if len(p) > SHARD_BYTES):
+                n_words[i], n_hit[i], items, cut[i] = long_text(parts[i], phrases, earlier[i] if again else ())
+                found[i] = sorted(items | set(older[i] if again else ()))
             columns = {c: batch[c] for c in names}
             if remove:
                 columns["text"] = _without(batch["text"], parts, cut)
@@ -284,6 +309,37 @@ def _search(names: list[str], phrases: Phrases, again: bool, remove: bool):
     return run
 
 
+def long_text(text: bytes, phrases: Phrases, earlier=(), size: int | None = None) -> tuple[int, int, set[str], list[tuple[int, int]]]:
+    """Words, hit words, items and spans of one text, read in pieces of about `size` bytes.
+
+    A piece begins with the last words of the one before, one fewer than a window has, so no window is cut.
+    """
+    size = size or SHARD_BYTES
+    overlap = phrases.table.shape[1] - 1
+    found, items, at, more = [], set(), 0, size
+    while True:
+        gap = GAP.search(text, at + more) if at + more < len(text) else None
+        block = tokens.Block([text[at : gap.start() if gap else len(text)]], tokens.ALNUM)
+        hit, seen = hits(block, phrases)
+        found.append((block.start + at, block.end + at, hit))
+        items |= seen[0]
+        if gap is None:
+            break
+        on = at + int(block.start[-overlap]) if block.count >= overlap > 0 else at
+        if block.count and not overlap:
+            on = gap.start()
+        at, more = (on, size) if on > at else (at, 2 * more)  # too few words: the same again with more of the text
+    start, end, hit = (np.concatenate(x) for x in zip(*found))
+    place, first = np.unique(start, return_index=True)
+    both = np.zeros(len(place), bool)
+    both[np.searchsorted(place, start[hit])] = True
+    for s in earlier:
+        both[np.searchsorted(place, s["start"]) : np.searchsorted(place, s["end"])] = True
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], both, [False])).view(np.int8)))
+    cut = [(int(place[a]), int(end[first[b - 1]])) for a, b in zip(edge[0::2], edge[1::2])]
+    return len(place), int(both.sum()), items, cut
+
+
 def _mark(block: tokens.Block, hit: np.ndarray, earlier: list[list[dict]]) -> None:
     for t, old in enumerate(earlier):
         for s in old:
