@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import kept
@@ -40,22 +40,29 @@ def _hash(key: bytes) -> bytes:
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """`key`, `doc_id` of every long line, each once per document and batch."""
+    """`key`, `doc_id`, `of` of every long line, each once per document and batch.
+
+    `of` tells rows without an id apart by their text, so that what is gathered for one is bounded by its lines.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[tuple[bytes, int], None] = {}
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary").to_pylist()):
+            out: dict[tuple[bytes, int, str], None] = {}
+            for i, t, of in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary").to_pylist(), batch.column(2).to_pylist()):
                 for line in (t or b"").split(b"\n"):
                     if _long(key := line_key(line), min_chars):
-                        out[_hash(key), i] = None
+                        out[_hash(key), i, of] = None
                 if len(out) > 200_000:
                     yield _pairs(out)
                     out = {}
             yield _pairs(out)
 
     ids = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
-    return docs.select(ids, "text").mapInArrow(keys, "key binary, doc_id bigint")
+    return docs.select(ids, "text", _of().alias("of")).mapInArrow(keys, "key binary, doc_id bigint, of string")
+
+
+def _of() -> Column:
+    return F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")))).otherwise(F.lit(""))
 
 
 def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -63,14 +70,14 @@ def repeated_lines(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     if min_docs == 2:  # two different documents show in the extremes: a row per key and task is shuffled
         found = keys.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_top"))
         return found.where("_top > keeper").drop("_top")
-    found = keys.distinct().groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("_n"))
+    found = keys.select("key", "doc_id").distinct().groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("_n"))
     return found.where(F.col("_n") >= min_docs).drop("_n")
 
 
 def _pairs(out) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([k for k, _ in out], pa.binary()), pa.array([i for _, i in out], pa.int64())],
-        names=["key", "doc_id"],
+        [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())],
+        names=["key", "doc_id", "of"],
     )
 
 
@@ -87,9 +94,10 @@ def dedup_lines(
     repeated = kept(repeated_lines(keys, min_docs), "lines")
     # A document needs only the hashes that it loses: one short row per document goes back to its text.
     lost = keys.join(repeated, "key").where("doc_id > keeper")
-    lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("_lost"))
-    rows = docs.drop(*columns).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows = rows.join(lost.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
+    lost = lost.groupBy("doc_id", "of").agg(F.collect_set("key").alias("_lost"))
+    lost = lost.withColumnsRenamed({"doc_id": "_id", "of": "_of"})
+    rows = docs.drop(*columns).withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_of": _of()})
+    rows = rows.join(lost, ["_id", "_of"], "left").drop("_id", "_of")
     names = [f for f in rows.schema.names if f not in ("text", "_lost")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     n_lines, n_dropped, digest = columns
