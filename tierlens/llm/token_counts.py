@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import kept
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before merging; belongs to the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,6 +57,7 @@ def totals(counts: DataFrame) -> DataFrame:
     documents that are no longer. The rows are one per distinct length, not per document; lengths are
     summed in blocks first, so that no task holds more than a block or one row per block.
     """
+    counts = kept(counts, "histogram")  # read twice below; texts are encoded once
     blocks = counts.withColumn("_block", F.floor(F.sqrt("n_tokens")))
     tokens = F.col("n_tokens") * F.col("n_docs")
     sums = blocks.groupBy("_block").agg(F.sum("n_docs").alias("_n"), F.sum(tokens).alias("_t"))
