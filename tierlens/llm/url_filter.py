@@ -30,8 +30,6 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"://([^/?#]*)([^?#]*)"
-#: The depth where none is given.
-DEPTH = 6
 #: So many parts of the result are written as one.
 MERGE = 16
 #: A node is variable if it has over MANY children that occur fewer than FEW times on average.
@@ -54,7 +52,7 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, F.coalesce(*[F.when(f, F.lit(v)) for f, (v, _, _) in zip(fits, longest)], none)
 
 
-def templates(urls: DataFrame, depth: int | None = DEPTH) -> DataFrame:
+def templates(urls: DataFrame, depth: int | None = None) -> DataFrame:
     """`urls` (`host`, `path`, `n` and more) with `parent` and `template` of each path."""
     segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace("path", "^/", ""), "/", -1)
@@ -121,7 +119,7 @@ def scores(rows: DataFrame) -> DataFrame:
     return out.select("host", "template", ((b + WEIGHT * common) / (n + WEIGHT)).alias("score"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", depth: int | None = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url", depth: int | None = None) -> DataFrame:
     """`pages` with `host`, `path`, `rule`, `template`, `score` (of the template) and `verdict`."""
     own = ("host", "path", "rule", "template", "score", "verdict")
     host, path = host_path(F.col(url))
