@@ -89,3 +89,56 @@ def test_block_size_does_not_matter():
     one, _ = zip(*(toxicity.text_scores([t], model) for t in texts))
     assert np.allclose(whole, np.concatenate(one), atol=1e-4)
     assert tokens.Block(texts, tokens.LETTER).texts == 60
+
+
+def plain_score(text: str, model) -> tuple[float, int]:
+    """One text by the definition: every word of every window in a loop of its own."""
+    p = {k: v.astype(np.float64) for k, v in model.params.items()}
+    words = tokens.Block([text.encode()], tokens.LETTER)
+    spelled = words.words(np.arange(words.count))
+    hashes, n, size = words.hashes(), words.count, gru.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(i):
+        k = np.flatnonzero(model.hashes == hashes[i])
+        bucket, _ = gru.char_buckets([spelled[i]])
+        chars = p["char"][bucket].mean(axis=0) if len(bucket) else np.zeros(gru.CHAR_DIM)
+        return np.concatenate([p["word"][k[0] + 1 if len(k) else 0], chars])
+
+    def states(xs, d):
+        h, out = np.zeros(size), []
+        for x in xs:
+            g = x @ p[f"in_{d}"] + p[f"bias_{d}"] if x is not None else np.zeros(3 * size)
+            r = h @ p[f"rec_{d}"]
+            z, s = sig(g[:size] + r[:size]), sig(g[size : 2 * size] + r[size : 2 * size])
+            c = np.tanh(g[2 * size :] + s * r[2 * size :])
+            h = c + z * (h - c)
+            out.append(h)
+        return out
+
+    starts = [0]
+    while starts[-1] + toxicity.WINDOW < n:
+        starts.append(min(starts[-1] + toxicity.STRIDE, n - toxicity.WINDOW))
+    logits = []
+    for s in starts:
+        xs = [vector(i) for i in range(s, min(s + toxicity.WINDOW, n))] or [None]
+        both = [np.concatenate(x) for x in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+        e = np.array([np.tanh(h @ p["att"]) @ p["att_v"] for h in both])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        logits.append(sum(w * h for w, h in zip(a, both)) @ p["out"] + p["out_b"][0])
+    worst = int(np.argmax(logits))
+    return float(sig(model.slope * logits[worst] + model.offset)), starts[worst]
+
+
+def test_scores_against_plain_loops():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["an", "er", "on", "th", "é"]) for _ in range(rng.randrange(1, 5)))
+    line = lambda n, bad: " ".join("zorkan" if bad and rng.random() < 0.1 else word() for _ in range(n))
+    learn = [line(rng.randrange(5, 90), i % 3 == 0) for i in range(120)]
+    model = toxicity.train([t.encode() for t in learn], np.array([int(i % 3 == 0) for i in range(120)]))
+    texts = ["", "1 2", "one", line(63, True), line(64, False), line(65, True), line(200, True), line(96, False) + " zorkan", "x" * 300]
+    got, worst = toxicity.text_scores([t.encode() for t in texts], model)
+    for t, score, at in zip(texts, got, worst):
+        want, place = plain_score(t, model)
+        assert abs(score - want) < 1e-3, t
+        assert at == place or abs(score - want) < 1e-5
