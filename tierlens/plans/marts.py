@@ -1,11 +1,14 @@
 """Queries on the cube and the product page."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BANDS
 from ..functions import text
-from ..operators import bitmaps, marts
-from ..sources.io import written
+from ..operators import bitmaps, marts, search
+from ..sources.io import work_folder, written
 from . import bridge as b
 from .registry import query
 
@@ -212,6 +215,33 @@ def product_search(spark, sf_dir):
     return marts.product_search(_catalog(spark, sf_dir), "(HOT|old) .*R")
 
 
+_PATTERNS = ("(HOT|old) .*R", "widget", "small.*b[io]|wid.et (ro|ri)", "a|bolt", "no such name")
+
+
+@query(b.ctes(_CATALOG) + "SELECT * FROM catalog WHERE coalesce(regexp_matches(product_name, '(?i)(HOT|old) .*R'), false)")
+def product_search_indexed(spark, sf_dir):
+    products, folder = _catalog(spark, sf_dir), work_folder(spark, "names")
+    search.write_index(products, folder)
+    return search.indexed_search(products, spark.read.parquet(folder), _PATTERNS[0])
+
+
+def _sql_share(pattern: str) -> str:
+    wanted = search.required_grams(pattern)
+    low = "lower(product_name)"
+    has = "true" if wanted is None else " OR ".join("(" + " AND ".join(f"contains({low}, '{g}')" for g in way) + ")" for way in wanted)
+    return (f"SELECT '{pattern}' AS pattern, count(*) AS names, count(*) FILTER ({has}) AS candidates, "
+            f"count(*) FILTER (regexp_matches(product_name, '(?i){pattern}')) AS matches FROM catalog WHERE product_name IS NOT NULL")
+
+
+@query(b.ctes(_CATALOG) + " UNION ALL ".join(_sql_share(p) for p in _PATTERNS))
+def product_search_share(spark, sf_dir):
+    """How many names several patterns are tried on, and how many fit."""
+    products, folder = _catalog(spark, sf_dir), work_folder(spark, "names")
+    search.write_index(products, folder)
+    postings = spark.read.parquet(folder)
+    return reduce(DataFrame.unionByName, [search.search_share(products, postings, p) for p in _PATTERNS])
+
+
 @query(b.ctes(_CATALOG) + """
 SELECT substring(product_name, 1, 90) || ' — ' || product_id AS label, product_name, product_id
 FROM catalog WHERE product_name IS NOT NULL""")
