@@ -39,18 +39,71 @@ def test_parquet_sources(spark, tmp_path, monkeypatch):
     assert "PartitionFilters: [isnotnull(m" in plan
 
 
+def persisted(spark) -> int:
+    return spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+
 def test_table_cache(spark, tmp_path):
-    now, path = [0.0], str(tmp_path / "t")
-    cache = io.TableCache(spark, 10, clock=lambda: now[0])
-    assert cache.load(path) is None
-    io.write_parquet(spark.range(3), path)
-    first = cache.load(path)
-    assert first.count() == 3 and cache.load(path) is first
-    now[0] = 11.0
-    assert cache.load(path) is not first
-    held = cache.load(path)
-    cache.refresh(path)
-    assert cache.load(path) is not held
+    now, path, other = [0.0], str(tmp_path / "t"), str(tmp_path / "u")
+    began = persisted(spark)
+    with io.TableCache(spark, 10, clock=lambda: now[0]) as cache:
+        assert cache.load(path) is None
+        io.write_parquet(spark.range(3), path)
+        first = cache.load(path)
+        assert first.count() == 3 and cache.load(path) is first
+        io.write_parquet(spark.range(5).withColumn("part", F.col("id") % 2), path, ["part"])
+        second = cache.load(path)  # other files: the old entry is released
+        assert second.count() == 5 and cache.load(path) is second and persisted(spark) == began + 1
+        now[0] = 11.0
+        assert cache.load(path) is not second
+        cache.refresh(path)
+        assert persisted(spark) == began
+        io.write_parquet(spark.range(2), other)
+        cache.load(path).count(), cache.load(other).count()
+        assert persisted(spark) == began + 2
+    assert persisted(spark) == began
+
+
+def test_table_cache_is_bounded(spark, tmp_path):
+    paths = [str(tmp_path / x) for x in "abc"]
+    for p in paths:
+        io.write_parquet(spark.range(1000), p)
+    size = io.listing(spark, paths[0])[1]
+    began = persisted(spark)
+    with io.TableCache(spark, most_bytes=2 * size + 10) as cache:
+        a, b = cache.load(paths[0]), cache.load(paths[1])
+        assert a.count() == b.count() == 1000 and cache.load(paths[0]) is a
+        assert cache.load(paths[2]).count() == 1000 and persisted(spark) == began + 2
+        assert cache.load(paths[0]) is a and cache.load(paths[1]) is not b  # the one not used for longest went
+    with io.TableCache(spark, most_bytes=5) as cache:
+        assert cache.load(paths[0]).count() == 1000 and persisted(spark) == began
+
+
+def scanned(df) -> int:
+    """Rows that the scan of an executed query read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    return plan.collectLeaves().apply(0).metrics().get("numOutputRows").get().value()
+
+
+def test_lookup_reads_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "t")
+    rows = spark.range(60_000).select(F.md5(F.col("id").cast("string")).alias("product_id"), F.rand(1).alias("x"))
+    io.write_lookup(rows, path, "product_id", group_bytes=1 << 17)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "t").glob("*.parquet")]
+    groups = sum(f.num_row_groups for f in files)
+    assert groups > 8
+    one = rows.where("id = 0" if "id" in rows.columns else "true").first()["product_id"]
+    found = spark.read.parquet(path).where(F.col("product_id") == one)
+    assert found.count() == 1
+    assert scanned(spark.read.parquet(path).where(F.col("product_id") == one)) < 60_000 / 4
+    assert scanned(spark.read.parquet(path).where(F.col("product_id") == "no such")) < 60_000 / 4
+    # Inside a range that holds it, a missing key is ruled out by the bloom filter.
+    missing = one[:-1] + ("0" if one[-1] != "0" else "1")
+    assert scanned(spark.read.parquet(path).where(F.col("product_id") == missing)) == 0
 
 
 def test_source_order_over_files(spark, tmp_path):

@@ -46,12 +46,32 @@ def _stored(spark, sf_dir) -> str:
 @query(b.ctes(b.SPANS, b.CUBE) + "SELECT * FROM cube")
 def stored_cube(spark, sf_dir):
     """The cube through the cached load, after the input gate."""
-    folder, cache = _stored(spark, sf_dir), io.TableCache(spark)
-    cube, products = cache.load(f"{folder}/cube"), cache.load(f"{folder}/products")
-    checks.require_data(cube, products)
+    folder = _stored(spark, sf_dir)
+    with io.TableCache(spark) as cache:
+        cube, products = cache.load(f"{folder}/cube"), cache.load(f"{folder}/products")
+        checks.require_data(cube, products)
     return cube
 
 
+@query(b.ctes(b.SPANS, b.CUBE) + """
+SELECT (SELECT count(*) FROM cube WHERE main_category = 'PROMO') AS before_rows, count(*) AS rows, sum(total)::BIGINT AS total,
+  true AS same_while_unchanged, 0 AS left_in_memory FROM cube""")
+def refreshed_cube(spark, sf_dir):
+    """What a cached load sees of a table that is written again between two loads, and what the cache leaves behind."""
+    cube, path = b.span_cube(spark, sf_dir), io.work_folder(spark, "refreshed")
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs
+    began = held().size()
+    with io.TableCache(spark) as cache:
+        io.write_parquet(cube.where("main_category = 'PROMO'"), path)
+        first = cache.load(path)
+        before, same = first.count(), cache.load(path) is first
+        io.write_parquet(cube, path)
+        now = cache.load(path)
+        count, total = now.agg(F.count("*"), F.sum("total")).first()
+    row = (before, count, total, same, held().size() - began)
+    return spark.createDataFrame([row], "before_rows bigint, rows bigint, total bigint, same_while_unchanged boolean, left_in_memory int")
+
+
 @query(b.ctes(b.RAW, b.PARSED, b.CLEAN) + """
 SELECT product_id, product_name, rating FROM clean QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY row_ord) = 1""")
 def stored_products(spark, sf_dir):
@@ -67,8 +87,11 @@ def first_reviews(spark, sf_dir):
 @query(b.ctes(b.SPANS, b.CUBE) + """
 SELECT * FROM cube WHERE product_id = (SELECT max(product_id) FROM cube)""")
 def product_lookup(spark, sf_dir):
-    cube = b.span_cube(spark, sf_dir)
-    return marts.product_row(cube, cube.agg(F.max("product_id")).scalar())
+    """One product's rows of a cube laid out for lookups."""
+    path = io.work_folder(spark, "lookup")
+    io.write_lookup(b.span_cube(spark, sf_dir), path, "product_id")
+    cube = spark.read.parquet(path)
+    return marts.product_row(cube, cube.agg(F.max("product_id")).first()[0])
 
 
 @query(b.ctes(b.SPANS, b.CUBE) + """

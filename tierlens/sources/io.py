@@ -75,6 +75,21 @@ def write_parquet(df: DataFrame, path: str, partition_by=()) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+#: Bytes of a row group in a table for lookups: small, so that one holds few keys.
+LOOKUP_GROUP = 1 << 20
+
+
+def write_lookup(df: DataFrame, path: str, key: str, group_bytes: int = LOOKUP_GROUP) -> None:
+    """Overwrite a table laid out for lookups by `key`: sorted by it, in small row groups with bloom filters.
+
+    A lookup reads the row groups whose range holds the key; where ranges overlap, as after appends, those whose
+    bloom filter does.
+    """
+    rows = df.repartitionByRange(key).sortWithinPartitions(key)
+    options = {f"parquet.bloom.filter.enabled#{key}": True, "parquet.block.size": group_bytes, "parquet.page.size": 1 << 16}
+    rows.write.mode("overwrite").options(**options).parquet(path)
+
+
 def write_results(cube: DataFrame, products: DataFrame, cube_path: str, products_path: str, partition_by=()):
     """The cube and the product dimension. Partitioning the cube by main category prunes scope filters."""
     write_parquet(cube, cube_path, partition_by)
@@ -133,20 +148,49 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def listing(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """A fingerprint of a table's files (names, sizes, times) and their bytes; None if there is nothing."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    row = F.xxhash64("path", "length", "modificationTime")
+    n, x, total, size = files.agg(F.count("*"), F.bit_xor(row), F.sum(row.cast("decimal(38,0)")), F.sum("length")).first()
+    return f"{n}-{x}-{total}", size or 0
+
+
 class TableCache:
-    """Tables kept in memory for `ttl` seconds after they are first asked for."""
+    """Tables kept in memory while their files stay as they are, at most `ttl` seconds and `most_bytes` of files.
 
-    def __init__(self, spark: SparkSession, ttl: float = 3600.0, clock=time.monotonic):
-        self._spark, self._ttl, self._clock, self._tables = spark, ttl, clock, {}
+    An entry is released when the table's files have changed, when it is too old, when a newer one needs the room,
+    and when the cache is closed; `with TableCache(spark) as cache:` closes it.
+    """
+
+    def __init__(self, spark: SparkSession, ttl: float = 3600.0, clock=time.monotonic, most_bytes: int = 1 << 30):
+        self._spark, self._ttl, self._clock, self._most = spark, ttl, clock, most_bytes
+        self._tables: dict[str, tuple[DataFrame, float, str, int]] = {}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
 
     def load(self, path: str) -> DataFrame | None:
+        found = listing(self._spark, path)
         held = self._tables.get(path)
-        if held and self._clock() - held[1] < self._ttl:
+        if held and found and held[2] == found[0] and self._clock() - held[1] < self._ttl:
+            self._tables[path] = self._tables.pop(path)  # the latest used comes last
             return held[0]
         self.refresh(path)
-        df = read_parquet(self._spark, path)
-        if df is not None:
-            self._tables[path] = (df.persist(), self._clock())
+        df = read_parquet(self._spark, path) if found else None
+        if df is None or found[1] > self._most:
+            return df
+        while self._tables and sum(t[3] for t in self._tables.values()) + found[1] > self._most:
+            self.refresh(next(iter(self._tables)))
+        self._tables[path] = (df.persist(), self._clock(), *found)
         return df
 
     def refresh(self, path: str) -> None:
@@ -155,3 +199,7 @@ class TableCache:
         if held:
             held[0].unpersist()
             self._spark.catalog.refreshByPath(path)
+
+    def close(self) -> None:
+        for path in list(self._tables):
+            self.refresh(path)
