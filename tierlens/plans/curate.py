@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as k
 from ..functions import matching
+from ..functions import tokens as tk
 from ..operators import checks, curate, spans
 from ..sources.io import written
 from . import bridge as b
@@ -192,8 +193,8 @@ def merge_labels(spark, sf_dir):
 
 
 @query(b.ctes(*VALIDATED, MERGED) + """
-SELECT label_id, polarity FROM merged m WHERE NOT EXISTS (
-  SELECT 1 FROM gold g WHERE g.text = m.text AND g.span = m.span)""")
+SELECT label_id, polarity FROM merged m ANTI JOIN (SELECT DISTINCT md5(text || chr(1) || span) AS pair FROM gold) g
+  ON md5(m.text || chr(1) || m.span) = g.pair""")
 def added_labels(spark, sf_dir):
     gold = b.gold_table(spark, sf_dir)
     rows = curate.added_rows(_merged(spark, sf_dir, gold), gold, ("text", "span"))
@@ -206,6 +207,28 @@ def span_ordinal(spark, sf_dir):
     return rows.select("label_id", matching.aligned_ordinal("text", "span").alias("ordinal"))
 
 
+_RULES = tk.TokenRules()
+_ENDS = "|".join(_RULES.endings).replace("'", "''")
+_WHOLE = "|".join(w.replace(".", "\\.").replace("'", "''") for w in sorted(_RULES.whole, key=lambda w: (-len(w), w)))
+# No look-ahead here: what ends a word is cut off by a mark first, and no token holds a mark. Texts are in lower case.
+_MARKED = r"regexp_replace(text, '([\p{L}])(n''t)\b', '\1' || chr(1) || '\2', 'g')"
+_PIECES = rf"regexp_extract_all({_MARKED}, '\s+|\x01|(?:{_WHOLE})\B|n''t\b|(?:{_ENDS})\b|\p{{N}}+(?:[.,:]\p{{N}}+)*|\p{{L}}+|\.{{2,}}|[^\x01]')"
+_FITS = "list_contains(starts, i) AND list_contains(ends, i + length(span))"
+
+
+@query(b.ctes(*LABELLED, CUED, NEAR, CANDIDATES) + rf""",
+cut AS (SELECT *, {_PIECES} AS t FROM (SELECT DISTINCT text FROM candidates)),
+laid AS (SELECT text, t, [length(replace(array_to_string(t[:j], ''), chr(1), '')) for j in range(0, len(t) + 1)] AS edge FROM cut),
+edges AS (
+  SELECT text, [edge[j] for j in range(1, len(t) + 1) if NOT regexp_matches(t[j], '^[\s]')] AS starts,
+    [edge[j + 1] for j in range(1, len(t) + 1) if NOT regexp_matches(t[j], '^[\s]')] AS ends FROM laid)
+SELECT label_id, (list_position([{_FITS} for i in {_FOUND}], true) - 1)::INTEGER AS ordinal FROM candidates JOIN edges USING (text)""")
+def span_ordinal_tokens(spark, sf_dir):
+    """The place of a span among its occurrences, by tokens."""
+    rows = b.candidates(spark, sf_dir)
+    return rows.select("label_id", tk.token_ordinal("text", "span").alias("ordinal"))
+
+
 _WORDS = "[w for w in regexp_split_to_array({}, '\\s+') if length(w) > 0]"
 
 
