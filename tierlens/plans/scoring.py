@@ -1,10 +1,11 @@
 """Queries that run predictors inside Spark tasks."""
 
 import re
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import functions as F
 
+from ..constants import LABEL_ORDER, POLARITIES
 from ..functions import text
 from ..operators import curate, scoring, spans
 from ..sources.io import work_folder, written
@@ -146,31 +147,52 @@ def against_majority(counts):
 
 
 def _beats(counts):
-    """The comparison on the training rows, as a table of one row."""
-    return against_majority(counts).where("not held_out").select("beats_majority")
+    """The comparison on the held-out rows, which the head has not seen, as one value."""
+    return against_majority(counts).where("held_out").select("beats_majority").scalar()
 
 
 _MASK = "('0x' || substring(md5(vec_id::VARCHAR || '|42'), 1, 8))::BIGINT >= 3435973836"
+#: A direction in the embeddings that stands for what a real label would say of them.
+_SIGNAL, _EDGE = (1.0, -0.5, 0.75, 0.25, -1.0, 0.5, -0.75), 0.08
+_SQL_SIGNAL = "list_sum([" + ", ".join(f"embedding[{i + 1}]::DOUBLE * {w}" for i, w in enumerate(_SIGNAL)) + "])"
+
+
+def _signal():
+    total = reduce(lambda x, y: x + y, [F.element_at("embedding", i + 1).cast("double") * w for i, w in enumerate(_SIGNAL)])
+    return F.when(total > _EDGE, "positive").when(total < -_EDGE, "negative").otherwise("neutral")
 
 
 def train_head_counts(spark, sf_dir):
     """Rows per split, label and prediction of a multinomial head on the embeddings, trained on four fifths."""
-    rows = b.table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
-    labels = tuple(str(i) for i in range(10))
+    rows = b.table(spark, sf_dir, "embeddings").withColumn("label", _signal())
     rows = written(curate.with_held_out_by_threshold(rows, "vec_id"), "embeddings")
-    model = scoring.train_embedding_head(rows.where("not held_out"), "label", labels)
-    scored = scoring.apply_head(model, scoring.with_vector(rows), labels, "predicted")
+    model = scoring.train_embedding_head(rows.where("not held_out"), "label", LABEL_ORDER, balanced=False)
+    scored = scoring.apply_head(model, scoring.with_vector(rows), LABEL_ORDER, "predicted")
     return written(prediction_counts(scored, "label", "predicted"), "counts")
 
 
-@query(f"""SELECT label::VARCHAR AS label, count(*) AS n, true AS beats_majority
-FROM embeddings WHERE {_MASK} GROUP BY label""")
+@query(f"""SELECT CASE WHEN s > {_EDGE} THEN 'positive' WHEN s < -{_EDGE} THEN 'negative' ELSE 'neutral' END AS label,
+  count(*) AS n, true AS beats_majority FROM (SELECT {_SQL_SIGNAL} AS s FROM embeddings WHERE {_MASK}) GROUP BY label""")
 def train_head(spark, sf_dir):
-    """What SQL can check of `train_head_counts`. Labels there are random, so what the head has learned shows
-    on the rows it was trained on: it must name more of them than the majority does."""
+    """What SQL can check of `train_head_counts`: held-out rows per label, and that the head names more of them
+    right than the most frequent label does."""
     counts = train_head_counts(spark, sf_dir)
     n = F.sum(F.when(F.col("predicted").isNotNull(), F.col("n")).otherwise(0)).alias("n")
-    return counts.where("held_out").groupBy("label").agg(n).crossJoin(_beats(counts))
+    return counts.where("held_out").groupBy("label").agg(n).withColumn("beats_majority", _beats(counts))
+
+
+@query(b.ctes(b.SENTENCES, b.WORD_SPANS) + f"""
+SELECT row_ord, pos, span, CASE WHEN span IN ({b._list(w for w, v in b.VALENCE.items() if v > 0)}) THEN 'positive' ELSE 'negative' END AS polarity
+FROM word_spans WHERE span IN ({b._list(b.VALENCE)})""")
+def stored_head_scoring(spark, sf_dir):
+    """A head fitted to words of known polarity, stored, preferred to the default because it is there, and loaded."""
+    path = work_folder(spark, "head")
+    words = [(w, "positive" if v > 0 else "negative") for w, v in b.VALENCE.items()]
+    known = spark.createDataFrame(words, "context string, polarity string")
+    scoring.save_head(scoring.train_text_head(known, "polarity", balanced=False, reg=0.0), path)
+    model = scoring.load_head(scoring.model_source(spark, path, "default"))
+    rows = b.word_rows(spark, sf_dir).where(F.col("span").isin(*b.VALENCE)).select("row_ord", "pos", "span", F.col("span").alias("context"))
+    return scoring.apply_head(model, rows, POLARITIES, "polarity").drop("context")
 
 
 def score_gold_counts(spark, sf_dir):
@@ -178,7 +200,7 @@ def score_gold_counts(spark, sf_dir):
     training; every gold row scored, without a prediction where its span cannot be placed."""
     rows = written(curate.with_held_out(b.gold_table(spark, sf_dir), "label_id"), "gold")
     train = scoring.with_context(rows.where("not held_out")).where("context is not null")
-    model = scoring.train_text_head(train, "polarity")
+    model = scoring.train_text_head(train, "polarity", balanced=False, reg=0.05)
     scored = scoring.score_gold(model, rows.drop("polarity_finetuned"))
     return written(prediction_counts(scored, "polarity", "polarity_finetuned"), "counts")
 
@@ -189,9 +211,9 @@ FROM (SELECT *, {_PLACE} AS place FROM split) GROUP BY held_out, polarity""")
 def score_gold(spark, sf_dir):
     """What SQL can check of `score_gold_counts`.
 
-    The head must find more of the training rows right than the most frequent polarity does.
+    The head must find more of the held-out rows right than the most frequent polarity does.
     """
     counts = score_gold_counts(spark, sf_dir)
     unplaced = F.sum(F.when(F.col("predicted").isNull(), F.col("n")).otherwise(0)).alias("unplaced")
     out = counts.groupBy("held_out", F.col("label").alias("polarity")).agg(F.sum("n").alias("n"), unplaced)
-    return out.crossJoin(_beats(counts))
+    return out.withColumn("beats_majority", _beats(counts))
