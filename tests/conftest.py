@@ -1,13 +1,20 @@
 import os
 import sys
 import tempfile
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def shared_by_default() -> bool:
+    """Whether sessions here name a shared folder of their own accord."""
+    return any("spark.checkpoint.dir" in f.read_text() for f in Path(pyspark.__file__).parent.glob("conf/spark-defaults.conf"))
+
+
 @pytest.fixture(scope="session")
 def spark():
     builder = (
@@ -16,9 +23,9 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g").config("spark.log.level", "ERROR")
     )
+    if not shared_by_default():
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tierlens-tests-"))
     session = builder.getOrCreate()
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tierlens-tests-"))
     yield session
     session.stop()
 

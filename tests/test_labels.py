@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tierlens import constants as k
 from tierlens.operators import curate, evaluate
-from tests.test_functions import word_places
 
 ORDER = k.LABEL_ORDER
 
@@ -38,41 +37,57 @@ def test_mining(spark, cap):
     assert all(r.n_cues == len(r.cue_hits.split("|")) and r.polarity == "negative" and r.ordinal == 0 for r in got)
 
 
-def test_validation_against_brute_force(spark):
+#: Text, span, polarity of a reviewed candidate, and what is wrong with it, worked out by hand.
+REVIEWED = [
+    ("the battery died", "battery", "negative", None),
+    ("The Battery died", "Battery", " Positive", "duplicate"),              # the first one in other letters
+    ("the battery died", "the", "neutral", None),                           # another span of that text
+    ("power cut", "owe", "negative", "span not aligned"),
+    ("power cut", "owe", "negative", "span not aligned"),                   # what was not kept is no first one
+    ("power cut", "power", "oops", "invalid polarity"),
+    ("power cut", "power", None, "invalid polarity"),
+    ("power cut", "Power", "negative", "span not in text"),                 # case counts inside a text
+    ("power cut", "power", "negative", None),                               # the first that is right
+    ("power cut", "power", "negative", "duplicate"),
+    ("cheap stuff", "cheap", "negative", "already labelled"),
+    ("cheap stuff", "cheap", "bad", "invalid polarity"),                    # of two faults the first rule's
+    ("cheap stuff", "heap", "negative", "span not aligned"),
+    ("it is dead", "zz", "positive", "span not in text"),
+    ("batteries, battery", "battery", "negative", None),
+]
+LABELLED = [("CHEAP stuff ", "cheap"), ("it is dead", "dead"), (None, "battery")]
+COLUMNS = "cand_id int, text string, span string, polarity string, aspect string, ordinal int"
+
+
+def validated(spark, candidates, labelled=LABELLED):
+    rows = [(i, t, s, p, "a", 0) for i, (t, s, p) in enumerate(candidates)]
+    return curate.validate_candidates(
+        spark.createDataFrame(rows, COLUMNS).repartition(3), spark.createDataFrame(labelled, "text string, span string"))
+
+
+def test_validation_worked_by_hand(spark):
+    got = {r.cand_id: r.reason for r in validated(spark, [r[:3] for r in REVIEWED]).collect()}
+    assert [got[i] for i in range(len(REVIEWED))] == [r[3] for r in REVIEWED]
+
+
+def test_validation_properties(spark):
+    """What holds of any batch: kept pairs are new, apart from each other and the first that could be kept."""
     rng = random.Random(2)
-    texts = ["battery bad battery", "sound was poor", "Sound was poor", "cheap stuff", "power cut", "it is dead"]
-    spans_ = ["battery", "sound", "Sound", "poor", "cheap", "owe", "ea", "zz"]
-    pols = ["negative", " Positive", "neutral", "oops", None]
-    cand = [(i, rng.choice(texts), rng.choice(spans_), rng.choice(pols), "a", 0) for i in range(300)]
-    base = [("CHEAP stuff", "cheap"), ("it is dead", "dead")]
-    known = {(t.lower(), s.lower()) for t, s in base}
-    want, seen = {}, set()
-    for i, t, s, p, _, _ in cand:
-        key, place = (t.lower(), s.lower()), next(iter(word_places(t, s)), None)
-        if p is None or p.strip().lower() not in k.POLARITIES:
-            want[i] = "invalid polarity"
-        elif s not in t:
-            want[i] = "span not in text"
-        elif key in known:
-            want[i] = "already labelled"
-        elif key in seen:
-            want[i] = "duplicate"
-        elif place is None:
-            want[i] = "span not aligned"
-        else:
-            seen.add(key)
-            want[i] = None
-    columns = "cand_id int, text string, span string, polarity string, aspect string, ordinal int"
-    got = curate.validate_candidates(
-        spark.createDataFrame(cand, columns).repartition(3), spark.createDataFrame(base, "text string, span string")
-    )
-    assert {r.cand_id: r.reason for r in got.collect()} == want
-    assert set(want.values()) >= {None, "duplicate", "already labelled", "span not aligned"}
-    merged = curate.merge_labels(
-        curate.normal_labels(spark.createDataFrame([("t", "s", "Negative")], "text string, span string, polarity string")), got
-    )
-    report = {r.polarity: (r.before, r.after, r.added) for r in curate.merge_report(merged).collect()}
-    assert report["negative"][0] == 1 and sum(v[2] for v in report.values()) == sum(v is None for v in want.values())
+    some = [(rng.choice(["battery bad", "Battery bad", "sound was poor", "it is dead"]), rng.choice(["battery", "Battery", "poor", "oo", "dead"]),
+             rng.choice(["negative", "neutral", "oops"])) for _ in range(250)]
+    out = validated(spark, some)
+    rows = out.collect()
+    pair = lambda r: (r.text.lower(), r.span.lower())
+    kept = [r for r in rows if r.reason is None]
+    assert len(rows) == 250 and len({pair(r) for r in kept}) == len(kept) >= 2
+    assert not {pair(r) for r in kept} & {("it is dead", "dead"), ("cheap stuff", "cheap")}
+    assert all(r.span in r.text and r.polarity in k.POLARITIES for r in kept)
+    first = {pair(r): r.cand_id for r in kept}
+    repeated = [r for r in rows if r.reason == "duplicate"]
+    assert repeated and all(first[pair(r)] < r.cand_id for r in repeated)
+    base = curate.normal_labels(spark.createDataFrame([("t", "s", "Negative")], "text string, span string, polarity string"))
+    report = {r.polarity: (r.before, r.after, r.added) for r in curate.merge_report(curate.merge_labels(base, out)).collect()}
+    assert report["negative"][0] == 1 and sum(v[2] for v in report.values()) == len(kept)
 
 
 def labels(spark, n=500):

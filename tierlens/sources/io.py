@@ -1,9 +1,6 @@
 """CSV and Parquet in and out, shared work folders, and a cached load."""
 
-import atexit
 import os
-import shutil
-import tempfile
 import time
 import uuid
 from contextlib import contextmanager
@@ -97,17 +94,10 @@ def write_results(cube: DataFrame, products: DataFrame, cube_path: str, products
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    A local session that has none is given a folder of its own, removed when the program ends.
-    """
+    """The folder in spark.checkpoint.dir, which driver and executors share. A session without it is refused."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="tierlens-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", shared)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return shared.rstrip("/")
 
 
