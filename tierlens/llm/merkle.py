@@ -60,7 +60,8 @@ def manifest(
         F.struct(F.lit(0).alias("_"), *[e.alias(name) for name, e in carry.items()]).alias("_carry"),
     )
     by_order = [f"_by.o{i}" for i in range(len(order))]
-    leaves, high = _numbered(named, ["_of.of"], [*by_order, "_node"])
+    # Written before they are sorted: finding the ranges would read and hash the texts a second time.
+    leaves, high = _numbered(kept(named, "rows"), ["_of.of"], [*by_order, "_node"])
     found, subroots = _climb(leaves, high, fanout, levels)
     # The groups' roots are the leaves of one more tree.
     tops = subroots.select(F.struct(F.lit(0).alias("of")).alias("_of"), "_node", F.col("_of").alias("_group"))
