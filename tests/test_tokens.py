@@ -54,3 +54,26 @@ def test_a_vocabulary_has_a_size_limit(tmp_path, monkeypatch):
     (tmp_path / "v").write_bytes(b"YQ== 0\n")
     with pytest.raises(ValueError):
         tokens.read_ranks(str(tmp_path / "v"))
+
+
+def test_pieces_stay_in_their_task(spark, ranks, monkeypatch):
+    """Only counts are shuffled and nothing is written, also when a task forgets pieces between batches."""
+    tiktoken = pytest.importorskip("tiktoken")
+    monkeypatch.setattr(tokens, "KNOWN", 3)
+    written = []
+    monkeypatch.setattr("pyspark.sql.DataFrameWriter.parquet", lambda *_, **__: written.append(1))
+    rows = [(i % 40 or None, t) for i, t in enumerate([*texts(), None])]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = tokens.count_tokens(df, "t", ["i"], ranks)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r["i"]: r["tokens"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = tiktoken.Encoding("own", pat_str=tokens.PIECES.removeprefix("(?U)"), mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for i, t in rows:
+        want[i] = want.get(i, 0) + len(plain.encode_ordinary(t or ""))
+    assert got == want and not written
+    assert "hashpartitioning(_of" in plan and "piece#" not in plan

@@ -1,8 +1,9 @@
 """True token counts of texts for a byte-pair vocabulary, dictionary first.
 
-Texts are split into pieces by a pattern, natively; each distinct piece of all texts is encoded once, by a merge loop
-over its bytes, and counts are joined back to the texts. So the slow step grows with the number of distinct
-pieces. The vocabulary is a file of tokens and ranks, whose place is a parameter.
+Texts are split into pieces by a pattern, natively. A task encodes each distinct piece of a batch once, by a merge loop
+over its bytes, remembers the short ones, and adds up the pieces of a text where it lies. So the slow step grows
+with the number of distinct pieces, and only a count per text is shuffled. The vocabulary is a file of tokens and
+ranks, whose place is a parameter.
 """
 
 import base64
@@ -10,11 +11,12 @@ import heapq
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from ..sources.io import written
+from pyspark.sql import types as T
 
 # Fixed value: the pattern that cuts texts into pieces for this kind of vocabulary.
 PIECES = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,25 +75,42 @@ def n_tokens(piece: bytes, ranks: dict[bytes, int]) -> int:
     return count
 
 
+#: A task remembers so many pieces of at most so many bytes, then begins anew.
+KNOWN, KNOWN_BYTES = 1 << 18, 64
+
+
 def piece_tokens(pieces: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """`piece`, `tokens` of distinct pieces."""
+    """`_of`, `tokens` of rows of `_of` and `pieces`, an array: the tokens of all its pieces."""
     sent = pieces.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+
+        def count(piece: bytes) -> int:
+            n = known.get(piece)
+            if n is None:
+                n = n_tokens(piece, sent.value)
+                if len(piece) <= KNOWN_BYTES:
+                    known[piece] = n
+            return n
+
         for batch in batches:
-            counts = [n_tokens(p, sent.value) for p in batch.column(0).cast("binary").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["piece", "tokens"])
+            if len(known) > KNOWN:
+                known.clear()
+            coded = batch.column(1).flatten().dictionary_encode()
+            counts = np.array([count(p) for p in coded.dictionary.cast("binary").to_pylist()], np.int64)
+            before = np.concatenate(([0], np.cumsum(counts[coded.indices.to_numpy()])))
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            ends = np.cumsum(sizes, dtype=np.int64)
+            sums = before[ends] - before[ends - sizes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], names=["_of", "tokens"])
 
-    return pieces.select("piece").mapInArrow(run, "piece string, tokens bigint")
+    schema = T.StructType([pieces.schema["_of"], T.StructField("tokens", T.LongType())])
+    return pieces.select("_of", "pieces").mapInArrow(run, schema)
 
 
 def count_tokens(df: DataFrame, column: str, ids, ranks: dict[bytes, int], name: str = "tokens", pattern: str = PIECES) -> DataFrame:
     """(ids, `name`): the tokens of all texts of an id together; 0 for null and empty ones."""
-    ids = list(ids)
-    key = F.struct(*ids).alias("_of")
     pieces = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))
-    found = df.select(key, F.explode_outer(pieces).alias("piece")).groupBy("_of", "piece").agg(F.count("*").alias("n"))
-    found = written(found, "pieces")
-    known = written(piece_tokens(found.where("piece IS NOT NULL").select("piece").distinct(), ranks), "tokens")
-    sums = found.join(known, "piece", "left").groupBy("_of").agg(F.sum(F.col("n") * F.coalesce("tokens", F.lit(0))).alias(name))
-    return sums.select("_of.*", name)
+    counted = piece_tokens(df.select(F.struct(*ids).alias("_of"), pieces.alias("pieces")), ranks)
+    return counted.groupBy("_of").agg(F.sum("tokens").alias(name)).select("_of.*", name)
