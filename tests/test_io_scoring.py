@@ -262,3 +262,34 @@ def test_lexicon_table(spark):
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "token string, valence double")
     got = {r.doc_id: r.compound for r in spans.lexicon_table_scores(docs, lexicon).collect()}
     assert got == pytest.approx({1: 3 / (9 + 15) ** 0.5, 2: 0.0, 3: 0.0})
+
+
+def test_ordered_parts_grow_with_the_text(spark):
+    rows = [(i if i % 50 else None, "é" * (i % 9) if i % 7 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "at int, t string").repartition(3)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert io.ordered_parts(df, "at", 4).rdd.getNumPartitions() == 4
+    for part_bytes in (size // 8 + 1, size // 16 + 1):
+        found = io.ordered_parts(df, "at", 4, part_bytes)
+        parts = [[tuple(r) for r in p] for p in found.rdd.glom().collect()]
+        assert len(parts) == -(-size // part_bytes) > 4
+        places = [-1 if at is None else at for p in parts for at, _ in p]
+        assert places == sorted(places) and max(map(len, parts)) < 2000 * 3 / len(parts)
+        assert sorted(map(str, [r for p in parts for r in p])) == sorted(map(str, rows))
+    assert io.ordered_parts(df.limit(0), "at", 4).count() == 0
+
+
+def test_csv_files_of_a_large_table(spark, tmp_path, monkeypatch):
+    """The query's files grow in number with its text, not in size."""
+    from tierlens.plans import bridge, files
+
+    docs = [(i, "s", "word " * 40 + str(i)) for i in range(300)]
+    raw = spark.createDataFrame(docs, "row_ord long, product_id string, review_content string")
+    raw = raw.withColumns({c: F.lit("x") for c in k.RAW_COLS if c not in raw.columns})
+    monkeypatch.setattr(bridge, "raw_reviews", lambda *_: raw)
+    monkeypatch.setattr(io, "work_folder", lambda _, name, n=iter(range(99)): str(tmp_path / f"{name}-{next(n)}"))
+    monkeypatch.setattr(io, "PART_BYTES", 4000)
+    got = files.reviews_csv(spark, "").orderBy("row_ord").select("row_ord", "review_content").collect()
+    assert [tuple(r) for r in got] == [(i, t) for i, _, t in docs]
+    sizes = [f.stat().st_size for f in tmp_path.glob("reviews-0/part-*.csv")]
+    assert len(sizes) > 10 and max(sizes) < 16000

@@ -19,8 +19,7 @@ _RAW = ", ".join(RAW_COLS)
 def reviews_csv(spark, sf_dir):
     """Reviews as several CSV files of unequal size, whose order is theirs by name."""
     raw, path = b.raw_reviews(spark, sf_dir), io.work_folder(spark, "reviews")
-    raw.repartitionByRange(4, "row_ord").sortWithinPartitions("row_ord").select(*RAW_COLS).write.option(
-        "header", True).option("escape", '"').csv(path)
+    io.ordered_parts(raw, "row_ord", 4).select(*RAW_COLS).write.option("header", True).option("escape", '"').csv(path)
     return io.read_reviews_csv(spark, path)
 
 
@@ -30,7 +29,7 @@ SELECT row_number() OVER (ORDER BY label_id) - 1 AS label_id, text, span, polari
 def labels_csv(spark, sf_dir):
     """Labels without predictions as CSV."""
     rows, path = b.gold_table(spark, sf_dir), io.work_folder(spark, "labels")
-    rows = rows.repartitionByRange(3, "label_id").sortWithinPartitions("label_id")
+    rows = io.ordered_parts(rows.select("label_id", "text", "span", "polarity", "ordinal"), "label_id", 3)
     io.write_csv(rows.select("text", "span", "polarity", "ordinal"), path)
     return io.read_labels_csv(spark, path).select("label_id", "text", "span", "polarity", "ordinal", "polarity_predicted")
 

@@ -30,6 +30,17 @@ def read_labels_csv(spark: SparkSession, path: str, columns=LABEL_COLS) -> DataF
     return rows.select("label_id", *picked).withColumn("ordinal", F.col("ordinal").try_cast("double").cast("int"))
 
 
+#: Bytes of text in a part of a table that is written in order.
+PART_BYTES = 64 << 20
+
+
+def ordered_parts(df: DataFrame, order: str, least: int = 1, part_bytes: int | None = None) -> DataFrame:
+    """The table in ranges of `order`, each sorted by it: `least` of them, or as many as its text needs (PART_BYTES)."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c, kind in df.dtypes if kind == "string"]
+    size = df.agg(F.sum(sum(texts, F.lit(0)))).first()[0] or 0
+    return df.repartitionByRange(max(least, -(-size // (part_bytes or PART_BYTES))), order).sortWithinPartitions(order)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
