@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierlens import constants as k
-from tierlens.operators import curate, evaluate
+from tierlens.operators import curate, evaluate, skew
+from tierlens.sources import io
 
 ORDER = k.LABEL_ORDER
 
@@ -206,3 +207,32 @@ def test_normalising_errors_and_systems(spark, rows):
     scores = evaluate.system_comparison(df, "g", {"A": "a", "B": "b"})
     assert {(r.system, r.subset, r.n) for r in scores.collect()} == {("A", "full", 1), ("A", "held_out", 1), ("B", "full", 3), ("B", "held_out", 3)}
     assert {r.m for r in evaluate.majority_baseline(df.where("g <> 'nan'"), "g", "m").collect()} == {" Positive"}
+
+
+def test_candidates_meet_labels_by_a_short_key(spark, monkeypatch):
+    """No text is written or shuffled as a key; missing and empty values, and other cuts of the same letters, stay apart."""
+    tables = []
+    for module in (curate, skew):
+        monkeypatch.setattr(module, "written", lambda df, name, w=io.written: tables.append(df) or w(df, name))
+    base = spark.createDataFrame([("abc", "c"), (None, "x"), ("", "y"), ("z", None), (" Twice ", "twice")], "text string, span string")
+    rows = [("abc", "c"), ("ab", "c"), ("a bc", "bc"), ("", "x"), (None, "x"), (None, "y"), ("", "y"), ("z", ""), ("z", None), ("twice", "twice"),
+            ("new one", "one"), ("NEW one ", "one"), ("new one", "new")]
+    cands = spark.createDataFrame([(i, t, s, "negative", 0) for i, (t, s) in enumerate(rows)],
+                                  "cand_id int, text string, span string, polarity string, ordinal int")
+    got = curate.validate_candidates(cands, base)
+    pairs = [tuple(v.strip().lower() if v is not None else None for v in p) for p in rows]
+    labelled = {("abc", "c"), (None, "x"), ("", "y"), ("z", None), ("twice", "twice")}
+    kept = set()
+    for r, (text, span) in zip(got.orderBy("cand_id").collect(), rows):
+        pair = pairs[r["cand_id"]]
+        if text is None or span is None or span not in text:
+            want = "span not in text"
+        elif pair in labelled:
+            want = "already labelled"
+        elif span == "" or pair in kept:
+            want = r["reason"] if span == "" else "duplicate"
+        else:
+            want = kept.add(pair)
+        assert r["reason"] == want, r
+    assert got.columns == cands.columns + ["reason"]
+    assert len(tables) == 2 and not any(kind == "string" for t in tables for _, kind in t.dtypes)

@@ -16,13 +16,21 @@ from . import automaton
 from .checks import require_columns, require_values
 from .skew import anti, hash_ranks, keep_first, lookup, rank_hash, semi, top_k, with_group_min
 
-PAIR = ("_text", "_span")
+PAIR = ("_pair",)
 
 
 def _normal(c) -> Column:
     return F.lower(text.strip(c))
 
 
+def _pair() -> Column:
+    """A label's text and span as 128 bits, missing ones told from empty ones: rows meet by these, not by their text."""
+    words, span = _normal("text"), _normal("span")
+    size = F.coalesce(F.octet_length(words).cast("string"), F.lit("-"))
+    whole = F.concat(size, F.lit(":"), F.coalesce(words, F.lit("")), F.coalesce(F.concat(F.lit("+"), span), F.lit("-")))
+    return F.substring(F.unhex(F.sha2(whole, 256)), 1, 16)
+
+
 def normal_labels(df: DataFrame, keep=LABEL_COLS) -> DataFrame:
     """Labels with text, span and polarity present, polarity in lower case, ordinal 0 by default."""
     missing = {c: F.lit(None).cast("string") for c in keep if c not in df.columns}
@@ -125,10 +133,8 @@ def validate_candidates(candidates: DataFrame, base: DataFrame, order: str = "ca
     Rules in order: polarity allowed, span inside the text, pair not labelled yet, pair not kept
     earlier, span aligned to words. Kept rows get the ordinal of their first aligned place.
     """
-    rows = candidates.withColumns(
-        {"polarity": _normal("polarity"), "_text": _normal("text"), "_span": _normal("span")}
-    )
-    known = base.select(_normal("text").alias("_text"), _normal("span").alias("_span")).distinct()
+    rows = candidates.withColumns({"polarity": _normal("polarity"), "_pair": _pair()})
+    known = base.select(_pair().alias("_pair")).distinct()
     known = written(known.withColumn("_known", F.lit(True)), "known")
     rows = lookup(rows, known, PAIR)
     rows = rows.withColumn("_place", matching.aligned_ordinal("text", "span")).withColumn(
@@ -149,7 +155,7 @@ def validate_candidates(candidates: DataFrame, base: DataFrame, order: str = "ca
     )
     return rows.withColumn(
         "ordinal", F.when(F.col("reason").isNull(), F.col("_place")).otherwise(F.col("ordinal"))
-    ).drop("_text", "_span", "_known", "_place", "_first")
+    ).drop("_pair", "_known", "_place", "_first")
 
 
 def kept(validated: DataFrame, extra=()) -> DataFrame:
