@@ -219,3 +219,15 @@ def test_checks(spark):
     with pytest.raises(checks.InvalidLabels, match="and 10 more"):
         checks.require_values(many, "polarity")
     assert checks.or_none(df.where("false")) is None and checks.or_none(df) is df
+
+
+def test_searches_of_sentences_and_spans_are_compiled(spark):
+    rows = spark.createDataFrame([(1, "bad sound, no bass"), (2, "slow but worth it"), (3, None), (4, "none")], "i int, sentence string")
+    out = spans.attach_predictions(spans.keyword_predictions(rows, {"bad": -2.0, "worth": 1.5}))
+    got = out.select("i", "span", "polarity", "aspect").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, "sound", "negative", "sound"), (2, "slow", "positive", "performance"), (2, "worth", "positive", "value")]
+    assert out.columns == ["i", "sentence", "span", "polarity", "aspect"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Inside a lambda function Spark would interpret them, and `split` compiles its pattern for every text.
+    assert "RLIKE(" in plan and "RLIKE(lambda" not in plan and "Contains(lambda" not in plan and "split(" not in plan

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import KEPT_CHARS, PICKER_LIMIT, TITLE_LIMIT, WHITESPACE, WS
+from .matching import _contains_any, let
 
 
 def _col(c) -> Column:
@@ -19,20 +20,38 @@ def clean_text(c) -> Column:
     """Lower-case words and basic punctuation, single-spaced; null becomes ''.
 
     URLs go first, then tags (`(?d)`: a dot stops at newline only). Dropping other characters
-    and squeezing blanks is one pass: a run of either ends up as one blank.
+    and squeezing blanks is one pass: a run of either ends up as one blank. Plain substring tests come
+    first, so texts without URLs or tags are not searched for their patterns.
     """
     out = F.lower(F.coalesce(_col(c), F.lit("")))
-    out = F.regexp_replace(out, f"http[^{WS}]+|www[^{WS}]+", "")
-    out = F.regexp_replace(out, "(?d)<.*?>", "")
+    out = _replaced(out, ("http", "www"), f"http[^{WS}]+|www[^{WS}]+")
+    out = _replaced(out, ("<",), "(?d)<.*?>")
     return F.trim(F.regexp_replace(out, f"[^{KEPT_CHARS}]+", " "))
 
 
+def _replaced(c: Column, words, pattern: str) -> Column:
+    """Matches of `pattern`, each of which holds one of `words`, dropped."""
+    def dropped(s: Column) -> Column:
+        return F.when(_contains_any(s, words), F.regexp_replace(s, pattern, "")).otherwise(s)
+
+    return let(c, dropped)
+
+
 def split_sentences(c) -> Column:
-    """Cut after `.`, `!` or `?` followed by whitespace; no empty sentences."""
-    parts = F.transform(F.split(_col(c), f"(?<=[.!?])[{WS}]+"), strip)
+    """Cut after `.`, `!` or `?` followed by whitespace; no empty sentences.
+
+    A cut takes all whitespace around it, so only the text's own ends are stripped.
+    """
+    parts = F.split(let(_col(c), _stripped), f"(?<=[.!?])[{WS}]+")
     return F.filter(parts, lambda s: F.length(s) > 0)
 
 
+def _stripped(s: Column) -> Column:
+    """As `strip`, which reads the whole text, but only where an end is whitespace."""
+    blank = [F.substring(s, place, 1).isin(*WHITESPACE) for place in (1, -1)]
+    return F.when(blank[0] | blank[1], strip(s)).otherwise(s)
+
+
 def strip_urls(c) -> Column:
     return strip(F.regexp_replace(_col(c), f"https?://[^{WS}]+", ""))
 

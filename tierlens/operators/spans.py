@@ -17,8 +17,10 @@ def attach_predictions(
     return (
         sentences.select("*", F.inline_outer(predictions))
         .drop(predictions)
-        .withColumn("aspect", matching.first_aspect("span", taxonomy))
+        .withColumn("_lowered", F.lower("span"))
+        .withColumn("aspect", matching.first_aspect_lowered("_lowered", taxonomy))
         .where("aspect is not null")
+        .drop("_lowered")
     )
 
 
@@ -45,15 +47,12 @@ def keyword_aspects(sentences: DataFrame, taxonomy=ASPECT_KEYWORDS) -> DataFrame
 def keyword_predictions(sentences: DataFrame, lexicon: dict, taxonomy=ASPECT_KEYWORDS) -> DataFrame:
     """The native predictor: whole-word keywords as spans, lexicon polarity of the sentence."""
     polarity = matching.lexicon_polarity(matching.lexicon_score("sentence", lexicon))
-
-    def pairs(found):
-        named = lambda p: F.transform(
-            found, lambda m: F.struct(m["span"].alias("span"), p.alias("polarity"))
-        )
-        empty = F.array().cast(SPAN_LIST)
-        return F.when(F.size(found) > 0, matching.let(polarity, named)).otherwise(empty)
-
-    return sentences.withColumn("predictions", matching.let(matching.word_spans("sentence", taxonomy), pairs))
+    # A column of its own and named twice, so Spark does not move it into the lambda functions, which it interprets.
+    found = F.col("_found")
+    named = lambda p: F.transform(found, lambda w: F.struct(w.alias("span"), p.alias("polarity")))
+    pairs = F.when(F.size(found) > 0, matching.let(polarity, named)).otherwise(F.array().cast(SPAN_LIST))
+    rows = sentences.withColumn("_found", matching.first_words("sentence", taxonomy))
+    return rows.withColumn("predictions", pairs).drop("_found")
 
 
 def taxonomy_table_aspects(
